@@ -1 +1,321 @@
-QUERIES, SQL = {}, {}
+"""Problem 2: near-duplicate records with small edits.
+
+Method: grouped prefix join. Records of equal target and word set collapse into one class; a class orders its words
+rarest first and only the words of its prefix can be the first shared word of a similar pair. Classes with identical
+prefix and size form one group that enters the join once; group pairs pass the size and position filters and then
+expand to members, whose 128-bit word bitmaps bound the symmetric difference; what is left is verified on whole word
+sets. Words too common to tell records apart are never joined alone: a class joins on such a word together with its
+next ones, as many as the estimated frequency of the combination needs (see ``_prefix_keys``). No pair is lost.
+
+Word frequencies are counted over all records in a sketch of fixed size. They only set the order and the depth of the
+keys, so a collision in the sketch costs time, never a pair.
+
+Defined results: records whose target has no name key, null questions and questions without words are in no pair.
+Repeated rows are pairs of similarity 1. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hyperloom.dist import SharedTable, name_key, read_table, shared_table, sized_join
+from hyperloom.llm.splits import components
+
+WORD = re.compile("[a-z0-9]+")
+#: Counters of the frequency sketch and of its pieces.
+SKETCH, PIECE = 1 << 20, 1 << 12
+#: A key may stand in about this many records; commoner words are joined in combination.
+COMMON = 1000
+#: Most words in one combination.
+DEPTH = 4
+#: Sets up to this many words share too few for combinations: their pairs join on single words.
+SMALL = 8
+
+
+def _hashes(words: set[str], known: dict[str, int]) -> np.ndarray:
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            if len(known) > 500_000:
+                known.clear()
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(h)
+    return np.array(out, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray, by: int) -> np.ndarray:
+    """A 64-bit finalizer: spreads x ^ by over all bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint64(by)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
+def _sets(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(id, hash of the target, word hashes spread by the target) of each record with words; columns id, key, text."""
+    for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        words = set(WORD.findall(text.lower()))
+        if words:
+            by = xxhash.xxh3_64_intdigest(key)
+            yield i, by, _mix(_hashes(words, known), by)
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Identity of each record's word set, and the partition's share of the frequency sketch in pieces."""
+    sketch, known = np.zeros(SKETCH, dtype=np.int64), {}
+    for batch in batches:
+        ids, h1, h2, places = [], [], [], []
+        for i, by, words in _sets(batch, known):
+            ids.append(i)
+            h1.append(int(np.bitwise_xor.reduce(_mix(words, 11))) ^ by)
+            with np.errstate(over="ignore"):
+                h2.append(int(np.add.reduce(_mix(words, 23))) ^ len(words))
+            places.append(words & np.uint64(SKETCH - 1))
+            places.append(np.array([by & (SKETCH - 1)], dtype=np.uint64))  # counts the records of the target
+        if ids:
+            sketch += np.bincount(np.concatenate(places).astype(np.int64), minlength=SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["id", "h1", "h2", "piece", "counts"])
+    pieces = [(p, c) for p, c in enumerate(sketch.reshape(-1, PIECE)) if c.any()]
+    if pieces:
+        n = len(pieces)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([c.tobytes() for _, c in pieces], pa.binary())], names=["id", "h1", "h2", "piece", "counts"])
+
+
+def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if p in sums:
+                sums[p] = sums[p] + np.frombuffer(c, dtype=np.int64)
+            else:
+                sums[p] = np.frombuffer(c, dtype=np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["piece", "counts"])
+
+
+def _longer_misses(n: int, t: float) -> int:
+    """Words of a set of n that may be missing in any similar set that is not larger."""
+    return n - math.ceil(t * n - 1e-9)
+
+
+def _shorter_misses(n: int, t: float) -> int:
+    """Words of a set of n that may be missing in any similar set that is not smaller."""
+    return n - math.ceil(2 * t / (1 + t) * n - 1e-9)
+
+
+def _prefix_keys(words: np.ndarray, df: np.ndarray, total: float, misses: int, common: float) -> tuple[list[int], list[int]]:
+    """Keys of a set and the words that each passes over; words rarest first, df their counts among total records.
+
+    Two similar sets share all but ``misses`` words, so their first shared word stands at most at place ``misses`` and
+    their k-th at most at ``misses`` + k - 1. A word that is rare enough is a key by itself; otherwise it is combined
+    with each later word that may be the next shared one, until the frequency to be expected of the combination (the
+    product of the shares) is small enough. That depends on target and words only, so both sets choose the same keys.
+    """
+    first = words[: misses + 1]
+    rare = int(np.searchsorted(df[: len(first)], common, side="right"))
+    keys, passed = first[:rare].tolist(), list(range(rare))
+    if rare == len(first):
+        return keys, passed
+    w, f, n = words[: misses + DEPTH].tolist(), df[: misses + DEPTH].tolist(), len(words)
+    stack = [(w[i], f[i], i, 1) for i in range(rare, len(first))]
+    while stack:
+        key, expect, last, depth = stack.pop()
+        if expect <= common or depth == DEPTH:
+            keys.append(key)
+            passed.append(last - depth + 1)
+            continue
+        for j in range(last + 1, min(misses + depth + 1, n)):
+            stack.append(((key * 0x9E3779B97F4A7C15 + w[j]) & 0xFFFFFFFFFFFFFFFF, expect * f[j] / total, j, depth + 1))
+    return keys, passed
+
+
+def _index(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, t: float, common: float) -> Iterator[pa.RecordBatch]:
+    """One row per class: group of its prefix, size, bitmap, keys and the words that each key passes over."""
+    known: dict[str, int] = {}
+    schema = pa.schema([("id", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64()), ("keys", pa.list_(pa.int64())), ("passed", pa.list_(pa.int32()))])
+    for batch in batches:
+        for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for i, by, words in _sets(part, known):
+                n = len(words)
+                df = sketch[(words & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.lexsort((words, df))
+                words, df = words[order], df[order].astype(np.float64)
+                misses = _longer_misses(n, t)
+                keys, passed = [], []
+                if n > SMALL:
+                    keys, passed = _prefix_keys(words, df, max(1.0, float(sketch[by & (SKETCH - 1)])), misses, common)
+                if n * t <= SMALL:  # pairs with a small set join on single words, told apart by the mark
+                    few = _mix(words[: misses + 1], 77).tolist()
+                    keys, passed = keys + few, passed + list(range(len(few)))
+                low = words & np.uint64(127)
+                bits = np.bincount(low.astype(np.int64), minlength=128) & 1
+                b = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                gid = xxhash.xxh3_64_intdigest(words[: misses + DEPTH].tobytes() + n.to_bytes(4, "little") + by.to_bytes(8, "little"))
+                for c, v in zip(cols, (i, gid, n, int(b[0]), int(b[1]), keys, passed)):
+                    c.append(v)
+            if cols[0]:
+                flat = np.array([k for ks in cols[5] for k in ks], dtype=np.uint64).view(np.int64)
+                ends = np.cumsum([0] + [len(ks) for ks in cols[5]]).astype(np.int32)
+                spent = np.array([k for ks in cols[6] for k in ks], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(ends), pa.array(spent))], schema=schema)
+
+
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
+            rows = [(i, np.sort(w).view(np.int64)) for i, _, w in _sets(part, known)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w.tolist() for _, w in rows], pa.list_(pa.int64()))], names=["id", "words"])
+
+
+def _without(records: DataFrame, dropped: SharedTable) -> DataFrame:
+    return sized_join(records, dropped, "id", "left_anti")
+
+
+def similar_classes(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> tuple[DataFrame, SharedTable]:
+    """Pairs of classes (a > b by id, similarity) and the copies (id, rep) that a class has besides its representative.
+
+    ``records`` has id (bigint, unique), target and text. A class is all records of equal target key and word set, its
+    representative the one of the smallest id.
+    """
+    t = float(threshold)
+    texts = records.select("id", name_key("target").alias("key"), "text").where("key is not null and text is not null")
+    profile = shared_table(texts.mapInArrow(_profile, "id long, h1 long, h2 long, piece int, counts binary"), "profile")
+    pieces = profile.df.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary")
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    for r in pieces.collect():  # at most SKETCH counters in all
+        sketch[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], dtype=np.int64)
+
+    sets = profile.df.where("piece is null").select("id", "h1", "h2")
+    many = shared_table(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "many")
+    copies = shared_table(sized_join(sets, many, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
+    own = _without(texts, copies)
+
+    held = records.sparkSession.sparkContext.broadcast(sketch.astype(np.int32 if sketch.max(initial=0) < 2**31 else np.int64))
+    index = shared_table(own.mapInArrow(lambda b: _index(b, held.value, t, common), "id long, gid long, n int, b1 long, b2 long, keys array<long>, passed array<int>"), "index")
+
+    # Groups of equal prefix and size: one leader joins for all; slack is how far a member's bitmap is from the leader's.
+    flat = index.df.select("id", "gid", "n", "b1", "b2")
+    shared = flat.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "b1", "b2")).alias("lead")).where("c > 1").select("gid", "lead")
+    lead = shared_table(shared.select("gid", F.col("lead.id").alias("lead"), F.col("lead.b1").alias("l1"), F.col("lead.b2").alias("l2")), "lead")
+    apart = lambda p, q, r, s: F.bit_count(F.col(p).bitwiseXOR(F.col(q))) + F.bit_count(F.col(r).bitwiseXOR(F.col(s)))
+    members = shared_table(sized_join(flat, lead, "gid").select("lead", "id", "n", "b1", "b2", apart("b1", "l1", "b2", "l2").alias("far")), "members")
+    slack = shared_table(members.df.groupBy("lead").agg(F.max("far").alias("slack")).withColumnRenamed("lead", "id"), "slack")
+    led = shared_table(members.df.where("id <> lead").select("id"), "led")
+    rows = sized_join(_without(index.df, led), slack, "id", "left")
+    rows = rows.select(F.explode(F.arrays_zip("keys", "passed")).alias("k"), "id", F.col("n").cast("int"), F.coalesce("slack", F.lit(0)).cast("int").alias("slack"), "b1", "b2")
+    rows = rows.select(F.col("k.keys").alias("key"), "id", "n", F.col("k.passed").alias("passed"), "slack", "b1", "b2")
+
+    a, b = rows.alias("a"), rows.alias("b")
+    least = f"ceil({t / (1 + t)!r}D * (a.n + b.n) - 1e-9D)"  # words that a similar pair shares at least
+    order = "(a.n > b.n or (a.n = b.n and a.id > b.id))"
+    room = "bit_count(a.b1 ^ b.b1) + bit_count(a.b2 ^ b.b2)"
+    near = f"a.n - a.passed >= {least} and b.n - b.passed >= {least} and {room} - a.slack - b.slack <= a.n + b.n - 2 * {least}"
+    met = a.join(b, F.expr(f"a.key = b.key and {order} and {near}")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    met = shared_table(met, "met")
+
+    # Group pairs expand to members; members of one group meet one another.
+    def expand(pairs: DataFrame, side: str) -> DataFrame:
+        of = shared_table(members.df.select(F.col("lead").alias(side), F.col("id").alias("_m")), "of")
+        return sized_join(pairs, of, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
+
+    across = expand(expand(met.df, "x"), "y")
+    m, o = members.df.alias("a"), members.df.alias("b")
+    within = m.join(o, F.expr(f"a.lead = b.lead and a.id > b.id and {room} <= a.n + b.n - 2 * {least}")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    pairs = shared_table(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).union(within.select("x", "y")), "pairs")
+
+    needed = shared_table(pairs.df.select(F.col("a").alias("id")).union(pairs.df.select("b")).distinct(), "needed")
+    words = shared_table(sized_join(texts, needed, "id", "left_semi").mapInArrow(_word_sets, "id long, words array<long>"), "words")
+    both = sized_join(pairs.df, _as(words, "a", "wa"), "a")
+    both = sized_join(both, _as(words, "b", "wb"), "b")
+    common_words = F.size(F.array_intersect("wa", "wb"))
+    sim = both.select("a", "b", common_words.alias("i"), (F.size("wa") + F.size("wb")).alias("s"))
+    sim = sim.where(F.col("i") >= F.lit(t) * (F.col("s") - F.col("i")) - 1e-9).select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity"))
+    return sim, copies
+
+
+def _as(words: SharedTable, side: str, name: str) -> SharedTable:
+    """The word sets under the columns of one side of the pairs."""
+    view = SharedTable(words.spark, words.path, words.schema)
+    frame = words.df.select(F.col("id").alias(side), F.col("words").alias(name))
+    view.__class__ = _View
+    view.frame = frame
+    return view
+
+
+class _View(SharedTable):
+    frame: DataFrame
+
+    @property
+    def df(self) -> DataFrame:
+        return self.frame
+
+
+def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> DataFrame:
+    """(a, b, similarity) of every pair of records, a < b, copies spelled out."""
+    sim, copies = similar_classes(records, threshold, common)
+    sim = shared_table(sim, "similar").df
+    reps = copies.df.select(F.col("rep"), F.col("id"))
+    members = reps.union(reps.select("rep", F.col("rep").alias("id")).distinct())
+    for side in ("a", "b"):
+        of = shared_table(members.select(F.col("rep").alias(side), F.col("id").alias("_m")), "of")
+        sim = sized_join(sim, of, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
+    equal = members.alias("x").join(members.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
+    return sim.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").union(equal)
+
+
+def near_duplicate_groups(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> DataFrame:
+    """(id, group_id, links) of each record: the smallest id of its connected group and its class's links to others.
+
+    A record alone has itself as group and no links; copies share their class's links.
+    """
+    sim, copies = similar_classes(records, threshold, common)
+    sim = shared_table(sim, "similar").df
+    text = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    of = components(sim.select(text("b").alias("a"), text("a").alias("b"))).df
+    of = shared_table(of.select(F.col("name").cast("long").alias("rep"), F.col("group").cast("long").alias("g")), "of")
+    links = shared_table(sim.select(F.col("a").alias("rep")).union(sim.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "links")
+    rows = sized_join(records.select("id"), copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    rows = sized_join(sized_join(rows, of, "rep", "left"), links, "rep", "left")
+    return rows.select("id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _questions(spark, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "dataset").select(F.col("record_id").alias("id"), "target", F.col("question").alias("text"))
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    """Pairs of records of one target whose questions share at least 0.7 of their words."""
+    return near_duplicate_pairs(_questions(spark, sf_dir), 0.7).select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+
+
+def p2_groups(spark, sf_dir: str) -> DataFrame:
+    """Each record's group of near-duplicates and number of links."""
+    return near_duplicate_groups(_questions(spark, sf_dir), 0.7).withColumnRenamed("id", "record_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+
+#: Brute force within each target.
+SQL = {
+    "p2_found": """
+WITH q AS (
+  SELECT record_id, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS k,
+         list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w
+  FROM dataset WHERE question IS NOT NULL AND target IS NOT NULL),
+p AS (
+  SELECT a.record_id AS record_id_a, b.record_id AS record_id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s
+  FROM q a JOIN q b ON a.k = b.k AND a.record_id < b.record_id AND a.k <> '')
+SELECT record_id_a, record_id_b FROM p WHERE s > 0 AND i >= 0.7 * (s - i) - 1e-9""",
+}
