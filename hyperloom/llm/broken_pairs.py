@@ -1 +1,442 @@
-QUERIES, SQL = {}, {}
+"""Problem 5: broken prompt and response pairs.
+
+A pair is a first text (what was asked) and a second (what came of it); a defective second text is reported with the
+first defect that applies, in the order of ``DEFECTS``.
+
+Method: the language of the second text is judged by the posteriors of a character n-gram naive Bayes, fitted on a
+bounded sample of pages with a language label; a text that breaks off is found by the likelihood that a text ends
+after its last words, from n-gram counts over the ends and the insides of all texts, in which the names of quantities
+and all numbers are masked; a text that ends inside a name breaks off. Empty texts, refusals and copies are found on the way by rules on the words.
+
+The n-gram counts are kept in count-min sketches of fixed size, one pair for each kind of text, summed over all rows.
+
+Defined results: a null first text is an empty one, a null second text is empty; repeated rows are reported each; empty
+tables give no rows, and without pages labelled as English no text is foreign; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from hyperloom.dist import read_table, shared_table
+
+DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
+
+#: Labelled pages per language that the language model is fitted on, and the letters of a gram.
+LANGUAGE_ROWS, GRAM = 250, 3
+#: Counters in each row of a sketch, its rows, its pieces.
+SKETCH, ROWS, PIECE = 1 << 18, 2, 1 << 12
+#: Words of context for the end of a text.
+CONTEXT = (4, 3, 2)
+#: Least likelihood of an end, and weight of the shorter context against counts.
+END_LIKELY, BACKOFF = 0.5, 10.0
+#: Share of the second text's word pairs found in the first, from which it counts as a copy.
+COPY_SHARE = 0.72
+#: Least log odds against English from which a text counts as foreign; fewest words judged, unless in another script.
+FOREIGN_ODDS, FOREIGN_WORDS = 4.0, 6
+
+WORDS = re.compile(r"[^\W_]+")
+TAGS = re.compile(r"(?i)</?\s*[a-z][a-z0-9 _-]{0,30}/?>")
+FENCE = re.compile(r"(?i)```[a-z]*")
+QUESTION = re.compile(r'"question"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]')
+SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”»)\]}]*\s+|\n+|(?<=[。！？])")
+INVISIBLE = re.compile("[​-‏⁠-⁤﻿­᠎]")
+
+#: Words that stand for nothing when they are all there is.
+NOTHING = frozenset("null none nil nan na n a empty blank undefined tbd tba todo nothing missing reasoning question answer think thinking output response difficulty json chain of thought".split())
+
+#: Wordings of a refusal. Each must meet the words of one sentence without names of quantities.
+REFUSAL = re.compile(
+    r"\b(?:"
+    r"i(?: a|')m (?:sorry|afraid|unable|not (?:able|permitted|allowed|comfortable|in a position|going to)|in no position|going to pass|prevented|barred)"
+    r"|i (?:cannot|can ?not|can't|won't|will not|would not|wouldn't|could not|must not|mustn't|may not|shall not|should not|do not|don't) (?!see\b)(?:in good conscience|be able|help|assist|answer|respond|reply|continue|comply|discuss|provide|produce|write|give|work|reason|lay|comment|engage|fulfil|do|go|take|offer|share|support|feel|think|proceed|create|generate|say)"
+    r"|i (?:must|have to|need to|am obliged to|am forced to|choose to|wish to|prefer to|politely|respectfully|will)? ?(?:decline|refuse|abstain|refrain|pass|say no|turn this down)\b"
+    r"|i(?: would|'d) (?:rather|prefer) not|i stay out|i have been (?:told|instructed|asked) (?:never|not)|i am (?:not|no longer) (?:able|permitted|allowed|in)"
+    r"|(?:there is )?no way i (?:could|can)|not possible for me|(?:not|no) something (?:for me|i)|something i am not|as an? (?:\w+ ){0,2}(?:assistant|model|system|ai)\b"
+    r"|(?:my|the|our) (?:\w+ )?(?:guidelines?|polic(?:y|ies)|rules|instructions|terms) (?:keeps?|forbids?|prevents?|prohibits?|stops?|does? not|do not|leaves?|rules? out)"
+    r"|my answer (?:has to be|is|must be) no|no (?:reply|answer|response) (?:can|will|may|is)|(?:assistant|model|system) (?:declines|refuses|abstains|cannot|will not)"
+    r"|request (?:refused|denied|declined|rejected|blocked)|(?:request|prompt|question|content|answer|reply|topic|task|this) (?:was|is|has been|were|falls|lies|goes) (?:\w+ )?(?:blocked|withheld|refused|denied|declined|rejected|outside|beyond|off limits|not allowed|removed|censored)"
+    r"|withheld by|content not allowed|(?:against|violates?|violate) (?:the|our|my) (?:\w+ )?(?:terms|policy|policies|rules|guidelines)|off limits|we do not (?:discuss|answer|help|provide)|not (?:a thing|to be|something) (?:to be )?answered"
+    r"|(?:sorry(?! state)|apologies|apologise|apologize|regrettably|unfortunately)\b.{0,40}\b(?:i|we|me|no|not|refuse|unable|cannot|can't)\b"
+    r"|ask (?:a human|someone|somebody|another|an expert)|please (?:look elsewhere|ask something else|consult)"
+    r")"
+)
+
+
+def unwrap(text: str) -> str:
+    """The text without tags, fences, invisible characters and a JSON wrapper around its question."""
+    text = INVISIBLE.sub("", text)
+    if '"question"' in text and (m := QUESTION.search(text)):
+        text = m.group(1)
+        text = text.rstrip("\\") if len(text) - len(text.rstrip("\\")) % 2 else text
+        try:
+            text = json.loads(f'"{text}"', strict=False)
+        except ValueError:
+            text = text.replace("\\n", "\n").replace('\\"', '"')
+    return FENCE.sub("\n", TAGS.sub("\n", text)).strip()
+
+
+def name_words(name: str | None) -> tuple[str, ...]:
+    """The words of a quantity's name, by underscores, blanks and changes to upper case."""
+    return tuple(WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower())) if name else ()
+
+
+class Names:
+    """Names of quantities as word tuples by their first word: a vocabulary and what a pair adds to it."""
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        self.by_first: dict[str, list[tuple[str, ...]]] = {}
+        self.words_of: dict[str, tuple[str, ...]] = {}
+        self.known: set[tuple[str, ...]] = set()
+        self.parts = {w for v in vocabulary for w in name_words(v)}
+        self.starts: set[tuple[str, ...]] = set()
+        for v in vocabulary:
+            self.known |= self._add(name_words(v))
+
+    def _add(self, n: tuple[str, ...]) -> set[tuple[str, ...]]:
+        if not n or n in self.known:
+            return set()
+        same = self.by_first.setdefault(n[0], [])
+        if n not in same:
+            same.append(n)
+            same.sort(key=len, reverse=True)
+        self.starts |= {n[:k] for k in range(1, len(n))}
+        return {n}
+
+    def own(self, names: list[str | None]) -> list[tuple[str, ...]]:
+        """Adds the names of one pair that the vocabulary lacks; to be given back to ``forget``."""
+        new = []
+        for name in names:
+            if name:
+                n = self.words_of.get(name)
+                if n is None:
+                    if len(self.words_of) > 100_000:
+                        self.words_of.clear()
+                    n = self.words_of[name] = name_words(name)
+                if len(n) > 1 and n not in self.known and n not in self.by_first.get(n[0], ()):
+                    self.by_first.setdefault(n[0], []).insert(0, n)
+                    new.append(n)
+        return new
+
+    def forget(self, new: list[tuple[str, ...]]) -> None:
+        for n in new:
+            self.by_first[n[0]].remove(n)
+
+    def mask(self, words: list[str]) -> list[str]:
+        """Words with names as V and whatever has a digit as #; runs of # are one. A cut name at the end is P."""
+        out, i, n, by_first = [], 0, len(words), self.by_first
+        while i < n:
+            w = words[i]
+            if w in by_first:
+                for name in by_first[w]:
+                    k = len(name)
+                    if words[i + k - 1 : i + k] == [name[-1]] and tuple(words[i : i + k]) == name:
+                        out.append("V")
+                        i += k
+                        break
+                else:
+                    if n - i < 6 and tuple(words[i:]) in self.starts:
+                        out.append("P")
+                        return out
+                    out.append(w)
+                    i += 1
+            else:
+                if w.isalpha():
+                    out.append(w)
+                elif not out or out[-1] != "#":
+                    out.append("#")
+                i += 1
+        return out
+
+
+def is_empty(text: str) -> bool:
+    return all(w in NOTHING for w in WORDS.findall(text.lower()))
+
+
+def is_refusal(text: str, names: Names) -> bool:
+    """The text ends on sentences without a name of a quantity, or one that begins so, of which one declines.
+
+    What stands in quotation marks is not counted.
+    """
+    low = text.lower().replace("’", "'")
+    if not REFUSAL.search(low):
+        return False
+    for s in reversed(SENTENCE.split(QUOTED.sub(" ", low))):
+        m = REFUSAL.search(s)
+        if m and m.start() < 30:
+            return True
+        if "V" in names.mask(WORDS.findall(s)):
+            return False
+        if m:
+            return True
+    return False
+
+
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+def copied_share(first: list[str], second: list[str]) -> float:
+    """Share of the second text's different word pairs that the first has."""
+    own = pairs_of(second)
+    return len(own & pairs_of(first)) / len(own) if own else 0.0
+
+
+class Languages:
+    """Character n-gram naive Bayes; the score of a word is its grams' log probabilities in every language."""
+
+    def __init__(self, tables: dict[str, dict[str, int]]) -> None:
+        self.names = sorted(tables)
+        self.english = self.names.index("en") if "en" in tables else -1
+        grams = sorted({g for t in tables.values() for g in t})
+        self.at = {g: i for i, g in enumerate(grams)}
+        counts = np.array([[tables[n].get(g, 0) for n in self.names] for g in grams], dtype=np.float64).reshape(len(grams), len(self.names))
+        total = counts.sum(axis=0) + 0.5 * (len(grams) + 1)
+        self.logs = np.log((counts + 0.5) / total)
+        self.unseen = np.log(0.5 / total)
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1 << 16, len(self.names)))
+
+    def _row(self, w: str) -> int:
+        k = len(self.rows)
+        if k == len(self.table):
+            self.rows.clear()
+            k = 0
+        at = [self.at.get(g, -1) for g in grams_of(w)]
+        seen = [i for i in at if i >= 0]
+        self.table[k] = self.logs[seen].sum(axis=0) + (len(at) - len(seen)) * self.unseen
+        self.rows[w] = k
+        return k
+
+    def odds(self, words: list[str]) -> np.ndarray:
+        """Log odds of every language against English, tempered for the dependence of grams on one another."""
+        if self.english < 0 or not words:
+            return np.zeros(max(1, len(self.names)))
+        if len(self.rows) + len(words) > len(self.table):
+            self.rows.clear()
+        rows = self.rows
+        score = self.table[[rows[w] if w in rows else self._row(w) for w in words]].sum(axis=0) / GRAM
+        return score - score[self.english]
+
+    def is_foreign(self, words: list[str]) -> bool:
+        enough = len(words) >= FOREIGN_WORDS or any(w > "\u02ff" for w in words)
+        return enough and float(self.odds(words).max()) >= FOREIGN_ODDS
+
+
+def grams_of(word: str) -> list[str]:
+    w = f" {word} "
+    return [w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
+
+
+def plain(masked: list[str], names: Names) -> list[str]:
+    """Words for the language model: no names of quantities or words of such, numbers or single letters."""
+    return [w for w in masked if (len(w) > 1 or w > "\u2e7f") and w not in names.parts]
+
+
+def ending(masked: list[str]) -> list[str]:
+    """The words up to the last name, where only a unit or 'in plain number' follows it at the end."""
+    for k in range(len(masked) - 1, max(-1, len(masked) - 9), -1):
+        if masked[k] == "V":
+            return [*masked[: k + 1], "U"] if masked[k + 1 : k + 2] == ["in"] and len(masked) > k + 2 else masked
+    return masked
+
+
+def end_hashes(words: list[str]) -> list[int]:
+    """Hash of the last words for each length of context, shortest first; 0 where the text is shorter."""
+    return [xxhash.xxh3_64_intdigest(" ".join(words[-n:])) if len(words) >= n else 0 for n in reversed(CONTEXT)]
+
+
+class Runs:
+    """Hashes of all runs of words that go on inside a text; the hash of a run is that of its words joined."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def inside(self, words: list[str]) -> list[int]:
+        known, out, n = self.known, [], len(words)
+        for size in CONTEXT:
+            for i in range(n - size):
+                run = " ".join(words[i : i + size])
+                h = known.get(run)
+                if h is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    h = known[run] = xxhash.xxh3_64_intdigest(run)
+                out.append(h)
+        return out
+
+
+class Sketch:
+    """Count-min counters of fixed size; sums of sketches are sketches of all rows."""
+
+    def __init__(self, counters: np.ndarray | None = None) -> None:
+        self.counters = np.zeros((ROWS, SKETCH), dtype=np.int64) if counters is None else counters
+
+    def add(self, hashes: list[int]) -> None:
+        h = np.array(hashes, dtype=np.uint64)
+        for r in range(ROWS):
+            self.counters[r] += np.bincount((h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([self.counters[r][(h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1)] for r in range(ROWS)])
+
+
+def end_likelihood(hashes: np.ndarray, ends: Sketch, insides: Sketch) -> np.ndarray:
+    """P(a text ends here | its last words) of each row of hashes; long contexts rest on short ones where counts are few.
+
+    A text's own end is not counted as evidence for itself.
+    """
+    p = np.zeros(len(hashes))
+    for k in range(hashes.shape[1]):
+        h = hashes[:, k]
+        e, i = np.maximum(ends.count(h) - 1, 0), insides.count(h)
+        p = np.where(h == 0, p, (e + BACKOFF * p) / (e + i + BACKOFF))
+    return p
+
+
+KINDS = ("dataset", "eval_sft")
+FEATURES = "kind int, id long, defect string, hashes array<long>, part int, counts binary"
+
+
+def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables: dict) -> Iterator[pa.RecordBatch]:
+    """Each pair's defect as far as one pair tells it, with the hashes of its end; then the partition's sketches.
+
+    Columns of the batches: kind, id, names, first, second.
+    """
+    names, languages, runs = Names(vocabulary), Languages(tables), Runs()
+    sketches = [[Sketch(), Sketch()] for _ in KINDS]
+    for batch in batches:
+        for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+            rows: list[list] = [[], [], [], []]
+            ends: list[list[int]] = [[] for _ in KINDS]
+            inner: list[list[int]] = [[] for _ in KINDS]
+            for kind, i, named, first, second in zip(*(c.to_pylist() for c in part.columns)):
+                text = unwrap(second or "")
+                defect, hashes = None, []
+                if is_empty(text):
+                    defect = "empty"
+                else:
+                    new = names.own(named or [])
+                    words = WORDS.findall(text.lower())
+                    masked = names.mask(words)
+                    tail = ending(masked)
+                    hashes = end_hashes(tail)
+                    ends[kind] += [h for h in hashes if h]
+                    inner[kind] += runs.inside(tail)
+                    if is_refusal(text, names):
+                        defect = "refusal"
+                    elif copied_share(WORDS.findall((first or "").lower()), words) >= COPY_SHARE:
+                        defect = "copy"
+                    else:
+                        unquoted = names.mask(WORDS.findall(QUOTED.sub(" ", text).lower())) if '"' in text else masked
+                        if languages.is_foreign(plain(unquoted, names)):
+                            defect = "language"
+                        elif masked[-1:] == ["P"]:
+                            defect = "truncated"
+                    names.forget(new)
+                for c, v in zip(rows, (kind, i, defect, hashes)):
+                    c.append(v)
+            for k in range(len(KINDS)):
+                for sketch, hashes in zip(sketches[k], (ends[k], inner[k])):
+                    if hashes:
+                        sketch.add(hashes)
+            n = len(rows[0])
+            signed = pa.array([[h - (1 << 64) if h >> 63 else h for h in hs] for hs in rows[3]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), signed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["kind", "id", "defect", "hashes", "part", "counts"])
+    flat = np.stack([s.counters for own in sketches for s in own]).reshape(-1, PIECE)
+    used = np.flatnonzero(flat.any(axis=1))
+    if len(used):
+        n = len(used)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array([flat[p].astype(np.int32).tobytes() for p in used], pa.binary())], names=["kind", "id", "defect", "hashes", "part", "counts"])
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[p] = sums.get(p, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["part", "counts"])
+
+
+def _decide(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The defect of each pair; without one, truncated where an end is unlikely after its last words."""
+    for batch in batches:
+        kind = np.asarray(batch.column("kind"))
+        defect = np.array(batch.column("defect").to_pylist(), dtype=object)
+        lists = batch.column("hashes").to_pylist()
+        for k in range(len(KINDS)):
+            at = [i for i in np.flatnonzero(kind == k) if defect[i] is None and lists[i]]
+            if at:
+                h = np.array([lists[i] for i in at], dtype=np.int64).view(np.uint64)
+                likely = end_likelihood(h, Sketch(counters[k, 0]), Sketch(counters[k, 1]))
+                for i, p in zip(at, likely):
+                    if p < END_LIKELY:
+                        defect[i] = "truncated"
+        found = np.array([d is not None for d in defect], dtype=bool)
+        yield pa.RecordBatch.from_arrays([pa.array([KINDS[k] for k in kind[found]], pa.string()), pa.array(np.asarray(batch.column("id"))[found], pa.int64()), pa.array(list(defect[found]), pa.string())], names=["source_table", "row_id", "defect"])
+
+
+def language_tables(pages: DataFrame, vocabulary: list[str], rows: int = LANGUAGE_ROWS) -> dict[str, dict[str, int]]:
+    """Gram counts per language of ``pages`` (text, lang): at most ``rows`` labelled pages each, those of smallest hash.
+
+    A label is its two letters before any dash, in any case.
+    """
+    label = F.regexp_extract(F.lower("lang"), "^([a-z]{2})(?:-.*)?$", 1)
+    own = pages.select(label.alias("l"), "text", F.xxhash64("text").alias("h")).where("l <> '' and text <> ''")
+    few = own.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= rows)
+    names, tables = Names(vocabulary), {}
+    for r in few.select("l", "text").collect():
+        own_table = tables.setdefault(r["l"], Counter())
+        for w in plain(names.mask(WORDS.findall(r["text"].lower())), names):
+            own_table.update(grams_of(w))
+    return tables
+
+
+def broken_pairs(pairs: DataFrame, pages: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(source_table, row_id, defect) of the defective rows of ``pairs`` (kind, id, names, first, second).
+
+    ``pages`` (text, lang) are what the language model is fitted on, ``formulas`` (output, inputs) give the vocabulary of
+    quantities; kind is the index of the pair's table in ``KINDS``.
+    """
+    spark = pairs.sparkSession
+    named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
+    vocabulary = sorted(r["v"] for r in named.where("v is not null").distinct().collect())  # a fixed table
+    tables = language_tables(pages, vocabulary)
+    held = spark.sparkContext.broadcast((vocabulary, {k: dict(v) for k, v in tables.items()}))
+    rows = pairs.select("kind", "id", "names", "first", "second")
+    features = shared_table(rows.mapInArrow(lambda it: _features(it, *held.value), FEATURES), "features")
+    counters = np.zeros((len(KINDS) * 2 * ROWS * SKETCH // PIECE, PIECE), dtype=np.int64)
+    parts = features.df.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_parts, "part int, counts binary")
+    for r in parts.collect():  # the sketches' fixed size
+        counters[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    all_counts = spark.sparkContext.broadcast(counters.reshape(len(KINDS), 2, ROWS, SKETCH))
+    own = features.df.where("part is null").select("kind", "id", "defect", "hashes")
+    return own.mapInArrow(lambda it: _decide(it, all_counts.value), "source_table string, row_id long, defect string")
+
+
+def _names(trace_target: str = "trace.target"):
+    return F.array_union(F.array("target", trace_target), F.coalesce("trace.leafs", F.array().cast("array<string>")))
+
+
+def p5_found(spark, sf_dir: str) -> DataFrame:
+    """Defective pairs of dataset (question, chain_of_thought) and eval_sft (trace_str, question)."""
+    data = read_table(spark, sf_dir, "dataset").where("chain_of_thought is not null")
+    data = data.select(F.lit(0).alias("kind"), F.col("record_id").alias("id"), _names().alias("names"), F.col("question").alias("first"), F.col("chain_of_thought").alias("second"))
+    tuned = read_table(spark, sf_dir, "eval_sft")
+    tuned = tuned.select(F.lit(1).alias("kind"), F.col("eval_id").alias("id"), _names().alias("names"), F.col("trace_str").alias("first"), F.col("question").alias("second"))
+    return broken_pairs(data.union(tuned), read_table(spark, sf_dir, "documents").select("text", "lang"), read_table(spark, sf_dir, "hyperedges").select("output", "inputs"))
+
+
+QUERIES, SQL = {"p5_found": p5_found}, {}
