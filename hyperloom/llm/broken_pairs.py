@@ -45,7 +45,8 @@ COPY_SHARE = 0.72
 #: Least log odds against English from which a text counts as foreign; fewest words judged, unless in another script.
 FOREIGN_ODDS, FOREIGN_WORDS = 4.0, 6
 
-WORDS = re.compile(r"[^\W_]+")
+#: Runs of letters and digits; signs of scripts without blanks stand apart from those of others.
+WORDS = re.compile(r"[^\W_\u2e80-\U0003ffff]+|(?:(?![\W_])[\u2e80-\U0003ffff])+")
 TAGS = re.compile(r"(?i)</?\s*[a-z][a-z0-9 _-]{0,30}/?>")
 FENCE = re.compile(r"(?i)```[a-z]*")
 QUESTION = re.compile(r'"question"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
