@@ -1 +1,241 @@
-QUERIES, SQL = {}, {}
+"""Problem 8: keyword-stuffed and link-list pages.
+
+Method: pages are cut into units (sentences, list lines, runs of at most ``RUN`` words). Units of clear list shape and of
+clear sentence shape are exploded into phrases, and for each phrase the pages and the distinct hosts are counted on
+which it stands in lists and in sentences. A phrase that hosts replicate in lists more than in sentences is list
+evidence, one of sentences is sentence evidence; hosts are counted in a bitmap per phrase, merged by bitwise or. Every
+unit is then judged by this evidence joined with its density of links, tags and separators, and a page is flagged if at
+least three quarters of its blank-separated words stand in list units.
+
+The phrases are single words: shingles of five words are not used, because sentences share them across hosts far more
+than the lists do (see the README).
+
+Defined results: null, empty and blank texts have no words and are not flagged; words are counted over the whole text,
+whatever its length; without a host the source stands in, and without either the page counts as a host of its own kind;
+repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hyperloom.dist import read_table
+
+#: Least share of words in list units, words of a run, hosts that must replicate a phrase in lists.
+SHARE, RUN, HOSTS = 0.75, 14, 3
+#: A phrase is kept if it stands on at least this share of the pages with lists, or with sentences; this bounds them.
+KEPT = 2e-4
+#: Least and most log ratio of a phrase's page shares in lists and in sentences that counts as evidence.
+ODDS, MOST = 1.0, 4.0
+#: What the shape of a list and a list before it add to the log ratios of a run of words.
+LISTED, STAY = 6.0, 5.0
+
+LINE = re.compile(r"[\r\n\x0b\x0c\x85  ]+")
+END = re.compile(r"(?<=[.!?。！？])(?<!\b[Nn]o\.)(?<!\d\.)[\"'”»)]*\s+(?=\S)|(?<=[。！？])")
+SEPARATOR = re.compile(r"\s*(?:[,;|•·»►▪※~、，；]|\s[/*>+\-–—]+\s|\s{2,}|\s:{1,2}\s)\s*")
+#: Runs of letters; signs of scripts without blanks stand apart from those of others.
+LETTERS = re.compile(r"[^\W\d_\u2e80-\U0003ffff]+(?:[-'’][^\W\d_\u2e80-\U0003ffff]+)*|(?:(?![\W\d_])[\u2e80-\U0003ffff])+")
+#: Tags of markup, and numbers with the letters of a serial.
+MARKUP = re.compile(r"(?i)</?[a-z][a-z0-9]*\b>?|[a-z]*[-/]?[0-9]+(?:[.,][0-9]+)*[-/]?[a-z]*")
+LINK = re.compile(r"(?i)://|\bhref=|^\W*(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S|^\W*www\.\S|\]\(\S+\.[a-z]{2,}")
+TAG = re.compile(r"^#[^\W\d_]\w*")
+META = re.compile(r'(?i)<meta\b[^>]*\bname="?[a-z_-]*(?:keywords|tags)')
+CELL = re.compile(r"\s*[|\t]\s*")
+CODE = re.compile(r"[={}_\[\]\\]|\w\(|\)\s*$|\.{4,}|^\s*\d+(?:\.\d+)*[.)]?\s")
+
+
+def host_of(url: str | None, source: str | None) -> str:
+    """Host of an address, without a scheme or www; the source where there is none."""
+    if url:
+        m = re.match(r"(?i)\s*(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#\s:]+)", url)
+        if m:
+            return m.group(1).lower()
+    return (source or "").lower()
+
+
+def units(text: str) -> Iterator[str]:
+    """Sentences and lines of a text."""
+    for line in LINE.split(text):
+        for part in END.split(line):
+            if part and not part.isspace():
+                yield part
+
+
+def words_of(unit: str) -> list[str]:
+    return [w.lower() for w in LETTERS.findall(MARKUP.sub(" ", unit))]
+
+
+def shape(unit: str) -> str:
+    """'list' or 'sentence' for a unit of clear shape, else ''."""
+    if META.search(unit):
+        return "list"
+    words = unit.split()
+    if LINK.search(unit) or any(map(LINK.search, words)):
+        return ""
+    end = unit.rstrip("\"'”»)`*_ ")[-1:]
+    items = [x for x in SEPARATOR.split(unit.strip()) if x]
+    if len(items) >= 6 and len(words) <= 4 * len(items):
+        numbers = sum(any(c.isdigit() for c in x) for x in items)
+        if numbers <= 0.3 * len(items) and not CODE.search(unit):
+            return "list"
+    cells = CELL.split(unit)
+    if len(cells) >= 5 and sum(any(map(str.isalpha, x.split())) for x in cells) >= 0.6 * len(cells) and not CODE.search(unit):
+        return "list"
+    letters = LETTERS.findall(unit)
+    first = unit.lstrip("\"'“«([*->•# ")[:1]
+    if end and end in ".?!。！？" and (len(letters) >= 6 and len(words) <= 45 and len(items) * 3 <= len(words) and (first.isupper() or first.isdigit()) or not first.isascii() and end in "。！？"):
+        return "sentence"
+    return ""
+
+
+def _count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per phrase of the partition: pages with it in lists, in sentences, and a bitmap of the hosts with it in lists.
+
+    Columns: text, url, source. The phrase '' counts the pages with lists and with sentences.
+    """
+    lists: dict[str, int] = {}
+    sentences: dict[str, int] = {}
+    hosts: dict[str, int] = {}
+
+    def flush() -> pa.RecordBatch:
+        keys = list(lists.keys() | sentences.keys())
+        bits = [hosts.get(k, 0) for k in keys]
+        out = pa.RecordBatch.from_pydict({"phrase": pa.array(keys, pa.string()), "lists": pa.array([lists.get(k, 0) for k in keys], pa.int64()), "sentences": pa.array([sentences.get(k, 0) for k in keys], pa.int64()), "hosts": pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())})
+        for d in (lists, sentences, hosts):
+            d.clear()
+        return out
+
+    for batch in batches:
+        for text, url, source in zip(*(c.to_pylist() for c in batch.columns)):
+            own: dict[str, set[str]] = {"list": set(), "sentence": set()}
+            for u in units(text):
+                s = shape(u)
+                if s:
+                    own[s].update(words_of(u))
+            if own["list"]:
+                bit = 1 << (xxhash.xxh3_64_intdigest(host_of(url, source)) & 63)
+                for w in own["list"] | {""}:
+                    lists[w] = lists.get(w, 0) + 1
+                    hosts[w] = hosts.get(w, 0) | bit
+            if own["sentence"]:
+                for w in own["sentence"] | {""}:
+                    sentences[w] = sentences.get(w, 0) + 1
+            if len(lists) + len(sentences) > 500_000:
+                yield flush()
+    if lists or sentences:
+        yield flush()
+
+
+def phrase_evidence(pages: DataFrame, formulas: DataFrame | None = None) -> dict[str, float]:
+    """Phrase -> its log ratio: above 0 for lists, below for sentences; words of the formulas' quantities are neither.
+
+    A phrase stands on at least the share KEPT of pages, so there are at most a page's mean number of phrases over
+    KEPT; the driver may hold them.
+    """
+    counts = pages.select("text", "url", "source").mapInArrow(_count_phrases, "phrase string, lists long, sentences long, hosts long")
+    total = counts.groupBy("phrase").agg(F.sum("lists").alias("lists"), F.sum("sentences").alias("sentences"), F.bit_count(F.bit_or("hosts")).alias("hosts")).persist()
+    try:
+        whole = total.where("phrase = ''").collect()
+        if not whole:
+            return {}
+        n_list, n_sentence = max(1, whole[0]["lists"]), max(1, whole[0]["sentences"])
+        least = lambda n: max(3.0, KEPT * n)
+        kept = total.where((F.col("lists") >= least(n_list)) | (F.col("sentences") >= least(n_sentence))).where("phrase <> ''").collect()
+    finally:
+        total.unpersist()
+    names = set()
+    if formulas is not None:
+        named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
+        names = {w for r in named.where("v is not null").distinct().collect() for w in re.findall("[a-z]+", r["v"].lower())}  # a fixed table
+    out = {}
+    for r in kept:
+        odds = math.log((r["lists"] + 0.5) / n_list) - math.log((r["sentences"] + 0.5) / n_sentence)
+        if r["phrase"] not in names and (odds >= ODDS and r["hosts"] >= HOSTS or odds <= -ODDS):
+            out[r["phrase"]] = max(-MOST, min(MOST, odds))
+    return out
+
+
+def judge(unit: str, evidence: dict[str, float], before: bool) -> tuple[int, int, bool]:
+    """(words, words in lists, whether the unit ends in a list) of a unit; before: whether the text before it does."""
+    words = unit.split()
+    if META.search(unit):
+        return len(words), len(words), True
+    listed, state = 0, before
+    shaped = LISTED if shape(unit) == "list" else 0.0
+    # The same share of words in every run, so that no short rest is judged alone.
+    runs = max(1, -(-len(words) // RUN))
+    bounds = [len(words) * k // runs for k in range(runs + 1)]
+    for a, b in zip(bounds, bounds[1:]):
+        run = words[a:b]
+        links = tags = minus = plain = 0
+        odds = shaped + (STAY if state else 0.0)
+        for w in run:
+            if TAG.match(w):
+                tags += 1
+            elif LINK.search(w):
+                links += 1
+            else:
+                for x in words_of(w):
+                    plain += 1
+                    e = evidence.get(x, 0.0)
+                    odds += e
+                    minus += e < 0
+        if tags and tags >= minus and (tags > 1 or len(run) == 1):
+            state = True
+        elif links:
+            state = minus < 2 * links and minus * 3 <= len(run)
+        elif odds > ODDS + (STAY if state and not minus and odds - STAY - shaped < ODDS else 0.0):
+            state = True
+        elif odds < 0 or 2 * plain <= len(run) or runs > 1 or len(run) > 6 or unit.rstrip()[-1:] in ".?!":
+            state = False
+        else:  # a short line without an end and evidence goes with the text before it
+            state = state and not CODE.search(unit)
+        if state:
+            listed += len(run)
+    return len(words), listed, state
+
+
+def page_counts(text: str, evidence: dict[str, float]) -> tuple[int, int]:
+    """(blank-separated words, those in list units) of a page."""
+    total = listed = 0
+    state = False
+    for u in units(text):
+        n, k, state = judge(u, evidence, state)
+        total += n
+        listed += k
+    return total, listed
+
+
+def _judge_pages(batches: Iterator[pa.RecordBatch], evidence: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [page_counts(t, evidence) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in counts], pa.int64()), pa.array([k for _, k in counts], pa.int64())], names=["doc_id", "words", "listed"])
+
+
+def list_words(pages: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
+    """(doc_id, words, listed) of every page of ``pages`` (doc_id, text, url, source) that has words."""
+    spark = pages.sparkSession
+    own = pages.where("text is not null and text <> ''")
+    held = spark.sparkContext.broadcast(phrase_evidence(own, formulas))
+    return own.select("doc_id", "text").mapInArrow(lambda it: _judge_pages(it, held.value), "doc_id long, words long, listed long").where("words > 0")
+
+
+def p8_counts(spark, sf_dir: str) -> DataFrame:
+    """Words and words in lists of every page."""
+    formulas = read_table(spark, sf_dir, "hyperedges").select("output", "inputs")
+    return list_words(read_table(spark, sf_dir, "documents").select("doc_id", "text", "url", "source"), formulas)
+
+
+def p8_found(spark, sf_dir: str) -> DataFrame:
+    """Pages made of search words, addresses or goods labels."""
+    return p8_counts(spark, sf_dir).where(F.col("listed") >= SHARE * F.col("words")).select("doc_id")
+
+
+QUERIES, SQL = {"p8_found": p8_found, "p8_counts": p8_counts}, {}
