@@ -112,10 +112,9 @@ def hash_rank(df: DataFrame, groups: list[str], order: Column, tie: list[str], r
     counts = ordered.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = shared_table(counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "starts")
-    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups] + [F.col("l._b") == F.col("r._b")]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.col("l._b") == F.col("r._b")
+    for g in groups:
+        cond = cond & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
     right = F.broadcast(starts.df) if starts.nbytes <= BROADCAST_BYTES else starts.df
     joined = ordered.alias("l").join(right.alias("r"), cond).select("l.*", "r._start")
     w = Window.partitionBy(*groups, "_b").orderBy("_o", *tie)

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from hyperloom.plans import registry
+
+MODULES = ("text_queries", "record_queries", "graph_queries", "metric_queries", "ordered_queries", "file_queries")
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"hyperloom.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
