@@ -37,18 +37,23 @@ ODDS, MOST = 1.0, 4.0
 #: What the shape of a list and a list before it add to the log ratios of a run of words.
 LISTED, STAY = 6.0, 5.0
 
-LINE = re.compile(r"[\r\n\x0b\x0c\x85  ]+")
-END = re.compile(r"(?<=[.!?。！？])(?<!\b[Nn]o\.)(?<!\d\.)[\"'”»)]*\s+(?=\S)|(?<=[。！？])")
-SEPARATOR = re.compile(r"\s*(?:[,;|•·»►▪※~、，；]|\s[/*>+\-–—]+\s|\s{2,}|\s:{1,2}\s)\s*")
 #: Runs of letters; signs of scripts without blanks stand apart from those of others.
 LETTERS = re.compile(r"[^\W\d_\u2e80-\U0003ffff]+(?:[-'’][^\W\d_\u2e80-\U0003ffff]+)*|(?:(?![\W\d_])[\u2e80-\U0003ffff])+")
 #: Tags of markup, and numbers with the letters of a serial.
 MARKUP = re.compile(r"(?i)</?[a-z][a-z0-9]*\b>?|[a-z]*[-/]?[0-9]+(?:[.,][0-9]+)*[-/]?[a-z]*")
 LINK = re.compile(r"(?i)://|\bhref=|^\W*(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S|^\W*www\.\S|\]\(\S+\.[a-z]{2,}")
 TAG = re.compile(r"^#[^\W\d_]\w*")
-META = re.compile(r'(?i)<meta\b[^>]*\bname="?[a-z_-]*(?:keywords|tags)')
-CELL = re.compile(r"\s*[|\t]\s*")
-CODE = re.compile(r"[={}_\[\]\\]|\w\(|\)\s*$|\.{4,}|^\s*\d+(?:\.\d+)*[.)]?\s")
+META = re.compile(r'(?i)<meta\b[^>]*\bname="?[a-z_-]*(?:keywords|description|tags)')
+END = re.compile(r"(?:[.!?](?<!\bno\.)(?<!\d\.)|[。！？])[\"'”»)`*]*$|[。！？]", re.I)
+SEPARATED = re.compile(r"[,;、，；]$|^(?:[^\w\s#(]{1,4}|[–—])$")
+CODE = re.compile(r"[={}_\[\]\\]|\w\(|\.{4,}")
+
+#: Counts of a unit's words, packed into one integer so that a sum adds them all.
+FIELDS = ("links", "tags", "digits", "code", "separators", "ends", "minus", "plain", "cells")
+BITS = 20
+MASK = (1 << BITS) - 1
+#: The log ratios stand above the counts, as whole numbers of 1/STEPS, raised by MOST so that none is negative.
+STEPS, TOP = 64, BITS * len(FIELDS)
 
 
 def host_of(url: str | None, source: str | None) -> str:
@@ -60,38 +65,79 @@ def host_of(url: str | None, source: str | None) -> str:
     return (source or "").lower()
 
 
-def units(text: str) -> Iterator[str]:
-    """Sentences and lines of a text."""
-    for line in LINE.split(text):
-        for part in END.split(line):
-            if part and not part.isspace():
-                yield part
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in LETTERS.findall(MARKUP.sub(" ", text))]
+
+
+class WordFacts(dict):
+    """Blank-separated word -> its packed counts, remembered."""
+
+    def __init__(self, evidence: dict[str, float]) -> None:
+        self.evidence = evidence
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        link, tag = bool(LINK.search(w)), bool(TAG.match(w))
+        own = [] if link or tag else words_of(w)
+        odds = [self.evidence.get(x, 0.0) for x in own]
+        flags = (link, tag, any(c.isdigit() for c in w), not link and bool(CODE.search(w)), bool(SEPARATED.search(w)), bool(END.search(w)), sum(e < 0 for e in odds), len(own), w == "|")
+        packed = sum(int(f) << (BITS * k) for k, f in enumerate(flags))
+        self[w] = packed = packed + (round((sum(odds) + MOST * len(own)) * STEPS) << TOP)
+        return packed
+
+
+class Unit:
+    """Counts of some words together."""
+
+    __slots__ = ("words", "packed")
 
+    def __init__(self, words: list[str], packed: int) -> None:
+        self.words, self.packed = words, packed
 
-def words_of(unit: str) -> list[str]:
-    return [w.lower() for w in LETTERS.findall(MARKUP.sub(" ", unit))]
+    def __getattr__(self, name: str) -> int:
+        return self.packed >> (BITS * FIELDS.index(name)) & MASK
 
+    @property
+    def odds(self) -> float:
+        return (self.packed >> TOP) / STEPS - MOST * self.plain
 
-def shape(unit: str) -> str:
+
+def units(text: str, facts: WordFacts) -> Iterator[tuple[list[str], list[int], bool, int]]:
+    """(words, their facts, whether a keyword header, wide gaps) of each sentence or line of a text."""
+    for line in text.splitlines():
+        words = line.split()
+        if not words:
+            continue
+        own = list(map(facts.__getitem__, words))
+        meta = "<" in line and META.search(line) is not None
+        gaps = line.strip().count("  ") if "  " in line else 0
+        ends = sum(own) >> (BITS * 5) & MASK
+        if ends == 0 or meta or ends == 1 and own[-1] >> (BITS * 5) & 1:
+            yield words, own, meta, gaps
+            continue
+        start = 0
+        for k, f in enumerate(own, 1):
+            if f >> (BITS * 5) & 1 or k == len(own):
+                yield words[start:k], own[start:k], False, gaps if k - start == len(own) else 0
+                start = k
+
+
+def shape(unit: Unit, gaps: int = 0) -> str:
     """'list' or 'sentence' for a unit of clear shape, else ''."""
-    if META.search(unit):
-        return "list"
-    words = unit.split()
-    if LINK.search(unit) or any(map(LINK.search, words)):
+    n = len(unit.words)
+    if unit.links:
         return ""
-    end = unit.rstrip("\"'”»)`*_ ")[-1:]
-    items = [x for x in SEPARATOR.split(unit.strip()) if x]
-    if len(items) >= 6 and len(words) <= 4 * len(items):
-        numbers = sum(any(c.isdigit() for c in x) for x in items)
-        if numbers <= 0.3 * len(items) and not CODE.search(unit):
-            return "list"
-    cells = CELL.split(unit)
-    if len(cells) >= 5 and sum(any(map(str.isalpha, x.split())) for x in cells) >= 0.6 * len(cells) and not CODE.search(unit):
+    items = 1 + unit.separators + gaps
+    if items >= 6 and n - unit.separators <= 4 * items and unit.digits <= 0.3 * items and not unit.code:
         return "list"
-    letters = LETTERS.findall(unit)
-    first = unit.lstrip("\"'“«([*->•# ")[:1]
-    if end and end in ".?!。！？" and (len(letters) >= 6 and len(words) <= 45 and len(items) * 3 <= len(words) and (first.isupper() or first.isdigit()) or not first.isascii() and end in "。！？"):
-        return "sentence"
+    if unit.cells >= 4 and not unit.code and unit.digits <= 0.8 * unit.cells and unit.plain > unit.digits:
+        return "list"
+    if unit.ends:
+        first, last = unit.words[0].lstrip("\"'“«([*->•#")[:1], unit.words[-1]
+        wide = not last.isascii() and END.search(last) is not None and last.rstrip("\"'”»)`*")[-1:] in "。！？"
+        if wide or unit.plain >= 6 and n <= 45 and items * 3 <= n and (first.isupper() or first.isdigit()):
+            return "sentence"
     return ""
 
 
@@ -112,13 +158,24 @@ def _count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             d.clear()
         return out
 
+    facts, parts = WordFacts({}), {}
     for batch in batches:
         for text, url, source in zip(*(c.to_pylist() for c in batch.columns)):
-            own: dict[str, set[str]] = {"list": set(), "sentence": set()}
-            for u in units(text):
-                s = shape(u)
+            raw: dict[str, set[str]] = {"list": set(), "sentence": set()}
+            for words, own_facts, meta, gaps in units(text, facts):
+                s = "list" if meta else shape(Unit(words, sum(own_facts)), gaps)
                 if s:
-                    own[s].update(words_of(u))
+                    raw[s].update(words)
+            own: dict[str, set[str]] = {}
+            for s, words in raw.items():
+                own[s] = set()
+                for w in words:
+                    p = parts.get(w)
+                    if p is None:
+                        if len(parts) > 400_000:
+                            parts.clear()
+                        p = parts[w] = words_of(w)
+                    own[s].update(p)
             if own["list"]:
                 bit = 1 << (xxhash.xxh3_64_intdigest(host_of(url, source)) & 63)
                 for w in own["list"] | {""}:
@@ -162,60 +219,55 @@ def phrase_evidence(pages: DataFrame, formulas: DataFrame | None = None) -> dict
     return out
 
 
-def judge(unit: str, evidence: dict[str, float], before: bool) -> tuple[int, int, bool]:
-    """(words, words in lists, whether the unit ends in a list) of a unit; before: whether the text before it does."""
-    words = unit.split()
-    if META.search(unit):
-        return len(words), len(words), True
+def judge(words: list[str], own: list[int], meta: bool, gaps: int, before: bool) -> tuple[int, bool]:
+    """(words in lists, whether the unit ends in a list) of a unit; before: whether the text before it does."""
+    n = len(words)
+    if meta:
+        return n, True
+    whole = sum(own)
+    bonus = LISTED if shape(Unit(words, whole), gaps) == "list" else 0.0
+    if n <= RUN:
+        state = _in_list(Unit(words, whole), bonus, before, True)
+        return (n if state else 0), state
     listed, state = 0, before
-    shaped = LISTED if shape(unit) == "list" else 0.0
     # The same share of words in every run, so that no short rest is judged alone.
-    runs = max(1, -(-len(words) // RUN))
-    bounds = [len(words) * k // runs for k in range(runs + 1)]
+    runs = -(-n // RUN)
+    bounds = [n * k // runs for k in range(runs + 1)]
     for a, b in zip(bounds, bounds[1:]):
-        run = words[a:b]
-        links = tags = minus = plain = 0
-        odds = shaped + (STAY if state else 0.0)
-        for w in run:
-            if TAG.match(w):
-                tags += 1
-            elif LINK.search(w):
-                links += 1
-            else:
-                for x in words_of(w):
-                    plain += 1
-                    e = evidence.get(x, 0.0)
-                    odds += e
-                    minus += e < 0
-        if tags and tags >= minus and (tags > 1 or len(run) == 1):
-            state = True
-        elif links:
-            state = minus < 2 * links and minus * 3 <= len(run)
-        elif odds > ODDS + (STAY if state and not minus and odds - STAY - shaped < ODDS else 0.0):
-            state = True
-        elif odds < 0 or 2 * plain <= len(run) or runs > 1 or len(run) > 6 or unit.rstrip()[-1:] in ".?!":
-            state = False
-        else:  # a short line without an end and evidence goes with the text before it
-            state = state and not CODE.search(unit)
+        state = _in_list(Unit(words[a:b], sum(own[a:b])), bonus, state, False)
         if state:
-            listed += len(run)
-    return len(words), listed, state
+            listed += b - a
+    return listed, state
+
+
+def _in_list(run: Unit, bonus: float, before: bool, alone: bool) -> bool:
+    n, minus, plain = len(run.words), run.minus, run.plain
+    if run.tags and run.tags >= minus and (run.tags > 1 or n == 1):
+        return True
+    if run.links:
+        return minus < 2 * run.links and minus * 3 <= n
+    odds = run.odds + bonus
+    if odds > ODDS or before and minus and odds + STAY > ODDS:
+        return True
+    # A short line without an end and evidence goes with the text before it.
+    return before and odds >= 0 and 2 * plain > n and alone and n <= 6 and not run.ends and not run.code
 
 
-def page_counts(text: str, evidence: dict[str, float]) -> tuple[int, int]:
+def page_counts(text: str, facts: WordFacts) -> tuple[int, int]:
     """(blank-separated words, those in list units) of a page."""
     total = listed = 0
     state = False
-    for u in units(text):
-        n, k, state = judge(u, evidence, state)
-        total += n
+    for words, own, meta, gaps in units(text, facts):
+        k, state = judge(words, own, meta, gaps, state)
+        total += len(words)
         listed += k
     return total, listed
 
 
 def _judge_pages(batches: Iterator[pa.RecordBatch], evidence: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    facts = WordFacts(evidence)
     for batch in batches:
-        counts = [page_counts(t, evidence) for t in batch.column(1).to_pylist()]
+        counts = [page_counts(t, facts) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in counts], pa.int64()), pa.array([k for _, k in counts], pa.int64())], names=["doc_id", "words", "listed"])
 
 
