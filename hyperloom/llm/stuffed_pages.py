@@ -52,6 +52,7 @@ CODE = re.compile(r"[={}_\[\]\\]|\w\(|\.{4,}")
 FIELDS = ("links", "tags", "digits", "code", "separators", "ends", "minus", "plain", "cells")
 BITS = 20
 MASK = (1 << BITS) - 1
+LINKS, TAGS, DIGITS, CODES, SEPARATORS, ENDS, MINUS, PLAIN, CELLS = (BITS * k for k in range(len(FIELDS)))
 #: The log ratios stand above the counts, as whole numbers of 1/STEPS, raised by MOST so that none is negative.
 STEPS, TOP = 64, BITS * len(FIELDS)
 
@@ -78,66 +79,63 @@ class WordFacts(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        link, tag = bool(LINK.search(w)), bool(TAG.match(w))
-        own = [] if link or tag else words_of(w)
+        if w.isalpha() and w.isascii():  # a plain word has none of the marks
+            own, flags = [w.lower()], (0, 0, 0, 0, 0, 0)
+        else:
+            link, tag = bool(LINK.search(w)), bool(TAG.match(w))
+            own = [] if link or tag else words_of(w)
+            flags = (link, tag, any(c.isdigit() for c in w), not link and bool(CODE.search(w)), bool(SEPARATED.search(w)), bool(END.search(w)))
         odds = [self.evidence.get(x, 0.0) for x in own]
-        flags = (link, tag, any(c.isdigit() for c in w), not link and bool(CODE.search(w)), bool(SEPARATED.search(w)), bool(END.search(w)), sum(e < 0 for e in odds), len(own), w == "|")
-        packed = sum(int(f) << (BITS * k) for k, f in enumerate(flags))
+        packed = sum(int(f) << (BITS * k) for k, f in enumerate((*flags, sum(e < 0 for e in odds), len(own), w == "|")))
         self[w] = packed = packed + (round((sum(odds) + MOST * len(own)) * STEPS) << TOP)
         return packed
 
 
-class Unit:
-    """Counts of some words together."""
-
-    __slots__ = ("words", "packed")
-
-    def __init__(self, words: list[str], packed: int) -> None:
-        self.words, self.packed = words, packed
-
-    def __getattr__(self, name: str) -> int:
-        return self.packed >> (BITS * FIELDS.index(name)) & MASK
-
-    @property
-    def odds(self) -> float:
-        return (self.packed >> TOP) / STEPS - MOST * self.plain
-
-
-def units(text: str, facts: WordFacts) -> Iterator[tuple[list[str], list[int], bool, int]]:
-    """(words, their facts, whether a keyword header, wide gaps) of each sentence or line of a text."""
+def units(text: str, facts: WordFacts) -> Iterator[tuple[list[str], list[int], int, bool, int]]:
+    """(words, their facts, the sum of these, whether a keyword header, wide gaps) of each sentence or line of a text."""
+    known = facts.__getitem__
     for line in text.splitlines():
         words = line.split()
         if not words:
             continue
-        own = list(map(facts.__getitem__, words))
+        own = list(map(known, words))
+        whole = sum(own)
         meta = "<" in line and META.search(line) is not None
         gaps = line.strip().count("  ") if "  " in line else 0
-        ends = sum(own) >> (BITS * 5) & MASK
-        if ends == 0 or meta or ends == 1 and own[-1] >> (BITS * 5) & 1:
-            yield words, own, meta, gaps
+        ends = whole >> ENDS & MASK
+        if ends == 0 or meta or ends == 1 and own[-1] >> ENDS & 1:
+            yield words, own, whole, meta, gaps
             continue
-        start = 0
-        for k, f in enumerate(own, 1):
-            if f >> (BITS * 5) & 1 or k == len(own):
-                yield words[start:k], own[start:k], False, gaps if k - start == len(own) else 0
-                start = k
-
-
-def shape(unit: Unit, gaps: int = 0) -> str:
-    """'list' or 'sentence' for a unit of clear shape, else ''."""
-    n = len(unit.words)
-    if unit.links:
+        start, n = 0, len(own)
+        stops = [k for k, f in enumerate(own, 1) if f >> ENDS & 1]
+        if stops[-1] != n:
+            stops.append(n)
+        for k in stops:
+            part = own[start:k]
+            yield words[start:k], part, sum(part), False, gaps if k - start == n else 0
+            start = k
+
+
+def shape(words: list[str], whole: int, gaps: int = 0) -> str:
+    """'list' or 'sentence' for a unit of clear shape, else ''. whole: the sum of its words' facts."""
+    if whole & MASK:  # links
         return ""
-    items = 1 + unit.separators + gaps
-    if items >= 6 and n - unit.separators <= 4 * items and unit.digits <= 0.3 * items and not unit.code:
-        return "list"
-    if unit.cells >= 4 and not unit.code and unit.digits <= 0.8 * unit.cells and unit.plain > unit.digits:
-        return "list"
-    if unit.ends:
-        first, last = unit.words[0].lstrip("\"'“«([*->•#")[:1], unit.words[-1]
-        wide = not last.isascii() and END.search(last) is not None and last.rstrip("\"'”»)`*")[-1:] in "。！？"
-        if wide or unit.plain >= 6 and n <= 45 and items * 3 <= n and (first.isupper() or first.isdigit()):
+    n, separators, code, digits = len(words), whole >> SEPARATORS & MASK, whole >> CODES & MASK, whole >> DIGITS & MASK
+    items = 1 + separators + gaps
+    if not code:
+        if items >= 6 and n - separators <= 4 * items and digits <= 0.3 * items:
+            return "list"
+        cells = whole >> CELLS & MASK
+        if cells >= 4 and digits <= 0.8 * cells and whole >> PLAIN & MASK > digits:
+            return "list"
+    if whole >> ENDS & MASK:
+        last = words[-1]
+        if not last.isascii() and last.rstrip("\"'”»)`*")[-1:] in "。！？":
             return "sentence"
+        if n <= 45 and items * 3 <= n and whole >> PLAIN & MASK >= 6:
+            first = words[0].lstrip("\"'“«([*->•#")[:1]
+            if first.isupper() or first.isdigit():
+                return "sentence"
     return ""
 
 
@@ -162,8 +160,8 @@ def _count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             raw: dict[str, set[str]] = {"list": set(), "sentence": set()}
-            for words, own_facts, meta, gaps in units(text, facts):
-                s = "list" if meta else shape(Unit(words, sum(own_facts)), gaps)
+            for words, _, whole, meta, gaps in units(text, facts):
+                s = "list" if meta else shape(words, whole, gaps)
                 if s:
                     raw[s].update(words)
             own: dict[str, set[str]] = {}
@@ -219,46 +217,46 @@ def phrase_evidence(pages: DataFrame, formulas: DataFrame | None = None) -> dict
     return out
 
 
-def judge(words: list[str], own: list[int], meta: bool, gaps: int, before: bool) -> tuple[int, bool]:
+def judge(words: list[str], own: list[int], whole: int, meta: bool, gaps: int, before: bool) -> tuple[int, bool]:
     """(words in lists, whether the unit ends in a list) of a unit; before: whether the text before it does."""
     n = len(words)
     if meta:
         return n, True
-    whole = sum(own)
-    bonus = LISTED if shape(Unit(words, whole), gaps) == "list" else 0.0
+    bonus = LISTED if shape(words, whole, gaps) == "list" else 0.0
     if n <= RUN:
-        state = _in_list(Unit(words, whole), bonus, before, True)
+        state = _in_list(n, whole, bonus, before, True)
         return (n if state else 0), state
     listed, state = 0, before
     # The same share of words in every run, so that no short rest is judged alone.
     runs = -(-n // RUN)
     bounds = [n * k // runs for k in range(runs + 1)]
     for a, b in zip(bounds, bounds[1:]):
-        state = _in_list(Unit(words[a:b], sum(own[a:b])), bonus, state, False)
+        state = _in_list(b - a, sum(own[a:b]), bonus, state, False)
         if state:
             listed += b - a
     return listed, state
 
 
-def _in_list(run: Unit, bonus: float, before: bool, alone: bool) -> bool:
-    n, minus, plain = len(run.words), run.minus, run.plain
-    if run.tags and run.tags >= minus and (run.tags > 1 or n == 1):
+def _in_list(n: int, run: int, bonus: float, before: bool, alone: bool) -> bool:
+    """Whether a run of n words with the summed facts ``run`` is part of a list."""
+    minus, plain, tags, links = run >> MINUS & MASK, run >> PLAIN & MASK, run >> TAGS & MASK, run & MASK
+    if tags and tags >= minus and (tags > 1 or n == 1):
         return True
-    if run.links:
-        return minus < 2 * run.links and minus * 3 <= n
-    odds = run.odds + bonus
+    if links:
+        return minus < 2 * links and minus * 3 <= n
+    odds = (run >> TOP) / STEPS - MOST * plain + bonus
     if odds > ODDS or before and minus and odds + STAY > ODDS:
         return True
     # A short line without an end and evidence goes with the text before it.
-    return before and odds >= 0 and 2 * plain > n and alone and n <= 6 and not run.ends and not run.code
+    return before and odds >= 0 and 2 * plain > n and alone and n <= 6 and not (run >> ENDS | run >> CODES) & MASK
 
 
 def page_counts(text: str, facts: WordFacts) -> tuple[int, int]:
     """(blank-separated words, those in list units) of a page."""
     total = listed = 0
     state = False
-    for words, own, meta, gaps in units(text, facts):
-        k, state = judge(words, own, meta, gaps, state)
+    for words, own, whole, meta, gaps in units(text, facts):
+        k, state = judge(words, own, whole, meta, gaps, state)
         total += len(words)
         listed += k
     return total, listed
