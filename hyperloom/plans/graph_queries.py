@@ -1,0 +1,200 @@
+"""Graph queries over the formula table and the recorded traces."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from hyperloom.dist import read_table
+from hyperloom.functions import formula as fm
+from hyperloom.operators import graph, traverse, treewalk
+from hyperloom.plans.registry import query
+
+
+def _edges(spark, d):
+    return read_table(spark, d, "hyperedges")
+
+
+def _targets(spark, d):
+    return _edges(spark, d).select(F.col("output").alias("target")).where("target is not null").distinct()
+
+
+_N = "CAST(regexp_extract(id, '[0-9]+') AS INT)"
+
+
+@query("build_graph", f"""
+WITH seen AS (SELECT {_N} AS k, -1 AS p, output AS variable, domain FROM hyperedges UNION ALL SELECT {_N}, pos - 1, inputs[pos], domain FROM (SELECT *, unnest(range(1, len(inputs) + 1)) AS pos FROM hyperedges))
+SELECT variable, arg_min(domain, k * 1000 + p) AS hypernym FROM seen WHERE variable IS NOT NULL GROUP BY variable""")
+def build_graph(spark, d):
+    return graph.hypernyms(_edges(spark, d).withColumn("k", F.regexp_extract("id", "[0-9]+", 0).cast("int")), "k")
+
+
+@query("scan_graph_json", "SELECT id, output, unnest(inputs) AS input, coalesce(subdomain, domain) AS subdomain FROM hyperedges")
+def scan_graph_json(spark, d):
+    """The graph written as one JSON document and read back into edges."""
+    from hyperloom.dist import shared_dir
+    from hyperloom.sources import files
+
+    path = f"{shared_dir(spark)}/graph-document"
+    files.write_graph_document(_edges(spark, d), read_table(spark, d, "hypernyms"), path)
+    return files.read_graph_document(spark, path).select("id", "output", F.explode("inputs").alias("input"), F.coalesce("subdomain", "domain").alias("subdomain"))
+
+
+@query("all_targets", "SELECT output AS node, true AS producible FROM hyperedges UNION SELECT v, v IN (SELECT output FROM hyperedges) FROM (SELECT unnest(inputs) AS v FROM hyperedges)")
+def all_targets(spark, d):
+    e = _edges(spark, d)
+    made = e.select(F.col("output").alias("node"), F.lit(True).alias("m")).distinct()
+    return graph.nodes(e).join(F.broadcast(made), "node", "left").select("node", F.coalesce("m", F.lit(False)).alias("producible"))
+
+
+@query("all_dependencies", "SELECT v, array_to_string(list_sort(list(DISTINCT dep)), ' ') AS needs FROM (SELECT output AS v, unnest(inputs) AS dep FROM hyperedges) GROUP BY v")
+def all_dependencies(spark, d):
+    return graph.links(_edges(spark, d)).groupBy("v").agg(F.array_join(F.array_sort(F.collect_set("dep")), " ").alias("needs"))
+
+
+_DEPTH = """
+WITH RECURSIVE l AS (SELECT DISTINCT output AS v, unnest(inputs) AS dep FROM hyperedges),
+p AS (SELECT DISTINCT v, v AS e, [v] AS o, 0 AS k FROM l UNION SELECT p.v, l.dep, list_sort(list_append(p.o, l.dep)), k + 1 FROM p JOIN l ON l.v = p.e WHERE NOT list_contains(p.o, l.dep) AND k < 6),
+n AS (SELECT output AS v FROM hyperedges UNION SELECT unnest(inputs) FROM hyperedges)
+SELECT n.v, coalesce(max(p.k), 0) AS depth FROM n LEFT JOIN p USING (v) GROUP BY n.v"""
+
+
+@query("max_dep_depth", _DEPTH)
+def max_dep_depth(spark, d):
+    return graph.depth(_edges(spark, d), 6)
+
+
+@query("deep_variables", f"SELECT v, depth FROM ({_DEPTH}) WHERE depth >= 3")
+def deep_variables(spark, d):
+    return graph.depth(_edges(spark, d), 6).where("depth >= 3")
+
+
+@query("detect_cycles", """
+WITH RECURSIVE l AS (SELECT DISTINCT output AS v, unnest(inputs) AS dep FROM hyperedges),
+r AS (SELECT v, dep FROM l UNION SELECT r.v, l.dep FROM r JOIN l ON l.v = r.dep)
+SELECT DISTINCT v AS node FROM r WHERE v = dep""")
+def detect_cycles(spark, d):
+    return graph.on_cycles(_edges(spark, d))
+
+
+@query("prune_tree", """
+WITH RECURSIVE l AS (SELECT DISTINCT output AS v, unnest(inputs) AS dep FROM hyperedges),
+r AS (SELECT output AS target, output AS node FROM hyperedges UNION SELECT r.target, l.dep FROM r JOIN l ON l.v = r.node)
+SELECT target, node FROM r""")
+def prune_tree(spark, d):
+    return graph.reachable(_edges(spark, d), _targets(spark, d))
+
+
+@query("trace_to_graph", """
+WITH s AS (SELECT record_id, trace.path[i] AS e, i FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset))
+SELECT record_id, e.id || '@' || i AS source, e.output AS sink, 'produces' AS relation FROM s UNION SELECT record_id, unnest(e.inputs), e.id || '@' || i, 'input' FROM s""")
+def trace_to_graph(spark, d):
+    return graph.trace_graph(read_table(spark, d, "dataset"), "record_id")[1]
+
+
+@query("merged_graph", """
+WITH s AS (SELECT record_id, trace.target AS t, trace.leafs AS lf, trace.path[i] AS e FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset)),
+n AS (SELECT record_id, trace.target AS node, 0 AS r FROM dataset UNION ALL SELECT record_id, unnest(trace.leafs), 1 FROM dataset UNION ALL SELECT record_id, e.output, 2 FROM s UNION ALL SELECT record_id, unnest(e.inputs), 3 FROM s),
+k AS (SELECT record_id, node, min(r) AS r FROM n WHERE node IS NOT NULL GROUP BY 1, 2)
+SELECT node, arg_max(CASE r WHEN 0 THEN 'target' WHEN 2 THEN 'derived' ELSE 'leaf' END, record_id) AS kind FROM k GROUP BY node""")
+def merged_graph(spark, d):
+    """Quantities of all drawn traces; a later trace decides the kind."""
+    nodes, _ = graph.trace_graph(read_table(spark, d, "dataset"), "record_id")
+    return nodes.where("kind <> 'formula'").groupBy("node").agg(F.max_by("kind", "record_id").alias("kind"))
+
+
+@query("traces_by_length", "SELECT len(trace.path) AS steps, count(*) AS traces, count(DISTINCT trace.target) AS targets FROM dataset WHERE trace.path IS NOT NULL GROUP BY 1")
+def traces_by_length(spark, d):
+    return read_table(spark, d, "dataset").where("trace.path is not null").groupBy(F.size("trace.path").cast("long").alias("steps")).agg(F.count(F.lit(1)).alias("traces"), F.countDistinct("trace.target").alias("targets"))
+
+
+@query("trace_sample")
+def trace_sample(spark, d):
+    """Eight random traces of every producible target."""
+    return traverse.trace_sample(_targets(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(7)))), _edges(spark, d))
+
+
+@query("trace_enum")
+def trace_enum(spark, d):
+    """All traces of every target to depth 2."""
+    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), 2)
+
+
+@query("trace_enum_chain")
+def trace_enum_chain(spark, d):
+    """Completed chains of every target."""
+    return traverse.trace_chains(_targets(spark, d), _edges(spark, d))
+
+
+@query("limit_traces")
+def limit_traces(spark, d):
+    """The first ten traces of every target."""
+    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), 4, most=10)
+
+
+@query("traces_formatted")
+def traces_formatted(spark, d):
+    """Chains as text lines."""
+    t = traverse.trace_chains(_targets(spark, d), _edges(spark, d))
+    return t.select("target", "trace_no", F.size("path").alias("steps"), F.array_join("path", " > ").alias("line"), F.array_join("leafs", ", ").alias("given"))
+
+
+@query("trace_fallback", "SELECT v AS target, 0 AS steps FROM (SELECT DISTINCT unnest(inputs) AS v FROM hyperedges) WHERE v NOT IN (SELECT output FROM hyperedges)")
+def trace_fallback(spark, d):
+    """Quantities without a formula stand for themselves: one empty trace."""
+    e = _edges(spark, d)
+    bare = graph.nodes(e).withColumnRenamed("node", "target").join(_targets(spark, d), "target", "left_anti")
+    return traverse.trace_chains(bare, e).select("target", F.size("path").alias("steps"))
+
+
+@query("topo_sort", "SELECT record_id, true AS ordered FROM dataset WHERE len(trace.path) > 0")
+def topo_sort(spark, d):
+    """Whether the formulas of every recorded trace can be put in order of execution."""
+    def ordered(paths: pd.Series) -> pd.Series:
+        as_path = lambda p: tuple(traverse.Formula(e["id"], e["output"], tuple(e["inputs"]), None, None) for e in p)
+        return pd.Series([traverse.execution_order(as_path(p)) is not None for p in paths])
+
+    check = F.pandas_udf(ordered, BooleanType())
+    return read_table(spark, d, "dataset").where(F.size("trace.path") > 0).select("record_id", check(F.transform("trace.path", lambda e: F.struct(e["id"], e["output"], e["inputs"]))).alias("ordered"))
+
+
+@query("trace_complete", """
+WITH s AS (SELECT record_id, trace.path AS path, trace.target AS t FROM dataset WHERE len(trace.path) > 0)
+SELECT record_id, array_to_string(list_sort(list_filter(list_distinct(flatten(list_transform(path, lambda e: e.inputs))), lambda x: NOT list_contains(list_transform(path, lambda e: e.output), x))), ' ') AS givens FROM s""")
+def trace_complete(spark, d):
+    """Inputs that no step of a recorded trace makes."""
+    used = F.array_distinct(F.flatten(F.transform("trace.path", lambda e: e["inputs"])))
+    return read_table(spark, d, "dataset").where(F.size("trace.path") > 0).select("record_id", F.array_join(F.array_sort(F.array_except(used, F.transform("trace.path", lambda e: e["output"]))), " ").alias("givens"))
+
+
+@query("tree_walk")
+def tree_walk(spark, d):
+    """Four walks of every target with levels, formulas and values."""
+    return treewalk.tree_walks(_targets(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(3)))), _edges(spark, d))
+
+
+@query("walk_length")
+def walk_length(spark, d):
+    return treewalk.tree_walks(_targets(spark, d).withColumn("seed", F.lit(0)), _edges(spark, d)).groupBy("target").agg(F.max("length").alias("length"), F.count_if("leaf").alias("leafs"))
+
+
+@query("safe_eval", """
+SELECT id, CAST(CASE id WHEN 'f1' THEN NULL END AS DOUBLE) AS none, len(inputs) AS inputs FROM hyperedges""")
+def safe_eval(spark, d):
+    """Every formula compiled; undefined on an empty set of values."""
+    empty = lambda n: F.lit(None).cast("double")
+    forms = treewalk.variables_of(_edges(spark, d))  # a fixed table
+    known = [(f, fm.column(f, empty)) for own in forms.values() for f, needs in own if needs]
+    value = F.lit(None).cast("double")
+    for f, c in known[:20]:
+        value = F.when(F.col("label") == f, c).otherwise(value)
+    return _edges(spark, d).select("id", value.alias("none"), F.size("inputs").cast("long").alias("inputs"))
+
+
+@query("find_working_formula", """
+SELECT output, min(id) AS id FROM hyperedges WHERE len(list_filter(inputs, lambda x: x LIKE '%\\_rate' ESCAPE '\\')) = 0 GROUP BY output""")
+def find_working_formula(spark, d):
+    """Of every quantity the first formula by id that needs no rate."""
+    ok = F.size(F.filter("inputs", lambda x: x.endswith("_rate"))) == 0
+    return _edges(spark, d).where(ok).groupBy("output").agg(F.min("id").alias("id"))
