@@ -134,3 +134,23 @@ def stream_rl_log(spark, d):
 def stream_ema(spark, d):
     """Running means kept per run across micro-batches."""
     return logs.run_to_table(logs.stream_ema(logs.stream_log(spark, f"{d}/rl_steps.parquet")), _place(spark, "stream"), "append")
+
+
+@query("scan_older_graph", "SELECT id, output, coalesce(domain, 'unknown') AS domain, len(inputs) AS inputs FROM hyperedges")
+def scan_older_graph(spark, d):
+    """The graph document in its older reading: formulas without a domain count as unknown."""
+    path = _place(spark, "older")
+    files.write_graph_document(read_table(spark, d, "hyperedges"), read_table(spark, d, "hypernyms"), path)
+    return files.read_graph_document(spark, path).select("id", "output", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.size("inputs").cast("long").alias("inputs"))
+
+
+@query("scan_variable_graph", "SELECT output AS variable, coalesce(output_unit, '') AS si_unit, label AS formula, len(inputs) AS needs FROM hyperedges")
+def scan_variable_graph(spark, d):
+    """Formulas as a variable document, half of them as bare texts, read back."""
+    path = _place(spark, "variables")
+    e = read_table(spark, d, "hyperedges").withColumn("k", F.regexp_extract("id", "[0-9]+", 0).cast("int") % 2)
+    whole = F.to_json(F.struct(F.col("label").alias("formula"), F.col("inputs").alias("dependencies")))
+    quoted = F.concat(F.lit('"'), "label", F.lit('"'))
+    entry = F.concat(F.lit('{"variable": "'), "output", F.lit('", "si_unit": "'), F.coalesce("output_unit", F.lit("")), F.lit('", "formulas": ['), F.when(F.col("k") == 0, whole).otherwise(quoted), F.lit("]}"))
+    e.agg(F.concat(F.lit('{"variables": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+    return files.read_variable_graph(spark, path).select("variable", "si_unit", "formula", F.size("dependencies").cast("long").alias("needs"))

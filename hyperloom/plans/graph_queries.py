@@ -198,3 +198,34 @@ def find_working_formula(spark, d):
     """Of every quantity the first formula by id that needs no rate."""
     ok = F.size(F.filter("inputs", lambda x: x.endswith("_rate"))) == 0
     return _edges(spark, d).where(ok).groupBy("output").agg(F.min("id").alias("id"))
+
+
+@query("eval_backward")
+def eval_backward(spark, d):
+    """Values of the targets of random walks."""
+    return treewalk.tree_walks(_targets(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(3)))), _edges(spark, d)).where("node = target").select("target", "seed", "value")
+
+
+@query("cycle_break")
+def cycle_break(spark, d):
+    """Derived quantities of walks through quantities that lie on a cycle."""
+    on = graph.on_cycles(_edges(spark, d)).select(F.col("node").alias("target"))
+    return treewalk.tree_walks(on.withColumn("seed", F.lit(1)), _edges(spark, d), 6).select("target", "node", "level", "leaf", "value")
+
+
+@query("creates_cycle", """
+SELECT a.id, bool_or(b.id IS NOT NULL OR list_contains(a.inputs, a.output)) AS turns_back FROM hyperedges a LEFT JOIN hyperedges b ON list_contains(a.inputs, b.output) AND list_contains(b.inputs, a.output) GROUP BY a.id""")
+def creates_cycle(spark, d):
+    """Whether a formula needs its own quantity, itself or through one other formula."""
+    e = _edges(spark, d)
+    own = e.select("id", "output", F.explode("inputs").alias("x"))
+    back = e.select(F.col("output").alias("x"), F.explode("inputs").alias("y"))
+    two = own.join(back, "x").where("y = output").select("id")
+    hits = own.where("x = output").select("id").union(two).distinct().withColumn("t", F.lit(True))
+    return e.select("id").join(hits, "id", "left").select("id", F.coalesce("t", F.lit(False)).alias("turns_back"))
+
+
+@query("try_formulas", "SELECT output, min(id) AS id FROM hyperedges WHERE len(inputs) <= 2 GROUP BY output")
+def try_formulas(spark, d):
+    """Of every quantity the first formula by id that two values suffice for."""
+    return _edges(spark, d).where(F.size("inputs") <= 2).groupBy("output").agg(F.min("id").alias("id"))

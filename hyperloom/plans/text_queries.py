@@ -230,3 +230,50 @@ def pick_difficulty(spark, d):
     rows = read_table(spark, d, "dataset").where("target is not null and question is not null and requested_difficulty = 5")
     last = rows.groupBy("target").agg(F.max_by(F.struct(F.col("requested_difficulty").alias("difficulty"), "question"), "record_id").alias("item"))
     return last.select("target", parse.pick_difficulty(F.array("item"), F.lit(5)).alias("question"))
+
+
+@query("preview", "SELECT record_id, translate(left(question, 40), chr(10), ' ') || CASE WHEN length(question) > 40 THEN '…' ELSE '' END AS preview FROM dataset WHERE question IS NOT NULL")
+def preview(spark, d):
+    return read_table(spark, d, "dataset").where("question is not null").select("record_id", text.preview(F.col("question"), 40).alias("preview"))
+
+
+_REQUIREMENTS = "'Difficulty: ' || requested_difficulty || chr(10) || 'Domain: ' || coalesce(nullif(domain, ''), '(unspecified)') || chr(10) || 'Given: ' || coalesce(nullif(array_to_string(list_filter(trace.leafs, lambda x: x IS NOT NULL), ', '), ''), '(none)')"
+_WHOLE = "FROM dataset WHERE requested_difficulty IS NOT NULL AND trace_str IS NOT NULL AND question IS NOT NULL"
+
+
+def _requirements():
+    given = F.coalesce(F.nullif(F.array_join(F.array_compact("trace.leafs"), ", "), F.lit("")), F.lit("(none)"))
+    return F.concat(F.lit("Difficulty: "), F.col("requested_difficulty").cast("string"), F.lit("\nDomain: "), F.coalesce(F.nullif("domain", F.lit("")), F.lit("(unspecified)")), F.lit("\nGiven: "), given)
+
+
+def _whole(spark, d):
+    return read_table(spark, d, "dataset").where("requested_difficulty is not null and trace_str is not null and question is not null")
+
+
+@query("sft_text", f"SELECT record_id, {_REQUIREMENTS} || chr(10) || trace_str || chr(10) || 'Question: ' || question AS text {_WHOLE}")
+def sft_text(spark, d):
+    return _whole(spark, d).select("record_id", F.concat(_requirements(), F.lit("\n"), "trace_str", F.lit("\nQuestion: "), "question").alias("text"))
+
+
+@query("inference_prompt", f"SELECT record_id, {_REQUIREMENTS} || chr(10) || trace_str || chr(10) || 'Question:' AS prompt {_WHOLE}")
+def inference_prompt(spark, d):
+    return _whole(spark, d).select("record_id", F.concat(_requirements(), F.lit("\n"), "trace_str", F.lit("\nQuestion:")).alias("prompt"))
+
+
+@query("sft_user_message", f"SELECT record_id, 'Write a problem that asks for ' || coalesce(trace.target, target, '') || '.' || chr(10) || {_REQUIREMENTS} AS message {_WHOLE}")
+def sft_user_message(spark, d):
+    return _whole(spark, d).select("record_id", F.concat(F.lit("Write a problem that asks for "), F.coalesce("trace.target", "target", F.lit("")), F.lit(".\n"), _requirements()).alias("message"))
+
+
+@query("chat_text", f"SELECT record_id, 'S' || chr(10) || chr(10) || 'User: ' || trace_str || chr(10) || chr(10) || 'Assistant: ' || question AS text {_WHOLE}")
+def chat_text(spark, d):
+    return _whole(spark, d).select("record_id", text.chat_text(F.lit("S"), F.col("trace_str"), F.col("question")).alias("text"))
+
+
+@query("judge_scores")
+def judge_scores(spark, d):
+    """Answers of the built-in judge to every evaluated question, parsed."""
+    from hyperloom.operators.scoring import answers
+
+    said = answers(read_table(spark, d, "eval_sft").select("eval_id", "question"), "eval_id", "question")
+    return said.select("eval_id", parse.parse_score(F.col("answer")).alias("score"))

@@ -99,3 +99,18 @@ def beside(path: str, ending: str) -> str:
     """The path of a companion: x.json and '_failed' give x_failed.json."""
     stem, dot, suffix = path.rpartition(".")
     return f"{stem}{ending}.{suffix}" if dot and "/" not in suffix else f"{path}{ending}"
+
+
+#: A variable's formulas are either objects or bare texts; both read as text and are told apart by their first sign.
+VARIABLES = "variables array<struct<variable:string,si_unit:string,formulas:array<string>>>"
+
+
+def read_variable_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(variable, si_unit, formula, dependencies) of a variable document; a bare formula's names are its dependencies."""
+    from hyperloom.functions.text import formula_names
+
+    v = spark.read.schema(VARIABLES).json(path, multiLine=True).select(F.explode("variables").alias("v"))
+    rows = v.select("v.variable", F.coalesce("v.si_unit", F.lit("")).alias("si_unit"), F.explode_outer("v.formulas").alias("f"))
+    parsed = rows.withColumn("o", F.when(F.col("f").startswith("{"), F.from_json("f", "formula string, dependencies array<string>")))
+    formula = F.coalesce("o.formula", F.when(~F.col("f").startswith("{"), F.col("f")))
+    return parsed.select("variable", "si_unit", formula.alias("formula"), F.coalesce("o.dependencies", formula_names(formula)).alias("dependencies"))
