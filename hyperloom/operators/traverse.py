@@ -46,6 +46,7 @@ class Graph:
         self.making: dict[str, list[Formula]] = {}
         for f in self.formulas:
             self.making.setdefault(f.output, []).append(f)
+        self.nodes = {x for f in self.formulas for x in (f.output, *f.inputs)}
 
     def usable(self, v: str, target: str, trace: Trace) -> list[Formula]:
         """Formulas for v that do not need the target and keep to the domain held."""
@@ -216,7 +217,9 @@ def complete(chain: Chain, target: str, fits: Callable[[str, str], bool] = lambd
 
 
 def complete_chains(graph: Graph, target: str, depth: int = 10, most: int = 100, fits=lambda p, c: True) -> list[Chain]:
-    """Valid chains of a known quantity; one empty chain with the target given if there is none."""
+    """Valid chains of a known quantity; one empty chain with the target given if there is none. [] for an unknown one."""
+    if target not in graph.nodes:
+        return []
     found = [c for c in (complete(c, target, fits) for c in chains(graph, target, depth, most)) if c is not None]
     return found or [Chain((), frozenset({target}), frozenset(), 0)]
 
