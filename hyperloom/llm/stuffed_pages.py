@@ -35,7 +35,7 @@ KEPT = 2e-4
 #: Least and most log ratio of a phrase's page shares in lists and in sentences that counts as evidence.
 ODDS, MOST = 1.0, 4.0
 #: What the shape of a list and a list before it add to the log ratios of a run of words.
-LISTED, STAY = 6.0, 5.0
+LISTED, STAY = 6.0, 10.0
 
 #: Runs of letters; signs of scripts without blanks stand apart from those of others.
 LETTERS = re.compile(r"[^\W\d_\u2e80-\U0003ffff]+(?:[-'’][^\W\d_\u2e80-\U0003ffff]+)*|(?:(?![\W\d_])[\u2e80-\U0003ffff])+")
