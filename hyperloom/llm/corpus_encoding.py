@@ -15,6 +15,7 @@ import base64
 import heapq
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,40 +41,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_WORD = (1 << 64) - 1
+
+
 class PerfectHash:
     """Minimal perfect hash of byte strings by displacement: as many slots as keys, two array reads a lookup."""
 
     def __init__(self, keys: list[bytes]) -> None:
         n = len(keys)
         self.n, self.buckets = n, max(1, n // 3)
-        h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-        if len(np.unique(h)) != n:
+        hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
+        if len(set(hashes)) != n:
             raise ValueError("keys repeat or their hashes collide")
-        bucket = (h >> np.uint64(32)) % np.uint64(self.buckets)
+        members: list[list[int]] = [[] for _ in range(self.buckets)]
+        for k, h in enumerate(hashes):
+            members[(h >> 32) % self.buckets].append(k)
         self.shift = np.zeros(self.buckets, dtype=np.int64)
         self.slot_key = np.full(n, -1, dtype=np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sizes = np.bincount(bucket.astype(np.int64), minlength=self.buckets)
-        ends = np.cumsum(sizes)
-        free = np.ones(n, dtype=bool)
-        for b in np.argsort(-sizes, kind="stable"):
-            members = order[ends[b] - sizes[b] : ends[b]]
-            if len(members) == 0:
-                break
-            if len(members) == 1:  # a single key takes any free slot: its bucket stores the slot itself
-                continue
-            d = 0
-            while True:
+        taken = bytearray(n)
+        for b in sorted((b for b in range(self.buckets) if len(members[b]) > 1), key=lambda b: (-len(members[b]), b)):
+            own, d, slots = [hashes[k] for k in members[b]], 0, [0]
+            while len(set(slots)) < len(own) or any(map(taken.__getitem__, slots)):
                 d += 1
-                slots = self._place(h[members], np.uint64(d))
-                if free[slots].all() and len(np.unique(slots)) == len(slots):
-                    break
-            self.shift[b], free[slots] = d, False
-            self.slot_key[slots] = members
-        singles = np.flatnonzero(sizes == 1)
-        slots = np.flatnonzero(free)
-        keys_of = order[ends[singles] - 1]
-        self.shift[singles], self.slot_key[slots] = -slots[: len(singles)] - 1, keys_of
+                by = d * 0x9E3779B97F4A7C15 & _WORD
+                slots = [((x := (h ^ by) * 0xBF58476D1CE4E5B9 & _WORD) ^ x >> 31) % n for h in own]
+            self.shift[b] = d
+            for k, slot in zip(members[b], slots):
+                taken[slot], self.slot_key[slot] = 1, k
+        # A key alone in its bucket takes any free slot: its bucket stores the slot itself.
+        free = (slot for slot in range(n) if not taken[slot])
+        for b in range(self.buckets):
+            if len(members[b]) == 1:
+                slot = next(free)
+                self.shift[b], self.slot_key[slot] = -slot - 1, members[b][0]
 
     def _place(self, h: np.ndarray, d: np.ndarray | np.uint64) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -199,8 +199,13 @@ def pretokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+@lru_cache(maxsize=4)
+def _state(path: str) -> tuple[dict[bytes, int], dict]:
+    return Encoder(read_ranks(path)).state()
+
+
 def _held(spark, name: str, folder: str | None):
-    return spark.sparkContext.broadcast(Encoder(read_ranks(os.path.join(folder or TOKENIZERS, f"{name}.tiktoken"))).state())
+    return spark.sparkContext.broadcast(_state(os.path.join(folder or TOKENIZERS, f"{name}.tiktoken")))
 
 
 def encode(texts: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
