@@ -30,31 +30,58 @@ from hyperloom.llm.corpus_encoding import documents, token_counts
 CAPACITY = 2048
 
 
-def _complement(left: np.ndarray, gap: int) -> list[int]:
-    """Up to three available lengths that sum to the gap, from the fewest items and the longest first; [] if none."""
-    if left[gap] > 0:
-        return [gap]
-    live = np.flatnonzero(left[: gap + 1])
-    live = live[live > 0]
-    if not len(live):
+class Lengths:
+    """Counts of the lengths 1..capacity still available, with bit sets of them and of their complements.
+
+    Bit x of ``there`` tells that length x is left, bit capacity - x of ``mirror`` the same; so the lengths whose
+    partner for a sum is left, too, are the bits of one shift and one and.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.capacity, self.left = capacity, [0] * (capacity + 1)
+        self.there = self.mirror = 0
+        for size, n in counts.items():
+            if n > 0:
+                self.left[size] = n
+                self.there |= 1 << size
+                self.mirror |= 1 << (capacity - size)
+
+    def take(self, size: int, n: int = 1) -> None:
+        self.left[size] -= n
+        if not self.left[size]:
+            self.there ^= 1 << size
+            self.mirror ^= 1 << (self.capacity - size)
+
+    def pairs(self, total: int) -> int:
+        """Bits of the lengths that some length left adds up to the total with."""
+        return self.there & self.mirror >> (self.capacity - total)
+
+    def longest(self, most: int) -> int:
+        """The longest length left up to ``most``; 0 if none is."""
+        return max(0, (self.there & (2 << most) - 1).bit_length() - 1)
+
+    def complement(self, gap: int) -> list[int]:
+        """Up to three lengths left that sum to the gap, the fewest first and of these the longest; [] if there are none."""
+        left = self.left
+        if left[gap]:
+            return [gap]
+        for a in _down(self.pairs(gap)):
+            if a != gap - a or left[a] > 1:
+                return [a, gap - a]
+        for a in _down(self.there & (1 << max(gap - 1, 0)) - 1):
+            for b in _down(self.pairs(gap - a) & (2 << a) - 1):
+                c = gap - a - b
+                if left[b] > (b == a) and left[c] > (c == a) + (c == b):
+                    return [a, b, c]
         return []
-    other = gap - live
-    fits = (other > 0) & (left[other] > (other == live))
-    if fits.any():
-        a = int(live[fits].max())
-        return [a, gap - a]
-    for a in live[::-1].tolist():  # triples: a pair sum for what the longest leaves
-        rest = gap - a
-        if rest < 2:
-            continue
-        b = live[live <= min(a, rest - 1)]
-        c = rest - b
-        need_c = 1 + (c == b) + (c == a)
-        ok = (c > 0) & (left[c] >= need_c) & (left[b] >= 1 + (b == a))
-        if ok.any():
-            b1 = int(b[ok].max())
-            return [a, b1, rest - b1]
-    return []
+
+
+def _down(bits: int) -> Iterator[int]:
+    """Set bits from the highest to the lowest, without bit 0."""
+    while bits > 1:
+        top = bits.bit_length() - 1
+        yield top
+        bits ^= 1 << top
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -63,25 +90,23 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int,
     A container is filled from the longest length left; the same filling is repeated as often as the counts allow, so
     that every entry uses up one of its lengths but for a remainder.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in counts.items():
-        left[size] = n
+    lengths = Lengths(counts, capacity)
     plan: list[tuple[dict[int, int], int]] = []
-    for size in range(capacity, 0, -1):
-        while left[size] > 0:
-            use, gap, fill = {}, capacity, [size]
-            while fill:
-                for x in fill:
-                    use[x] = use.get(x, 0) + 1
-                    left[x] -= 1
-                    gap -= x
-                fill = _complement(left, gap) if gap else []
-                if not fill and gap and len(live := np.flatnonzero(left[1 : gap + 1])):
-                    fill = [int(live[-1]) + 1]
-            more = min(int(left[x]) // k for x, k in use.items())
+    while size := lengths.longest(capacity):
+        use, gap, fill = {}, capacity, [size]
+        while fill:
+            for x in fill:
+                use[x] = use.get(x, 0) + 1
+                lengths.take(x)
+                gap -= x
+            fill = lengths.complement(gap) if gap else []
+            if not fill and gap and (x := lengths.longest(gap)):
+                fill = [x]
+        more = min(lengths.left[x] // k for x, k in use.items())
+        if more:
             for x, k in use.items():
-                left[x] -= more * k
-            plan.append((use, 1 + more))
+                lengths.take(x, more * k)
+        plan.append((use, 1 + more))
     return plan
 
 
