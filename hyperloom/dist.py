@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _session_dirs:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="hyperloom-")
             spark.sparkContext.setCheckpointDir(base)
         _session_dirs[app] = f"{base.rstrip('/')}/hyperloom-{uuid.uuid4().hex}"
