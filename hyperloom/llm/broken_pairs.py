@@ -3,7 +3,7 @@
 A pair is a first text (what was asked) and a second (what came of it); a defective second text is reported with the
 first defect that applies, in the order of ``DEFECTS``.
 
-Method: the language of the second text is judged by the posteriors of a character n-gram naive Bayes, fitted on a
+Method: the languages of both texts are compared by the posteriors of a character n-gram naive Bayes, fitted on a
 bounded sample of pages with a language label; a text that breaks off is found by the likelihood that a text ends
 after its last words, from n-gram counts over the ends and the insides of all texts, in which the names of quantities
 and all numbers are masked; a text that ends inside a name breaks off. Empty texts, refusals and copies are found on the way by rules on the words.
@@ -230,9 +230,14 @@ class Languages:
         score = self.table[[rows[w] if w in rows else self._row(w) for w in words]].sum(axis=0) / GRAM
         return score - score[self.english]
 
-    def is_foreign(self, words: list[str]) -> bool:
+    def is_foreign(self, words: list[str], least: float = FOREIGN_ODDS) -> bool:
         enough = len(words) >= FOREIGN_WORDS or any(w > "\u02ff" for w in words)
-        return enough and float(self.odds(words).max()) >= FOREIGN_ODDS
+        return enough and float(self.odds(words).max()) >= least
+
+    def differ(self, first: list[str], second: list[str], names: Names) -> bool:
+        """Whether the second text is foreign while the first is English; against a foreign first text twice the odds."""
+        own = plain(second, names)
+        return self.is_foreign(own) and (not self.is_foreign(plain(first, names)) or self.is_foreign(own, 2 * FOREIGN_ODDS))
 
 
 def grams_of(word: str) -> list[str]:
@@ -341,7 +346,7 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
                         defect = "copy"
                     else:
                         unquoted = names.mask(WORDS.findall(QUOTED.sub(" ", text).lower())) if '"' in text else masked
-                        if languages.is_foreign(plain(unquoted, names)):
+                        if languages.differ(names.mask(WORDS.findall((first or "").lower())), unquoted, names):
                             defect = "language"
                         elif masked[-1:] == ["P"]:
                             defect = "truncated"

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.dist import read_table
+from hyperloom.dist import read_table, shared_table
 
 #: Least share of words in list units, words of a run, hosts that must replicate a phrase in lists.
 SHARE, RUN, HOSTS = 0.75, 14, 3
@@ -195,16 +195,15 @@ def phrase_evidence(pages: DataFrame, formulas: DataFrame | None = None) -> dict
     KEPT; the driver may hold them.
     """
     counts = pages.select("text", "url", "source").mapInArrow(_count_phrases, "phrase string, lists long, sentences long, hosts long")
-    total = counts.groupBy("phrase").agg(F.sum("lists").alias("lists"), F.sum("sentences").alias("sentences"), F.bit_count(F.bit_or("hosts")).alias("hosts")).persist()
-    try:
-        whole = total.where("phrase = ''").collect()
-        if not whole:
-            return {}
-        n_list, n_sentence = max(1, whole[0]["lists"]), max(1, whole[0]["sentences"])
-        least = lambda n: max(3.0, KEPT * n)
-        kept = total.where((F.col("lists") >= least(n_list)) | (F.col("sentences") >= least(n_sentence))).where("phrase <> ''").collect()
-    finally:
-        total.unpersist()
+    sums = counts.groupBy("phrase").agg(F.sum("lists").alias("lists"), F.sum("sentences").alias("sentences"), F.bit_count(F.bit_or("hosts")).alias("hosts"))
+    total = shared_table(sums, "phrases")
+    whole = total.df.where("phrase = ''").collect()
+    if not whole:
+        return {}
+    n_list, n_sentence = max(1, whole[0]["lists"]), max(1, whole[0]["sentences"])
+    least = lambda n: max(3.0, KEPT * n)
+    kept = total.df.where((F.col("lists") >= least(n_list)) | (F.col("sentences") >= least(n_sentence))).where("phrase <> ''").collect()
+    total.drop()
     names = set()
     if formulas is not None:
         named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
