@@ -33,7 +33,7 @@ def step_stats(stream: DataFrame) -> DataFrame:
 
 def windowed_stats(stream: DataFrame, late: str = "2 days", width: str = "1 hour") -> DataFrame:
     """Lines and mean reward per run and hour of logging; lines later than ``late`` are dropped by the watermark."""
-    timed = stream.withWatermark("logged_at", late)
+    timed = stream.withColumn("logged_at", F.col("logged_at").cast("timestamp")).withWatermark("logged_at", late)
     return timed.groupBy(F.window("logged_at", width), "run_id").agg(F.count(F.lit(1)).alias("lines"), F.avg("mean_reward_raw").alias("mean"))
 
 

@@ -84,4 +84,4 @@ def test_relational_operators(spark):
     assert {r["node"] for r in reach.collect()} == {"s", "d", "b", "e", "a", "c"}
     empty = e.limit(0)
     assert relational.on_cycles(empty).count() == 0 and relational.depth(empty, 3).count() == 0
-    assert tr.trace_sample(e.select(F.col("output").alias("target")).withColumn("seed", F.lit(1)), e).count() == 8
+    assert tr.trace_sample(e.select(F.col("output").alias("target")).withColumn("seed", F.lit(1)), e).count() == 6  # s needs itself
