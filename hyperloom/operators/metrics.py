@@ -45,9 +45,10 @@ def alignment(rows: DataFrame, requested: str, judged: str) -> DataFrame:
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, n) of equal-width bins over min..max, the last one closed; one distinct value fills the first bin."""
     v = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    lo, hi = v.agg(F.min("v")).scalar(), v.agg(F.max("v")).scalar()
+    placed = v.select("v", lo.alias("lo"), hi.alias("hi"))
     at = F.least(F.lit(bins), F.coalesce(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins) + 1, F.lit(1)))
-    return v.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return placed.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def expected_words(trace: Column) -> Column:
@@ -59,11 +60,11 @@ def expected_words(trace: Column) -> Column:
 def with_distractors(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``distractors``: sorted vocabulary words of the question that its trace does not account for.
 
-    The vocabulary is that of the graph's variables, a fixed table; it becomes one array and is sent with the plan.
+    The vocabulary is that of the graph's variables, a fixed table; it becomes one array by a scalar subquery.
     """
-    words = names.select(F.explode(text.keywords(F.col("variable"))).alias("w")).agg(F.collect_set("w").alias("_v"))
+    words = names.select(F.explode(text.keywords(F.col("variable"))).alias("w")).agg(F.collect_set("w")).scalar()
     found = F.array_intersect(text.tokens(F.col("question")), F.col("_v"))
-    out = rows.crossJoin(F.broadcast(words)).withColumn("distractors", F.array_sort(F.array_except(found, expected_words(F.col("trace")))))
+    out = rows.withColumn("_v", words).withColumn("distractors", F.array_sort(F.array_except(found, expected_words(F.col("trace")))))
     return out.drop("_v")
 
 

@@ -46,8 +46,7 @@ def browse(records: DataFrame, difficulties: list[int] | None = None, chapters:
 def held_out(pool: DataFrame, used: DataFrame, key: str) -> DataFrame:
     """Rows of the pool whose key is not among the used ones; the whole pool if none is left."""
     fresh = pool.join(used.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    some = fresh.limit(1).select(F.lit(True).alias("_some"))
-    return fresh.unionByName(pool.join(F.broadcast(some), F.lit(True), "left_anti"))
+    return fresh.unionByName(pool.where(~fresh.limit(1).exists()))
 
 
 def positional_pairs(left: DataFrame, right: DataFrame, left_order: str, right_order: str, columns: list[str]) -> DataFrame:
@@ -67,9 +66,9 @@ def numbered(rows: DataFrame, order: str, bucket_bits: int = 12) -> DataFrame:
 
     Equal-width buckets of the column's range are counted; each row's place is its bucket's offset and its place there.
     """
-    ends = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    ends = rows.withColumn("_lo", rows.agg(F.min(order)).scalar()).withColumn("_hi", rows.agg(F.max(order)).scalar())
     width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(1 << bucket_bits)))
-    b = rows.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
+    b = ends.withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most 2**bucket_bits rows
     starts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     inside = Window.partitionBy("_b").orderBy(order)

@@ -320,8 +320,7 @@ def faith_reward_1_10(spark, d):
 @query("length_reward", "SELECT record_id, len(trace.path) / CAST((SELECT max(len(trace.path)) FROM dataset) AS DOUBLE) * 2 - 1 AS reward FROM dataset WHERE trace.path IS NOT NULL")
 def length_reward(spark, d):
     rows = _data(spark, d).where("trace.path is not null").select("record_id", F.size("trace.path").alias("n"))
-    most = rows.agg(F.max("n").alias("most"))
-    return rows.crossJoin(F.broadcast(most)).select("record_id", rewards.length_reward(F.col("n"), F.col("most")).alias("reward"))
+    return rows.withColumn("most", rows.agg(F.max("n")).scalar()).select("record_id", rewards.length_reward(F.col("n"), F.col("most")).alias("reward"))
 
 
 @query("token_budget", "SELECT record_id, 256 + 64 * greatest(0, requested_difficulty - 3) + CASE WHEN chain_of_thought IS NOT NULL THEN 512 ELSE 0 END AS budget FROM dataset WHERE requested_difficulty IS NOT NULL")

@@ -24,7 +24,8 @@ def write_graph_document(edges: DataFrame, hypernyms: DataFrame, path: str) -> N
     nodes = edges.select(F.col("output").alias("n")).union(edges.select(F.explode("inputs"))).agg(F.array_sort(F.collect_set("n")).alias("nodes"))
     rows = edges.agg(F.collect_list(F.struct("id", "domain", "subdomain", "output", "inputs", "label", "output_unit")).alias("hyperedges"))
     names = hypernyms.groupBy("variable").agg(F.min("hypernym").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("variable", "h"))).alias("hypernyms"), F.array_sort(F.collect_set("h")).alias("chapters"))
-    nodes.crossJoin(rows).crossJoin(names).coalesce(1).write.mode("overwrite").json(path)
+    whole = nodes.withColumn("hyperedges", rows.scalar()).withColumn("h", names.select(F.struct("hypernyms", "chapters")).scalar())
+    whole.select("nodes", "hyperedges", "h.hypernyms", "h.chapters").coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_graph_document(spark: SparkSession, path: str) -> DataFrame:
