@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -52,31 +53,82 @@ def capped_sample(rows: DataFrame, by: str, kind: str, order: str, each: int, mo
     return few.join(starts, [kind, by]).where(F.col("_s") + F.col("_r") <= most).drop("_r", "_c", "_s")
 
 
-def ema(rows: DataFrame, by: str, order: str, values: list[str], decay: float = 0.9, start: float = 1.0) -> DataFrame:
+def ema(rows: DataFrame, by: str, order: str, values: list[str], decay: float = 0.9, start: float = 1.0, span: int = 10_000) -> DataFrame:
     """Running means as they stand before each row: ema_t = decay * ema_(t-1) + (1 - decay) * value_(t-1), from ``start``.
 
-    Groups are folded in order as their sorted rows stream by, so a long run needs no memory.
+    ``order`` is an integer column. A run is cut into spans of it that are folded apart: a span of n values takes what
+    comes in to decay**n times that plus a constant, so the spans' starts follow from one row a span, and a run of any
+    length is spread over tasks. A null value leaves the means as they are.
     """
-    sorted_rows = rows.select(by, order, *values).where(F.col(by).isNotNull() & F.col(order).isNotNull()).repartition(by).sortWithinPartitions(by, order)
-    names = [by, order, *(f"ema_{v}" for v in values)]
+    own = rows.select(by, order, *values).where(F.col(by).isNotNull() & F.col(order).isNotNull()).withColumn("_span", F.floor(F.col(order) / span))
+    kind, whole = dict(rows.dtypes)[by], dict(rows.dtypes)[order]
+    type_ = to_arrow_type(rows.schema[by].dataType)
+    key = f"`{by}` {kind}, _span long"
+    after = [F.col(order).cast("long").alias(order), *(F.col(v) for v in values)]
+
+    def constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(by, span, decay**n and constant of each value) of each span."""
+        for k, group in _groups(batches):
+            row = list(k)
+            for v in range(len(values)):
+                factor, constant = 1.0, 0.0
+                for x in (r[3 + v] for r in group):
+                    if x is not None:
+                        factor, constant = factor * decay, decay * constant + (1 - decay) * x
+                row += [factor, constant]
+            yield pa.RecordBatch.from_arrays([pa.array(row[:1], type_), *(pa.array([x]) for x in row[1:])], names=[by, "_span", *(f"_{n}{v}" for v in range(len(values)) for n in "fc")])
+
+    pairs = ", ".join(f"_f{v} double, _c{v} double" for v in range(len(values)))
+    cut = own.select(by, "_span", *after).repartition(by, "_span").sortWithinPartitions(by, "_span", order)
+    spans = cut.mapInArrow(constants, f"{key}, {pairs}")
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(by, span, mean that comes in of each value): a fold over one row a span."""
+        run, state = None, []
+        for batch in batches:
+            out: list[list] = [[] for _ in range(2 + len(values))]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != run:
+                    run, state = row[0], [start] * len(values)
+                for c, x in zip(out, (row[0], row[1], *state)):
+                    c.append(x)
+                state = [row[2 + 2 * v] * state[v] + row[3 + 2 * v] for v in range(len(values))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], type_), pa.array(out[1], pa.int64()), *(pa.array(c, pa.float64()) for c in out[2:])], names=[by, "_span", *(f"_s{v}" for v in range(len(values)))])
+
+    ins = ", ".join(f"_s{v} double" for v in range(len(values)))
+    first = spans.repartition(by).sortWithinPartitions(by, "_span").mapInArrow(starts, f"{key}, {ins}")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, state = None, []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+        """The means before each row of a span, from the span's start."""
+        for k, group in _groups(batches):
             out: list[list] = [[] for _ in values]
-            for row in zip(*columns):
-                if row[0] != group:
-                    group, state = row[0], [start] * len(values)
-                for k, v in enumerate(row[2:]):
-                    out[k].append(state[k])
-                    if v is not None:
-                        state[k] = decay * state[k] + (1 - decay) * v
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, pa.float64()) for o in out)], names=names)
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{by}` {kinds[by]}", f"`{order}` {kinds[order]}", *(f"`ema_{v}` double" for v in values)])
-    return sorted_rows.mapInArrow(fold, schema)
+            for v in range(len(values)):
+                mean = group[0][3 + len(values) + v]
+                for r in group:
+                    out[v].append(mean)
+                    if r[3 + v] is not None:
+                        mean = decay * mean + (1 - decay) * r[3 + v]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0]] * len(group), type_), pa.array([r[2] for r in group], pa.int64()), *(pa.array(o, pa.float64()) for o in out)], names=names)
+
+    names = [by, order, *(f"ema_{v}" for v in values)]
+    joined = own.join(first, [by, "_span"]).select(by, "_span", *after, *(f"_s{v}" for v in range(len(values))))
+    schema = ", ".join([f"`{by}` {kind}", f"`{order}` long", *(f"`ema_{v}` double" for v in values)])
+    out = joined.repartition(by, "_span").sortWithinPartitions(by, "_span", order).mapInArrow(fold, schema)
+    return out.withColumn(order, F.col(order).cast(whole))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by their first two columns, group by group."""
+    key, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != key and group:
+                yield key, group
+                group = []
+            key = row[:2]
+            group.append(row)
+    if group:
+        yield key, group
 
 
 def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame:

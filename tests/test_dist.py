@@ -53,8 +53,9 @@ def test_line_logs(spark, tmp_path):
 
 def test_ema_order_and_gaps(spark):
     df = spark.createDataFrame([("r", 2, 0.5), ("r", 1, 2.0), ("r", 3, None), ("r", 4, 1.0), ("q", 1, 5.0), (None, 1, 1.0)], "run string, step int, v double")
-    got = {(r["run"], r["step"]): round(r["ema_v"], 6) for r in ordered.ema(df, "run", "step", ["v"]).collect()}
-    assert got == {("r", 1): 1.0, ("r", 2): 1.1, ("r", 3): 1.04, ("r", 4): 1.04, ("q", 1): 1.0}
+    for span in (1, 2, 3, 10_000):
+        got = {(r["run"], r["step"]): round(r["ema_v"], 6) for r in ordered.ema(df, "run", "step", ["v"], span=span).collect()}
+        assert got == {("r", 1): 1.0, ("r", 2): 1.1, ("r", 3): 1.04, ("r", 4): 1.04, ("q", 1): 1.0}
 
 
 def test_group_advantage_without_variance(spark):
