@@ -22,16 +22,41 @@ def monotonicity(rows: DataFrame, by: str, requested: str, judged: str, tie: str
     return steps.groupBy(by).agg(good.alias("_g"), (F.sum("_n") - 1).alias("_s")).where("_s > 0").select(by, (F.col("_g") / F.col("_s")).alias("share"))
 
 
-def rolling_same(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
+def placed(rows: DataFrame, by: list[str], order: str, span: int = 10_000) -> DataFrame:
+    """Adds _n, the 0-based place of each row in its group by a unique integer column, from counts of spans of it."""
+    cut = rows.withColumn("_span", F.floor(F.col(order) / span))
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*by, "_span").agg(F.count(F.lit(1)).alias("_k"))
+    starts = counts.withColumn("_s", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    inside = Window.partitionBy(*by, "_span").orderBy(order)
+    return cut.join(starts, [*by, "_span"]).withColumn("_n", F.col("_s") + F.row_number().over(inside) - 1).drop("_span", "_s")
+
+
+def framed(rows: DataFrame, by: list[str], order: str, before: int, after: int, columns, size: int = 10_000, span: int = 10_000) -> DataFrame:
+    """Adds window columns over ``before`` rows back and ``after`` ahead, cutting long groups into pieces.
+
+    A piece is ``size`` rows of a group and, as copies that are dropped again, the neighbours that its frames reach;
+    so a group of any length is spread over tasks. ``columns`` maps a window to the columns to add, by name.
+    """
+    piece = F.floor(F.col("_n") / size)
+    home = placed(rows, by, order, span).withColumn("_home", piece)
+    near = F.array_distinct(F.array(F.floor((F.col("_n") - after) / size), piece, F.floor((F.col("_n") + before) / size)))
+    w = Window.partitionBy(*by, "_piece").orderBy("_n").rowsBetween(-before, after)
+    out = home.withColumn("_piece", F.explode(near))
+    for name, c in columns(w).items():
+        out = out.withColumn(name, c)
+    return out.where("_piece = _home").drop("_n", "_home", "_piece")
+
+
+def rolling_same(rows: DataFrame, by: list[str], order: str, value: str, width: int, size: int = 10_000) -> DataFrame:
     """Adds ``rolling``: centred sums over ``width``, missing neighbours counting as 0, over ``width``."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return rows.withColumn("rolling", F.sum(value).over(w) / width)
+    return framed(rows, by, order, width // 2, (width - 1) // 2, lambda w: {"rolling": F.sum(value).over(w) / width}, max(size, width))
 
 
-def rolling_valid(rows: DataFrame, by: list[str], order: list[str], value: str, width: int) -> DataFrame:
+def rolling_valid(rows: DataFrame, by: list[str], order: str, value: str, width: int, size: int = 10_000) -> DataFrame:
     """Trailing means over full windows only."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - width, 0)
-    return rows.withColumn("rolling", F.avg(value).over(w)).withColumn("_n", F.count(value).over(w)).where(F.col("_n") == width).drop("_n")
+    both = framed(rows, by, order, width - 1, 0, lambda w: {"rolling": F.avg(value).over(w), "_full": F.count(value).over(w) == width}, max(size, width))
+    return both.where("_full").drop("_full")
 
 
 def group_advantage(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -38,7 +38,7 @@ def rolling_same(spark, d):
 
 @query("rolling_valid", f"SELECT run_id, step, v, round(m + 1e-9, 6) AS rolling FROM (SELECT *, avg(v) OVER w AS m, count(v) OVER w AS n FROM {_SERIES} WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20")
 def rolling_valid(spark, d):
-    return ordered.rolling_valid(_series(spark, d), ["run_id"], ["step"], "v", 20).withColumn("rolling", _six("rolling"))
+    return ordered.rolling_valid(_series(spark, d), ["run_id"], "step", "v", 20).withColumn("rolling", _six("rolling"))
 
 
 @query("group_advantage", """

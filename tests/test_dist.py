@@ -82,3 +82,17 @@ def test_scorer_retries_and_gives_up(spark):
     assert scoring.ask(lambda t, b: 1 / 0, ["a", "b"], 1, wait=0) == [None, None]
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
     assert [r["id"] for r in scoring.answers(df, "id", "t").collect()] == [1]
+
+
+def test_framed_windows_equal_plain_ones(spark):
+    from pyspark.sql.window import Window
+
+    df = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("g"), (F.col("id") * 7).alias("o"), (F.col("id") % 11).cast("double").alias("v"))
+    w = Window.partitionBy("g").orderBy("o")
+    plain = df.withColumn("rolling", F.sum("v").over(w.rowsBetween(-2, 2)) / 5)
+    for size in (5, 17, 10_000):
+        cut = ordered.framed(df, ["g"], "o", 2, 2, lambda x: {"rolling": F.sum("v").over(x) / 5}, size, 40)
+        assert sorted(map(tuple, cut.select("g", "o", "rolling").collect())) == sorted(map(tuple, plain.select("g", "o", "rolling").collect()))
+        tail = ordered.rolling_valid(df, ["g"], "o", "v", 4, size)
+        want = df.withColumn("m", F.avg("v").over(w.rowsBetween(-3, 0))).withColumn("n", F.count("v").over(w.rowsBetween(-3, 0))).where("n = 4")
+        assert sorted(map(tuple, tail.select("o", "rolling").collect())) == sorted(map(tuple, want.select("o", "m").collect()))
