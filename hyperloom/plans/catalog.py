@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from hyperloom.plans import registry
+from hyperloom.plans import registry, rounding
 
 MODULES = ("text_queries", "record_queries", "graph_queries", "metric_queries", "ordered_queries", "file_queries")
 
@@ -16,9 +16,9 @@ def _load() -> None:
 
 def queries() -> dict:
     _load()
-    return dict(registry.QUERIES)
+    return {n: rounding.rounded(n, f) for n, f in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(registry.SQL)
+    return {n: rounding.rounded_sql(n, s) for n, s in registry.SQL.items()}

@@ -19,11 +19,6 @@ def _series(spark, d):
     return rows.groupBy("run_id", "step").agg(F.avg("mean_reward_raw").alias("v"))
 
 
-def _six(c):
-    """Six places, moved off exact ties so that two engines round alike."""
-    return F.round(F.col(c) + 1e-9, 6)
-
-
 @query("monotonicity", """
 WITH o AS (SELECT target, claude_difficulty AS g, lead(claude_difficulty) OVER (PARTITION BY target ORDER BY requested_difficulty, claude_difficulty) AS nx FROM dataset WHERE claude_difficulty >= 1 AND target IS NOT NULL AND requested_difficulty IS NOT NULL)
 SELECT target, avg(CAST(nx >= g AS INT)) AS share FROM o WHERE nx IS NOT NULL GROUP BY 1""")
@@ -36,18 +31,18 @@ def rolling_same(spark, d):
     return ordered.rolling_same(_series(spark, d), ["run_id"], "step", "v", 5)
 
 
-@query("rolling_valid", f"SELECT run_id, step, v, round(m + 1e-9, 6) AS rolling FROM (SELECT *, avg(v) OVER w AS m, count(v) OVER w AS n FROM {_SERIES} WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20")
+@query("rolling_valid", f"SELECT run_id, step, v, m AS rolling FROM (SELECT *, avg(v) OVER w AS m, count(v) OVER w AS n FROM {_SERIES} WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20")
 def rolling_valid(spark, d):
-    return ordered.rolling_valid(_series(spark, d), ["run_id"], "step", "v", 20).withColumn("rolling", _six("rolling"))
+    return ordered.rolling_valid(_series(spark, d), ["run_id"], "step", "v", 20)
 
 
 @query("group_advantage", """
 WITH e AS (SELECT run_id, step, pos, reward_raw[pos] AS x FROM (SELECT *, unnest(range(1, len(reward_raw) + 1)) AS pos FROM (SELECT DISTINCT run_id, step, reward_raw FROM rl_steps WHERE reward_raw IS NOT NULL)))
-SELECT run_id, step, pos, round(CASE WHEN stddev_pop(x) OVER w < 1e-8 THEN 0.0 ELSE x - avg(x) OVER w END + 1e-9, 6) AS advantage FROM e WINDOW w AS (PARTITION BY run_id, step)""")
+SELECT run_id, step, pos, CASE WHEN stddev_pop(x) OVER w < 1e-8 THEN 0.0 ELSE x - avg(x) OVER w END AS advantage FROM e WINDOW w AS (PARTITION BY run_id, step)""")
 def group_advantage(spark, d):
     rows = read_table(spark, d, "rl_steps").where("reward_raw is not null").select("run_id", "step", "reward_raw").distinct()
     e = rows.select("run_id", "step", F.posexplode("reward_raw").alias("p", "x"))
-    return ordered.group_advantage(e, ["run_id", "step"], "x").select("run_id", "step", (F.col("p") + 1).cast("long").alias("pos"), _six("advantage").alias("advantage"))
+    return ordered.group_advantage(e, ["run_id", "step"], "x").select("run_id", "step", (F.col("p") + 1).cast("long").alias("pos"), "advantage")
 
 
 @query("capped_sample_by_length", None)
@@ -70,9 +65,9 @@ def alternating_phase(spark, d):
 WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k FROM {_SERIES}),
 r AS (SELECT run_id, step, v, k, CAST(1.0 AS DOUBLE) AS ema_v FROM s WHERE k = 1
       UNION ALL SELECT s.run_id, s.step, s.v, s.k, 0.9 * r.ema_v + 0.1 * r.v FROM r JOIN s ON s.run_id = r.run_id AND s.k = r.k + 1)
-SELECT run_id, step, round(ema_v + 1e-9, 6) AS ema_v FROM r""")
+SELECT run_id, step, ema_v FROM r""")
 def ema_adaptive(spark, d):
-    return ordered.ema(_series(spark, d), "run_id", "step", ["v"]).withColumn("ema_v", _six("ema_v"))
+    return ordered.ema(_series(spark, d), "run_id", "step", ["v"])
 
 
 @query("row_by_index", "SELECT record_id, target FROM dataset ORDER BY record_id LIMIT 1 OFFSET 7")
