@@ -47,6 +47,7 @@ FOREIGN_ODDS, FOREIGN_WORDS = 4.0, 6
 
 #: Runs of letters and digits; signs of scripts without blanks stand apart from those of others.
 WORDS = re.compile(r"[^\W_\u2e80-\U0003ffff]+|(?:(?![\W_])[\u2e80-\U0003ffff])+")
+PLAIN_WORDS = re.compile("[a-z0-9]+")
 TAGS = re.compile(r"(?i)</?\s*[a-z][a-z0-9 _-]{0,30}/?>")
 FENCE = re.compile(r"(?i)```[a-z]*")
 QUESTION = re.compile(r'"question"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
@@ -75,6 +76,12 @@ REFUSAL = re.compile(
 )
 
 
+def words_in(text: str) -> list[str]:
+    """Words of a text in lower case; ASCII texts need only the short pattern."""
+    low = text.lower()
+    return PLAIN_WORDS.findall(low) if low.isascii() else WORDS.findall(low)
+
+
 def unwrap(text: str) -> str:
     """The text without tags, fences, invisible characters and a JSON wrapper around its question."""
     text = INVISIBLE.sub("", text)
@@ -162,7 +169,7 @@ class Names:
 
 
 def is_empty(text: str) -> bool:
-    return all(w in NOTHING for w in WORDS.findall(text.lower()))
+    return all(w in NOTHING for w in words_in(text))
 
 
 def is_refusal(text: str, names: Names) -> bool:
@@ -177,7 +184,7 @@ def is_refusal(text: str, names: Names) -> bool:
         m = REFUSAL.search(s)
         if m and m.start() < 30:
             return True
-        if "V" in names.mask(WORDS.findall(s)):
+        if "V" in names.mask(words_in(s)):
             return False
         if m:
             return True
@@ -234,10 +241,14 @@ class Languages:
         enough = len(words) >= FOREIGN_WORDS or any(w > "\u02ff" for w in words)
         return enough and float(self.odds(words).max()) >= least
 
-    def differ(self, first: list[str], second: list[str], names: Names) -> bool:
-        """Whether the second text is foreign while the first is English; against a foreign first text twice the odds."""
-        own = plain(second, names)
-        return self.is_foreign(own) and (not self.is_foreign(plain(first, names)) or self.is_foreign(own, 2 * FOREIGN_ODDS))
+    def differ(self, first: str, second: list[str], names: Names) -> bool:
+        """Whether the second text is foreign while the first is English; against a foreign first text twice the odds.
+
+        The first text is looked at only where the second is foreign.
+        """
+        if not self.is_foreign(second):
+            return False
+        return not self.is_foreign(plain(names.mask(words_in(first)), names)) or self.is_foreign(second, 2 * FOREIGN_ODDS)
 
 
 def grams_of(word: str) -> list[str]:
@@ -334,7 +345,7 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
                     defect = "empty"
                 else:
                     new = names.own(named or [])
-                    words = WORDS.findall(text.lower())
+                    words = words_in(text)
                     masked = names.mask(words)
                     tail = ending(masked)
                     hashes = end_hashes(tail)
@@ -342,11 +353,11 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
                     inner[kind] += runs.inside(tail)
                     if is_refusal(text, names):
                         defect = "refusal"
-                    elif copied_share(WORDS.findall((first or "").lower()), words) >= COPY_SHARE:
+                    elif copied_share(words_in(first or ""), words) >= COPY_SHARE:
                         defect = "copy"
                     else:
-                        unquoted = names.mask(WORDS.findall(QUOTED.sub(" ", text).lower())) if '"' in text else masked
-                        if languages.differ(names.mask(WORDS.findall((first or "").lower())), unquoted, names):
+                        unquoted = names.mask(words_in(QUOTED.sub(" ", text))) if '"' in text else masked
+                        if languages.differ(first or "", plain(unquoted, names), names):
                             defect = "language"
                         elif masked[-1:] == ["P"]:
                             defect = "truncated"
@@ -405,7 +416,7 @@ def language_tables(pages: DataFrame, vocabulary: list[str], rows: int = LANGUAG
     names, tables = Names(vocabulary), {}
     for r in few.select("l", "text").collect():
         own_table = tables.setdefault(r["l"], Counter())
-        for w in plain(names.mask(WORDS.findall(r["text"].lower())), names):
+        for w in plain(names.mask(words_in(r["text"])), names):
             own_table.update(grams_of(w))
     return tables
 
