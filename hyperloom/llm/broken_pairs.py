@@ -35,7 +35,7 @@ DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 #: Labelled pages per language that the language model is fitted on, and the letters of a gram.
 LANGUAGE_ROWS, GRAM = 250, 3
 #: Counters in each row of a sketch, its rows, its pieces.
-SKETCH, ROWS, PIECE = 1 << 18, 2, 1 << 12
+SKETCH, ROWS, PIECE = 1 << 19, 2, 1 << 12
 #: Words of context for the end of a text.
 CONTEXT = (4, 3, 2)
 #: Least likelihood of an end, and weight of the shorter context against counts.
@@ -306,7 +306,13 @@ class Sketch:
             self.counters[r] += np.bincount((h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        return np.minimum.reduce([self.counters[r][(h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1)] for r in range(ROWS)])
+        """Counts less twice what other hashes add to a counter on average, so that rare runs count as unseen at any size."""
+        least = np.minimum.reduce([self.counters[r][(h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1)] for r in range(ROWS)])
+        return np.maximum(least - 2.0 * self.noise(), 0.0)
+
+    def noise(self) -> float:
+        """What other hashes add to a counter on average."""
+        return float(self.counters[0].sum()) / SKETCH
 
 
 def end_likelihood(hashes: np.ndarray, ends: Sketch, insides: Sketch) -> np.ndarray:
@@ -314,11 +320,11 @@ def end_likelihood(hashes: np.ndarray, ends: Sketch, insides: Sketch) -> np.ndar
 
     A text's own end is not counted as evidence for itself.
     """
-    p = np.zeros(len(hashes))
+    p, rest = np.zeros(len(hashes)), BACKOFF + insides.noise()
     for k in range(hashes.shape[1]):
         h = hashes[:, k]
         e, i = np.maximum(ends.count(h) - 1, 0), insides.count(h)
-        p = np.where(h == 0, p, (e + BACKOFF * p) / (e + i + BACKOFF))
+        p = np.where(h == 0, p, (e + rest * p) / (e + i + rest))
     return p
 
 
