@@ -8,7 +8,8 @@ bounded sample of pages with a language label; a text that breaks off is found b
 after its last words, from n-gram counts over the ends and the insides of all texts, in which the names of quantities
 and all numbers are masked; a text that ends inside a name breaks off. Empty texts, refusals and copies are found on the way by rules on the words.
 
-The n-gram counts are kept in count-min sketches of fixed size, one pair for each kind of text, summed over all rows.
+The n-gram counts are kept in count-min sketches of fixed size, one pair for each kind of text, summed over all different
+texts: a text counts once, however often it is repeated, and the ends of texts with another defect do not count.
 
 Defined results: a null first text is an empty one, a null second text is empty; repeated rows are reported each; empty
 tables give no rows, and without pages labelled as English no text is foreign; extra columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hyperloom.dist import read_table, shared_table
+from hyperloom.dist import read_table, shared_table, sized_join
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
@@ -329,13 +330,16 @@ def end_likelihood(hashes: np.ndarray, ends: Sketch, insides: Sketch) -> np.ndar
 
 
 KINDS = ("dataset", "eval_sft")
+#: Uses of a row: a text that stands once; one of several rows of a text; the row of these by which their text is counted.
+BOTH, ALONE, COUNTED = 0, 1, 2
 FEATURES = "kind int, id long, defect string, hashes array<long>, part int, counts binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables: dict) -> Iterator[pa.RecordBatch]:
     """Each pair's defect as far as one pair tells it, with the hashes of its end; then the partition's sketches.
 
-    Columns of the batches: kind, id, names, first, second.
+    Columns of the batches: kind, id, names, first, second, use. Rows of use ``ALONE`` give their defect only, those of use
+    ``COUNTED`` their counts only.
     """
     names, languages, runs = Names(vocabulary), Languages(tables), Runs()
     sketches = [[Sketch(), Sketch()] for _ in KINDS]
@@ -344,7 +348,7 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
             rows: list[list] = [[], [], [], []]
             ends: list[list[int]] = [[] for _ in KINDS]
             inner: list[list[int]] = [[] for _ in KINDS]
-            for kind, i, named, first, second in zip(*(c.to_pylist() for c in part.columns)):
+            for kind, i, named, first, second, use in zip(*(c.to_pylist() for c in part.columns)):
                 text = unwrap(second or "")
                 defect, hashes = None, []
                 if is_empty(text):
@@ -355,8 +359,8 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
                     masked = names.mask(words)
                     tail = ending(masked)
                     hashes = end_hashes(tail)
-                    ends[kind] += [h for h in hashes if h]
-                    inner[kind] += runs.inside(tail)
+                    if use != ALONE:
+                        inner[kind] += runs.inside(tail)
                     if is_refusal(text, names):
                         defect = "refusal"
                     elif copied_share(words_in(first or ""), words) >= COPY_SHARE:
@@ -367,7 +371,11 @@ def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables:
                             defect = "language"
                         elif masked[-1:] == ["P"]:
                             defect = "truncated"
+                    if defect is None and use != ALONE:
+                        ends[kind] += [h for h in hashes if h]
                     names.forget(new)
+                if use == COUNTED:
+                    continue
                 for c, v in zip(rows, (kind, i, defect, hashes)):
                     c.append(v)
             for k in range(len(KINDS)):
@@ -427,6 +435,18 @@ def language_tables(pages: DataFrame, vocabulary: list[str], rows: int = LANGUAG
     return tables
 
 
+def once_counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with their use, and for each text that several rows of a kind repeat one more row, by which it is counted."""
+    text = F.xxhash64("second").alias("text")
+    repeated = shared_table(rows.where("second is not null").groupBy("kind", text).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "text", F.lit(True).alias("again")), "repeated")
+    keyed = rows.withColumn("text", text)
+    columns = ["kind", "id", "names", "first", "second"]
+    uses = sized_join(keyed, repeated, ["kind", "text"], "left").select(*columns, F.when(F.col("again"), ALONE).otherwise(BOTH).alias("use"))
+    least = F.min(F.struct("id", "first", "names", "second")).alias("r")  # the same row on every run
+    counted = sized_join(keyed, repeated, ["kind", "text"], "left_semi").groupBy("kind", "text").agg(least)
+    return uses.union(counted.select("kind", *(f"r.{c}" for c in columns[1:]), F.lit(COUNTED).alias("use")))
+
+
 def broken_pairs(pairs: DataFrame, pages: DataFrame, formulas: DataFrame) -> DataFrame:
     """(source_table, row_id, defect) of the defective rows of ``pairs`` (kind, id, names, first, second).
 
@@ -438,7 +458,7 @@ def broken_pairs(pairs: DataFrame, pages: DataFrame, formulas: DataFrame) -> Dat
     vocabulary = sorted(r["v"] for r in named.where("v is not null").distinct().collect())  # a fixed table
     tables = language_tables(pages, vocabulary)
     held = spark.sparkContext.broadcast((vocabulary, {k: dict(v) for k, v in tables.items()}))
-    rows = pairs.select("kind", "id", "names", "first", "second")
+    rows = once_counted(pairs.select("kind", "id", "names", "first", "second"))
     features = shared_table(rows.mapInArrow(lambda it: _features(it, *held.value), FEATURES), "features")
     counters = np.zeros((len(KINDS) * 2 * ROWS * SKETCH // PIECE, PIECE), dtype=np.int64)
     parts = features.df.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_parts, "part int, counts binary")

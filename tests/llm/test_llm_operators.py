@@ -233,6 +233,15 @@ def test_defects(spark):
     assert broken_pairs.broken_pairs(pairs.where("id = 107"), pages.limit(0), formulas.limit(0)).where("defect = 'language'").count() == 0
 
 
+def test_copies_of_a_truncated_text_do_not_vouch_for_each_other(spark):
+    pairs, pages, formulas, want = pair_tables(spark)
+    hot = pairs.where("id = 109").withColumn("id", F.explode(F.expr("sequence(1000L, 1034L)")))  # a third of all rows
+    got = {r["row_id"]: r["defect"] for r in broken_pairs.broken_pairs(pairs.union(hot), pages, formulas).collect()}
+    assert got == want | {i: "truncated" for i in range(1000, 1035)}
+    same = pairs.union(pairs.where("id = 109")).union(pairs.where("id = 109"))  # a resumed run writes its rows again
+    assert broken_pairs.broken_pairs(same, pages, formulas).where("row_id = 109 and defect = 'truncated'").count() == 3
+
+
 def test_unwrapping_and_refusals():
     names = broken_pairs.Names(["total_lift"])
     assert broken_pairs.unwrap('```json\n{"difficulty": 3, "question": "Say \\"hi\\"\\nnow') == 'Say "hi"\nnow'
