@@ -20,6 +20,9 @@ def _targets(spark, d):
     return _edges(spark, d).select(F.col("output").alias("target")).where("target is not null").distinct()
 
 
+#: Most quantities on a dependency path, as in the inventory.
+MOST_DEPTH = 10
+
 _N = "CAST(regexp_extract(id, '[0-9]+') AS INT)"
 
 
@@ -62,12 +65,12 @@ SELECT n.v, coalesce(max(p.k), 0) AS depth FROM n LEFT JOIN p USING (v) GROUP BY
 
 @query("max_dep_depth", _DEPTH)
 def max_dep_depth(spark, d):
-    return graph.depth(_edges(spark, d), 6)
+    return graph.depth(_edges(spark, d), MOST_DEPTH)
 
 
 @query("deep_variables", f"SELECT v, depth FROM ({_DEPTH}) WHERE depth >= 3")
 def deep_variables(spark, d):
-    return graph.depth(_edges(spark, d), 6).where("depth >= 3")
+    return graph.depth(_edges(spark, d), MOST_DEPTH).where("depth >= 3")
 
 
 @query("detect_cycles", """

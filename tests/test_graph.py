@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hyperloom.operators import graph as relational
 from hyperloom.operators import traverse as tr
 from hyperloom.operators import treewalk as tw
+from hyperloom.plans import graph_queries
 
 ROWS = [("f1", "a", ["b", "c"], "x", None), ("f2", "b", ["d"], "x", "x:1"), ("f10", "b", ["e"], "y", None), ("f3", "d", ["b"], "x", None), ("f4", "e", ["a"], "y", None), ("f5", "c", [], "x", None), ("f6", "s", ["s", "d"], "x", None)]
 G = tr.Graph(ROWS)
@@ -85,3 +86,11 @@ def test_relational_operators(spark):
     empty = e.limit(0)
     assert relational.on_cycles(empty).count() == 0 and relational.depth(empty, 3).count() == 0
     assert tr.trace_sample(e.select(F.col("output").alias("target")).withColumn("seed", F.lit(1)), e).count() == 6  # s needs itself
+
+
+def test_depth_is_not_cut_before_ten_steps(spark, tmp_path):
+    chain = [(f"f{i}", f"v{i}", [f"v{i + 1}"]) for i in range(12)]
+    spark.createDataFrame(chain, "id string, output string, inputs array<string>").write.parquet(f"{tmp_path}/hyperedges.parquet")
+    want = {f"v{i}": min(12 - i, 10) for i in range(13)}
+    assert {r["v"]: r["depth"] for r in graph_queries.max_dep_depth(spark, str(tmp_path)).collect()} == want
+    assert {r["v"]: r["depth"] for r in graph_queries.deep_variables(spark, str(tmp_path)).collect()} == {v: k for v, k in want.items() if k >= 3}
