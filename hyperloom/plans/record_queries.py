@@ -343,12 +343,16 @@ def uniform_value(spark, d):
     return read_table(spark, d, "hypernyms").select("variable", F.round(1.0 + 99.0 * u, 2).alias("value"))
 
 
+#: Longest example that is trained on, as in the reference.
+MAX_LEN = 2048
+
+
 @query("encode_mask", """
 WITH t AS (SELECT record_id, list_transform(range(1, least(length(trace_str), 20) + 1), lambda i: unicode(trace_str[i])) AS p, list_transform(range(1, least(length(question), 30) + 1), lambda i: unicode(question[i])) AS q FROM dataset WHERE trace_str IS NOT NULL AND question IS NOT NULL)
 SELECT record_id, len(list_slice(list_concat(p, q), 1, 40)) AS n, list_sum(list_filter(list_slice(list_concat(list_transform(p, lambda x: -100), q), 1, 40), lambda x: x >= 0)) AS kept FROM t""")
 def encode_mask(spark, d):
-    codes = lambda c, n: F.transform(F.filter(F.split(F.left(c, F.lit(n)), ""), lambda x: x != ""), lambda x: F.ascii(x))
-    rows = _data(spark, d).where("trace_str is not null and question is not null").select("record_id", rewards.loss_mask(codes("trace_str", 20), codes("question", 30), 40).alias("m"))
+    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
+    rows = _data(spark, d).where("trace_str is not null and question is not null").select("record_id", rewards.loss_mask(codes("trace_str"), codes("question"), MAX_LEN).alias("m"))
     return rows.select("record_id", F.size("m.input_ids").cast("long").alias("n"), F.aggregate(F.filter("m.labels", lambda x: x >= 0), F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"))
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hyperloom.functions import formula, parse, rewards, text
+from hyperloom.plans import record_queries
 
 SCORES = {"8": 8, "Score: 7.": 7, "7/10": -1, "7.5": -1, "(9)": 9, "11 4": 4, "": -1, None: -1, "-3 2": 2, "8\n": 8, "+5": 5, "a,6,b": 6, "0 10": 10}
 
@@ -91,3 +92,10 @@ def test_formula_equals_python(a, b):
 @pytest.mark.parametrize("text_, want", [("```json\n[1]\n```", "[1]"), ("[1]", "[1]"), ("``` x", "x")])
 def test_fences(spark, text_, want):
     assert one(spark, text.strip_code_fence(F.col("t")), t=text_) == want
+
+
+def test_examples_are_encoded_whole(spark, tmp_path):
+    texts = [(1, "ab" * 200, "xyz" * 150), (2, "p" * 2000, "é" * 100), (3, "p" * 3000, "q"), (4, "", "ä€" * 30)]
+    spark.createDataFrame(texts, "record_id long, trace_str string, question string").write.parquet(f"{tmp_path}/dataset.parquet")
+    want = {i: (min(len(p) + len(q), 2048), sum(map(ord, q[: max(0, 2048 - len(p))]))) for i, p, q in texts}
+    assert {r["record_id"]: (r["n"], r["kept"]) for r in record_queries.encode_mask(spark, str(tmp_path)).collect()} == want
