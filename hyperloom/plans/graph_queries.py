@@ -22,6 +22,8 @@ def _targets(spark, d):
 
 #: Most quantities on a dependency path, as in the inventory.
 MOST_DEPTH = 10
+#: Levels of formulas in an enumerated trace, the reference's default.
+TRACE_DEPTH = 5
 
 _N = "CAST(regexp_extract(id, '[0-9]+') AS INT)"
 
@@ -120,8 +122,8 @@ def trace_sample(spark, d):
 
 @query("trace_enum")
 def trace_enum(spark, d):
-    """All traces of every target to depth 2."""
-    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), 2)
+    """All traces of every target."""
+    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH)
 
 
 @query("trace_enum_chain")
@@ -133,7 +135,7 @@ def trace_enum_chain(spark, d):
 @query("limit_traces")
 def limit_traces(spark, d):
     """The first ten traces of every target."""
-    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), 4, most=10)
+    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH, most=10)
 
 
 @query("traces_formatted")

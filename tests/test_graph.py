@@ -94,3 +94,11 @@ def test_depth_is_not_cut_before_ten_steps(spark, tmp_path):
     want = {f"v{i}": min(12 - i, 10) for i in range(13)}
     assert {r["v"]: r["depth"] for r in graph_queries.max_dep_depth(spark, str(tmp_path)).collect()} == want
     assert {r["v"]: r["depth"] for r in graph_queries.deep_variables(spark, str(tmp_path)).collect()} == {v: k for v, k in want.items() if k >= 3}
+
+
+def test_traces_are_enumerated_to_five_levels(spark, tmp_path):
+    chain = [(f"f{i}", f"v{i}", [f"v{i + 1}"], "x", None) for i in range(7)]
+    spark.createDataFrame(chain, "id string, output string, inputs array<string>, domain string, subdomain string").write.parquet(f"{tmp_path}/hyperedges.parquet")
+    for q in (graph_queries.trace_enum, graph_queries.limit_traces):
+        got = {tuple(r["path"]) for r in q(spark, str(tmp_path)).where("target = 'v0'").collect()}
+        assert got == {tuple(f"f{i}" for i in reversed(range(n))) for n in range(1, 6)}
