@@ -187,22 +187,37 @@ def walk_length(spark, d):
 @query("safe_eval", """
 SELECT id, CAST(CASE id WHEN 'f1' THEN NULL END AS DOUBLE) AS none, len(inputs) AS inputs FROM hyperedges""")
 def safe_eval(spark, d):
-    """Every formula compiled; undefined on an empty set of values."""
-    empty = lambda n: F.lit(None).cast("double")
-    forms = treewalk.variables_of(_edges(spark, d))  # a fixed table
-    known = [(f, fm.column(f, empty)) for own in forms.values() for f, needs in own if needs]
-    value = F.lit(None).cast("double")
-    for f, c in known[:20]:
-        value = F.when(F.col("label") == f, c).otherwise(value)
-    return _edges(spark, d).select("id", value.alias("none"), F.size("inputs").cast("long").alias("inputs"))
+    """Every formula evaluated on a given value for each quantity; null where it is undefined."""
+    return _evaluated(spark, d).select("id", "value", F.size("inputs").cast("long").alias("inputs"))
+
+
+def _evaluated(spark, d):
+    """Formulas with their values on those that ``uniform_value`` gives."""
+    from hyperloom.plans.record_queries import uniform_value
+
+    e = _edges(spark, d)
+    forms = {f for own in treewalk.variables_of(e).values() for f, _ in own}  # a fixed table
+    needed = e.select("id", F.explode(F.array_distinct("inputs")).alias("variable")).where("variable is not null")
+    given = needed.join(uniform_value(spark, d).dropDuplicates(["variable"]), "variable").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("variable", "value"))).alias("given"))
+    value = F.when(F.lit(False), F.lit(None).cast("double"))
+    for f in sorted(forms):  # one flat CASE
+        value = value.when(F.col("label") == f, fm.column(f, lambda n: F.try_element_at("given", F.lit(n))))
+    rows = e.join(given, "id", "left").withColumn("value", value)
+    return rows.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
 
 
 @query("find_working_formula", """
 SELECT output, min(id) AS id FROM hyperedges WHERE len(list_filter(inputs, lambda x: x LIKE '%\\_rate' ESCAPE '\\')) = 0 GROUP BY output""")
 def find_working_formula(spark, d):
-    """Of every quantity the first formula by id that needs no rate."""
-    ok = F.size(F.filter("inputs", lambda x: x.endswith("_rate"))) == 0
-    return _edges(spark, d).where(ok).groupBy("output").agg(F.min("id").alias("id"))
+    """Of every quantity the first formula by id that needs only quantities of the graph and no rate."""
+    e = _edges(spark, d)
+    have = {r["node"] for r in graph.nodes(e).collect()}  # a fixed table
+    shun = {v for v in have if v.endswith("_rate")}
+    options: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+    for r in sorted(e.where("id is not null and inputs is not null").select("id", "output", "inputs").collect(), key=lambda r: r["id"]):
+        options.setdefault(r["output"], []).append((r["id"], tuple(r["inputs"])))
+    found = ((v, treewalk.working(own, have, shun)) for v, own in options.items())
+    return spark.createDataFrame([(v, f[0]) for v, f in found if f], "output string, id string")
 
 
 @query("eval_backward")
@@ -232,5 +247,5 @@ def creates_cycle(spark, d):
 
 @query("try_formulas", "SELECT output, min(id) AS id FROM hyperedges WHERE len(inputs) <= 2 GROUP BY output")
 def try_formulas(spark, d):
-    """Of every quantity the first formula by id that two values suffice for."""
-    return _edges(spark, d).where(F.size("inputs") <= 2).groupBy("output").agg(F.min("id").alias("id"))
+    """Of every quantity the first formula by id that has a value on the given ones, and the value."""
+    return _evaluated(spark, d).where("value is not null").groupBy("output").agg(F.min("id").alias("id"), F.min_by("value", "id").alias("value"))

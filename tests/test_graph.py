@@ -5,10 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from hyperloom.functions import formula as fm
 from hyperloom.operators import graph as relational
 from hyperloom.operators import traverse as tr
 from hyperloom.operators import treewalk as tw
-from hyperloom.plans import graph_queries
+from hyperloom.plans import graph_queries, record_queries
 
 ROWS = [("f1", "a", ["b", "c"], "x", None), ("f2", "b", ["d"], "x", "x:1"), ("f10", "b", ["e"], "y", None), ("f3", "d", ["b"], "x", None), ("f4", "e", ["a"], "y", None), ("f5", "c", [], "x", None), ("f6", "s", ["s", "d"], "x", None)]
 G = tr.Graph(ROWS)
@@ -102,3 +103,33 @@ def test_traces_are_enumerated_to_five_levels(spark, tmp_path):
     for q in (graph_queries.trace_enum, graph_queries.limit_traces):
         got = {tuple(r["path"]) for r in q(spark, str(tmp_path)).where("target = 'v0'").collect()}
         assert got == {tuple(f"f{i}" for i in reversed(range(n))) for n in range(1, 6)}
+
+
+def test_all_formulas_are_evaluated(spark, sf, tmp_path):
+    given = {r["variable"]: r["value"] for r in record_queries.uniform_value(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/hyperedges.parquet").collect()
+    want = {r["id"]: fm.evaluate(r["label"], given) for r in rows}
+    got = {r["id"]: r["value"] for r in graph_queries.safe_eval(spark, sf).collect()}
+    assert got.keys() == want.keys() and sum(v is not None for v in want.values()) > 300
+    assert all((got[i] is None) == (v is None) and (v is None or abs(got[i] - v) <= 1e-9 * max(1, abs(v))) for i, v in want.items())
+    first = {v: min(r["id"] for r in rows if r["output"] == v and want[r["id"]] is not None) for v in {r["output"] for r in rows if want[r["id"]] is not None}}
+    tried = {r["output"]: (r["id"], r["value"]) for r in graph_queries.try_formulas(spark, sf).collect()}
+    assert {v: i for v, (i, _) in tried.items()} == first and all(x == got[i] for i, x in tried.values())
+
+
+def test_undefined_formulas_are_passed_over(spark, tmp_path):
+    e = [("f1", "t", ["a"], "a / 0"), ("f2", "t", ["a"], "log(-a)"), ("f3", "t", ["a", "gone"], "a + missing"), ("f4", "t", ["a", "b", "c"], "a + b + c"), ("f5", "u", ["a"], "(0 - a) ^ 0.5")]
+    spark.createDataFrame(e, "id string, output string, inputs array<string>, label string").write.parquet(f"{tmp_path}/hyperedges.parquet")
+    spark.createDataFrame([(v,) for v in "abctu"], "variable string").write.parquet(f"{tmp_path}/hypernyms.parquet")
+    given = {r["variable"]: r["value"] for r in record_queries.uniform_value(spark, str(tmp_path)).collect()}
+    assert {r["id"]: r["value"] for r in graph_queries.safe_eval(spark, str(tmp_path)).collect()} == {"f1": None, "f2": None, "f3": None, "f4": given["a"] + given["b"] + given["c"], "f5": None}
+    assert [tuple(r)[:2] for r in graph_queries.try_formulas(spark, str(tmp_path)).collect()] == [("t", "f4")]
+
+
+def test_working_formula_calls_the_operator(spark, tmp_path, monkeypatch):
+    e = [("f1", "t", ["a_rate"], "a_rate"), ("f2", "t", ["a", "b"], "a + b"), ("f3", "u", ["b_rate"], "b_rate")]
+    spark.createDataFrame(e, "id string, output string, inputs array<string>, label string").write.parquet(f"{tmp_path}/hyperedges.parquet")
+    calls = []
+    working = tw.working
+    monkeypatch.setattr(tw, "working", lambda *a: calls.append(a) or working(*a))
+    assert [tuple(r) for r in graph_queries.find_working_formula(spark, str(tmp_path)).collect()] == [("t", "f2")] and len(calls) == 2
