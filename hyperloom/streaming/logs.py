@@ -13,13 +13,16 @@ LOG = "run_id string, step int, reward_kind string, mean_reward_raw double, mean
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet log, a file or a growing folder, as a stream."""
+    """A Parquet log, a file or a growing folder, as a stream.
+
+    All files that are there form one micro-batch, so that the order of a finished log's files does not matter.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     from hyperloom.dist import _fs
 
     fs, at = _fs(spark, path)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    reader = spark.readStream.schema(schema)
     if fs.getFileStatus(at).isFile():
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
@@ -38,7 +41,10 @@ def windowed_stats(stream: DataFrame, late: str = "2 days", width: str = "1 hour
 
 
 def stream_ema(stream: DataFrame, decay: float = 0.9, start: float = 1.0) -> DataFrame:
-    """(run_id, step, ema) before each line, in order of steps inside a micro-batch; the state is one number a run."""
+    """(run_id, step, ema) before each line, in order of steps inside a micro-batch; the state is one number a run.
+
+    Of files that arrive later, lines of a step that is past are dropped, as what was given out cannot be taken back.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, last = state.get if state.exists else (start, -1)

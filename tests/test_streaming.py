@@ -20,3 +20,14 @@ def test_late_lines_are_dropped(spark, sf, tmp_path):
     stats = logs.windowed_stats(logs.stream_log(spark, f"{sf}/rl_steps.parquet"))
     got = logs.run_to_table(stats, str(tmp_path), "append")
     assert got.count() > 0 and got.groupBy("window", "run_id").count().where("count > 1").count() == 0
+
+
+def test_files_in_any_order(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    for k in range(20):  # 7 is prime to 20: later files have earlier steps
+        rows = [("r", 20 * i + 7 * k % 20, float(i + k)) for i in range(5)]
+        spark.createDataFrame(rows, "run_id string, step int, mean_reward_raw double").coalesce(1).write.mode("append").parquet(log)
+    got = {r["step"]: r["ema"] for r in logs.run_to_table(logs.stream_ema(logs.stream_log(spark, log)), f"{tmp_path}/out", "append").collect()}
+    want = {r["step"]: r["ema_mean_reward_raw"] for r in ema(spark.read.parquet(log), "run_id", "step", ["mean_reward_raw"]).collect()}
+    assert got.keys() == want.keys() == set(range(100))
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in want)
