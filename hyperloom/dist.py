@@ -99,10 +99,22 @@ def uniform_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(*cols, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def text_hash(*cols: Column | str, seed: int = 0) -> Column:
+    """A non-negative 63-bit hash by MD5 that other engines can compute, too; nulls are passed over."""
+    text = F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") * 8
+
+
+def text_hash_sql(*cols: str, seed: int = 0) -> str:
+    """The same hash in SQL."""
+    text = ", ".join([*(f"CAST({c} AS VARCHAR)" for c in cols), f"'{seed}'"])
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 15) AS BIGINT) * 8)"
+
+
 def hash_rank(df: DataFrame, groups: list[str], order: Column, tie: list[str], rows: int, name: str = "rank") -> DataFrame:
     """Adds ``name``: the 0-based place of each row in its group by (order, tie).
 
-    ``order`` must be a ``uniform_hash``. Its leading bits cut every group into buckets small enough for a window;
+    ``order`` must be a ``uniform_hash`` or ``text_hash``. Its leading bits cut every group into buckets small enough for a window;
     bucket counts give each bucket's offset, so a group of any size is ranked in parallel. ``rows`` is df's row count.
     """
     bits = max(0, math.ceil(math.log2(max(1, rows) / RANK_ROWS)))

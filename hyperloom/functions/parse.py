@@ -54,17 +54,28 @@ def verdict(hits: Column, target_present: Column, leafs: Column) -> Column:
     return F.struct(hits.alias("leaf_hits"), target_present.alias("target_present"), coverage.alias("variable_coverage"), (target_present & (coverage >= 1)).alias("faithful"))
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def question_items(text: Column) -> Column:
     """array<struct<difficulty int, question string>> from a generator's answer.
 
     The JSON array between the first [ and the last ] is read; where it is broken, whole objects are salvaged by pattern.
     """
-    body = strip_code_fence(F.regexp_replace(F.coalesce(text, F.lit("")), "(?is)^(.*?)<reasoning>.*?</reasoning>", "$1"))
-    start, end = F.instr(body, "["), F.length(body) - F.instr(F.reverse(body), "]") + 1
-    whole = F.when((start > 0) & (end > start), F.from_json(F.substring(body, start, end - start + 1), "array<struct<difficulty:int,question:string>>"))
-    sound = F.when(F.size(F.filter(whole, lambda x: x["question"].isNotNull())) > 0, whole)
-    objects = F.regexp_extract_all(body, F.lit(r'\{[^{}]*"question"\s*:\s*"(?:[^"\\]|\\.)*"[^{}]*\}'), F.lit(0))
-    return F.coalesce(sound, F.filter(F.transform(objects, lambda o: F.from_json(o, "difficulty int, question string")), lambda x: x.isNotNull()))
+    items = "array<struct<difficulty:int,question:string>>"
+
+    def read(body: Column) -> Column:
+        start, end = F.instr(body, "["), F.length(body) - F.instr(F.reverse(body), "]") + 1
+        whole = F.when((start > 0) & (end > start), F.from_json(F.substring(body, start, end - start + 1), items))
+        return _once(whole, lambda w: F.when(F.exists(w, lambda x: x["question"].isNotNull()), w).otherwise(salvaged(body)))
+
+    def salvaged(body: Column) -> Column:
+        objects = F.regexp_extract_all(body, F.lit(r'\{[^{}]*"question"\s*:\s*"(?:[^"\\]|\\.)*"[^{}]*\}'), F.lit(0))
+        return F.filter(F.transform(objects, lambda o: F.from_json(o, "difficulty int, question string")), lambda x: x.isNotNull())
+
+    return _once(strip_code_fence(F.regexp_replace(F.coalesce(text, F.lit("")), "(?is)^(.*?)<reasoning>.*?</reasoning>", "$1")), read)
 
 
 def valid_items(items: Column) -> Column:

@@ -66,9 +66,28 @@ def token_budget(difficulty: Column, base: int, step: int, reasoning: Column, ex
     return F.lit(base) + step * F.greatest(F.lit(0), difficulty - 3) + F.when(reasoning, extra).otherwise(0)
 
 
-def alternating_phase(step: Column, period: int) -> Column:
+def alternating_phase(step: Column, period: int | Column) -> Column:
     """0 and 1 in turns of ``period`` steps, steps counting from 1."""
-    return F.pmod(F.floor((F.greatest(F.lit(1), step) - 1) / F.lit(period)), F.lit(2)).cast("int")
+    turn = F.floor((F.greatest(F.lit(1), step) - 1) / (F.lit(period) if isinstance(period, int) else period))
+    return F.pmod(turn, F.lit(2)).cast("int")
+
+
+def active_reward(kind: Column, step: Column, period: Column) -> Column:
+    """The signal in use at a step: the kind itself, or faithfulness and feasibility in turns for an alternating one."""
+    phase = alternating_phase(step, F.greatest(F.lit(1), F.coalesce(period, F.lit(1))))
+    return F.when(kind == "alternating", F.when(phase == 0, "faithfulness").otherwise("feasibility")).otherwise(kind)
+
+
+def switched(active: Column, faithfulness: Column, feasibility: Column, faithfulness_weight: float, feasibility_weight: float) -> Column:
+    """The raw reward under the active signal; any but the two single ones combines them."""
+    both = combined([faithfulness, feasibility], [F.lit(faithfulness_weight), F.lit(feasibility_weight)])
+    return F.when(active == "faithfulness", faithfulness).when(active == "feasibility", feasibility).otherwise(both)
+
+
+def memory_budget(total_bytes: Column, share: float, copies: Column) -> Column:
+    """Whole GiB of a device that each of ``copies`` resident models may use, at least 1."""
+    held = total_bytes * (F.lit(share) / F.greatest(F.lit(1), copies))
+    return F.greatest(F.lit(1).cast("long"), F.floor(held / (1 << 30)))
 
 
 def loss_mask(prefix: Column, completion: Column, longest: int, ignored: int = -100) -> Column:

@@ -54,33 +54,37 @@ def strip_code_fence(c: Column) -> Column:
 
 
 def first_question(c: Column, after: int = 50) -> Column:
-    """The text up to its last question mark within ``after`` characters of the first; as it is without one."""
+    """The text up to its last question mark within ``after`` characters of the first, stripped; as it is without one."""
     at = F.instr(c, "?")
-    head = F.substring(c, F.lit(1), at + F.lit(after - 1))
+    head = strip(F.substring(c, F.lit(1), at + F.lit(after - 1)))
     cut = F.length(head) - F.instr(F.reverse(head), "?") + 1
-    return F.when(at == 0, c).otherwise(F.substring(head, F.lit(1), cut))
+    return F.when(at == 0, c).otherwise(strip(F.substring(head, F.lit(1), cut)))
+
+
+#: Marks of a chat model's output, and rewrites of its markup in their order.
+END_MARK, HEADER_MARK, BEGIN_MARK = "<|eot_id|>", "<|end_header_id|>", "<|begin_of_text|>"
+REWRITES = (
+    (r"\\\(|\\\)", ""),
+    (r"\\text\{([^}]+)\}", "$1"),
+    (r"\\[a-zA-Z]+\{([^}]+)\}", "$1"),
+    (r"\\[a-zA-Z]+", ""),
+    (r"\{|\}", ""),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"`([^`]+)`", "$1"),
+    (r"(?U)#+\s*", ""),
+    (r"\\(?![a-zA-Z0-9/])", ""),
+)
 
 
 def clean_generation(c: Column) -> Column:
-    """What a model wrote, without header and end marks, markup of formulas, emphasis, headings and lone backslashes.
+    """What a model wrote, without header and end marks, commands and braces, emphasis, code and heading signs.
 
     The text ends at the first end mark and begins after the last header mark.
     """
-    # Marks of a chat model's output.
-    end, header, begin = "<|eot_id|>", "<|end_header_id|>", "<|begin_of_text|>"
-    x = F.substring_index(c, end, 1)
-    x = F.substring_index(F.substring_index(x, header, -1), begin, -1)
-    for pattern, to in (
-        (r"\\\[|\\\]|\\\(|\\\)", ""),
-        (r"\$+([^$]*)\$+", "$1"),
-        (r"\\text\{([^}]*)\}", "$1"),
-        (r"\\frac\{([^}]*)\}\{([^}]*)\}", "$1/$2"),
-        (r"\\(?:times|cdot)", "*"),
-        (r"[{}]", ""),
-        (r"\*\*([^*]*)\*\*", "$1"),
-        (r"(?m)^#+\s*", ""),
-        (r"\\(?![a-zA-Z])", ""),
-    ):
+    x = F.substring_index(F.substring_index(F.substring_index(c, END_MARK, 1), HEADER_MARK, -1), BEGIN_MARK, -1)
+    x = strip(x)
+    for pattern, to in REWRITES:
         x = F.regexp_replace(x, pattern, to)
     return strip(x)
 

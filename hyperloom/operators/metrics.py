@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.functions import text
+from hyperloom.functions import rewards, text
 
 
 def valid(c: str) -> Column:
@@ -84,3 +84,31 @@ def summary(rows: DataFrame, names: DataFrame) -> DataFrame:
     )
     r = F.when((F.col("n_valid") > 1) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.try_divide("_c", F.col("_sx") * F.col("_sy")))
     return agg.withColumn("pearson", r).drop("_c", "_sx", "_sy")
+
+
+def combined_frame(log: DataFrame) -> DataFrame:
+    """Per step of the runs whose first step is of combined mode: the frame that training curves are drawn from.
+
+    ``log`` has run_id, step, reward_kind, mean_reward, mean_reward_scaled, reward_raw, loss and, where they were logged,
+    mean_faithfulness_raw, mean_feasibility_raw and the two weights; means that were not logged are 0, weights one half.
+    """
+    own = log.where("run_id is not null and step is not null")
+    mode = own.groupBy("run_id").agg(F.min_by("reward_kind", "step").alias("_mode")).where("_mode = 'combined'").select("run_id")
+    logged = lambda name, value: F.coalesce(F.col(name).cast("double"), F.lit(value)) if name in log.columns else F.lit(value)
+    mean = F.try_divide(F.aggregate("reward_raw", F.lit(0.0), lambda a, x: a + x), F.size("reward_raw"))
+    return own.join(mode, "run_id").where("reward_raw is not null").select(
+        "run_id", "step", mean.alias("combined_mean"), F.coalesce("mean_reward_scaled", "mean_reward").alias("scaled"),
+        logged("mean_faithfulness_raw", 0.0).alias("faithfulness_mean"), logged("mean_feasibility_raw", 0.0).alias("feasibility_mean"),
+        logged("combined_faith_weight", 0.5).alias("faithfulness_weight"), logged("combined_feas_weight", 0.5).alias("feasibility_weight"), "loss",
+    )
+
+
+def adaptive_frame(rows: DataFrame) -> DataFrame:
+    """Per step the frame of the adaptive reward; ``rows`` has step, f, e, d and for each its running mean and weight."""
+    own = {c: F.coalesce(c, F.lit(0.0)) for c in "fed"}
+    raw = rewards.combined([own[c] for c in "fed"], [F.col(f"w{c}") for c in "fed"])
+    names = {"f": "faithfulness", "e": "feasibility", "d": "difficulty"}
+    return rows.select(
+        "step", *(own[c].alias(f"{n}_mean") for c, n in names.items()), *(F.col(f"w{c}").alias(f"weight_{n}") for c, n in names.items()),
+        *(F.col(f"ema_{c}").alias(f"ema_{n}") for c, n in names.items()), raw.alias("combined_mean"), rewards.scaled(raw).alias("scaled"),
+    )

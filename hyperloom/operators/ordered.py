@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from hyperloom.dist import hash_rank, text_hash
+
 
 def monotonicity(rows: DataFrame, by: str, requested: str, judged: str, tie: str) -> DataFrame:
     """Per group of at least two valid rows, the share of neighbours by (requested, judged) that do not fall."""
@@ -70,7 +72,7 @@ def capped_sample(rows: DataFrame, by: str, kind: str, order: str, each: int, mo
 
     The first cut leaves at most ``each`` rows a group; running counts of groups then replace a window over a kind.
     """
-    first = Window.partitionBy(by, kind).orderBy(F.xxhash64(order), order)
+    first = Window.partitionBy(by, kind).orderBy(text_hash(order, seed=1), order)
     few = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= each)
     sizes = few.groupBy(kind, by).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(kind).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,9 +163,23 @@ def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def first_accepted(rows: DataFrame, order: list[str], accept: Column, n: int, tries: int = 5) -> DataFrame:
+    """The first n rows that are accepted, looking at no more than n * ``tries`` rows in order."""
+    return rows.orderBy(*order).limit(n * tries).where(accept).orderBy(*order).limit(n)
+
+
+def biased_choice(rows: DataFrame, depths: DataFrame, deep: Column, pick: Column, least: int) -> DataFrame:
+    """Adds ``target``: where ``deep`` is true one of the quantities of at least ``least`` depth, else any of ``depths`` (v, depth).
+
+    The quantities are those of a formula table; they become two arrays by scalar subqueries. Without deep ones any is taken.
+    """
+    pool = lambda own: own.agg(F.array_sort(F.collect_list("v")).alias("p")).scalar()
+    both = rows.withColumn("_deep", pool(depths.where(F.col("depth") >= least))).withColumn("_any", pool(depths))
+    own = F.when(deep & (F.size("_deep") > 0), F.col("_deep")).otherwise(F.col("_any"))
+    return both.withColumn("target", F.get(own, F.try_mod(pick, F.size(own)).cast("int"))).drop("_deep", "_any")
+
+
 def epoch_batches(rows: DataFrame, key: str, epoch: int, size: int) -> DataFrame:
     """(key, batch): the epoch's shuffled batches; every epoch has its own order, the same on every run."""
-    from hyperloom.dist import hash_rank, uniform_hash
-
-    ranked = hash_rank(rows.select(key), [], uniform_hash(key, seed=epoch), [key], rows.count(), "place")
+    ranked = hash_rank(rows.select(key), [], text_hash(key, seed=epoch), [key], rows.count(), "place")
     return ranked.select(key, F.floor(F.col("place") / size).alias("batch"))

@@ -9,7 +9,7 @@ Walk states are immutable values that are passed along, so nothing has to be und
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from typing import NamedTuple
 
@@ -27,6 +27,7 @@ class Formula(NamedTuple):
     inputs: tuple[str, ...]
     domain: str | None
     subdomain: str | None
+    label: str | None = None
 
 
 class Trace(NamedTuple):
@@ -42,11 +43,15 @@ class Trace(NamedTuple):
 
 class Graph:
     def __init__(self, rows: list[tuple]) -> None:
-        self.formulas = [Formula(i, o, tuple(x for x in (ins or ()) if x is not None), d, s or d) for i, o, ins, d, s in rows if i is not None and o is not None]
+        self.formulas = [Formula(i, o, tuple(x for x in (ins or ()) if x is not None), d, s or d, *more) for i, o, ins, d, s, *more in rows if i is not None and o is not None]
         self.making: dict[str, list[Formula]] = {}
         for f in self.formulas:
             self.making.setdefault(f.output, []).append(f)
-        self.nodes = {x for f in self.formulas for x in (f.output, *f.inputs)}
+        self.hypernyms: dict[str, str | None] = {}
+        for f in self.formulas:
+            for x in (f.output, *f.inputs):
+                self.hypernyms.setdefault(x, f.domain)  # the domain in which a quantity is seen first
+        self.nodes = set(self.hypernyms)
 
     def usable(self, v: str, target: str, trace: Trace) -> list[Formula]:
         """Formulas for v that do not need the target and keep to the domain held."""
@@ -61,7 +66,8 @@ def collect_graph(edges: DataFrame) -> list[tuple]:
     """Rows of a formula table for ``Graph``, in the order of the numbers in their ids; its size is checked first."""
     if edges.count() > MOST_FORMULAS:
         raise ValueError(f"more than {MOST_FORMULAS} formulas; use the relational operators of hyperloom.operators.graph")
-    rows = edges.select("id", "output", "inputs", "domain", "subdomain").collect()
+    label = F.col("label") if "label" in edges.columns else F.lit(None).cast("string")
+    rows = edges.select("id", "output", "inputs", "domain", "subdomain", label.alias("label")).collect()
     number = lambda r: int("".join(c for c in r["id"] if c.isdigit()) or 0)
     return [tuple(r) for r in sorted(rows, key=lambda r: (number(r), r["id"]))]
 
@@ -70,7 +76,12 @@ def _hold(trace: Trace, f: Formula, single: bool) -> Trace:
     return trace._replace(held=(f.domain, f.subdomain)) if single and trace.held is None else trace
 
 
-def sample(graph: Graph, target: str, depth: int = 5, seed: int | None = None, single: bool = False) -> Trace | None:
+def _start(single: bool, domain: str | None, subdomain: str | None) -> Trace:
+    """A walk held to one domain keeps to that of its first formula, or to the one (and subdomain) named."""
+    return Trace(held=(domain, subdomain)) if single and domain is not None else Trace()
+
+
+def sample(graph: Graph, target: str, depth: int = 5, seed: int | None = None, single: bool = False, domain: str | None = None, subdomain: str | None = None) -> Trace | None:
     """One trace by a random walk that prefers formulas with more inputs that can be derived; None without a formula."""
     rng = random.Random(seed)
 
@@ -93,11 +104,11 @@ def sample(graph: Graph, target: str, depth: int = 5, seed: int | None = None, s
                     return state._replace(order=(*state.order, f))
         return trace._replace(leafs=trace.leafs | {v})
 
-    found = settle(target, 0, (), Trace())
+    found = settle(target, 0, (), _start(single, domain, subdomain))
     return found._replace(leafs=found.leafs - {target}) if found and any(f.output == target for f in found.order) else None
 
 
-def enumerate_traces(graph: Graph, target: str, depth: int = 5, single: bool = False, most: int | None = None) -> list[Trace]:
+def enumerate_traces(graph: Graph, target: str, depth: int = 5, single: bool = False, most: int | None = None, domain: str | None = None, subdomain: str | None = None) -> Iterator[Trace]:
     """All different traces in order of formula ids as text; every quantity but the target may also be given."""
 
     def settle(v: str, level: int, above: frozenset[str], trace: Trace) -> Iterator[Trace]:
@@ -124,13 +135,13 @@ def enumerate_traces(graph: Graph, target: str, depth: int = 5, single: bool = F
 
     def different() -> Iterator[Trace]:
         seen = set()
-        for t in settle(target, 0, frozenset(), Trace()):
+        for t in settle(target, 0, frozenset(), _start(single, domain, subdomain)):
             key = (tuple(f.id for f in t.order), t.leafs)
             if key not in seen:
                 seen.add(key)
                 yield t
 
-    return list(islice(different(), most))
+    return islice(different(), most)
 
 
 class Chain(NamedTuple):
@@ -224,40 +235,48 @@ def complete_chains(graph: Graph, target: str, depth: int = 10, most: int = 100,
     return found or [Chain((), frozenset({target}), frozenset(), 0)]
 
 
-TRACES = "target string, seed long, trace_no int, path array<string>, leafs array<string>, chapters array<string>, subdomains array<string>"
+STEP = "struct<id:string,output:string,inputs:array<string>,label:string,domain:string,subdomain:string>"
+TRACES = f"target string, seed long, trace_no int, path array<{STEP}>, leafs array<string>, chapters array<string>, subdomains array<string>, hypernym string"
 
-
-def _rows(target: str, seed: int | None, found: list[tuple[int, Trace]]) -> list[dict]:
-    text = lambda xs: sorted({x for x in xs if x is not None})
-    return [{"target": target, "seed": seed, "trace_no": k, "path": [f.id for f in t.order], "leafs": sorted(t.leafs), "chapters": text(f.domain for f in t.order), "subdomains": text(f.subdomain for f in t.order)} for k, t in found]
+_STEP = pa.struct([("id", pa.string()), ("output", pa.string()), ("inputs", pa.list_(pa.string())), ("label", pa.string()), ("domain", pa.string()), ("subdomain", pa.string())])
+_TRACE_SCHEMA = pa.schema([("target", pa.string()), ("seed", pa.int64()), ("trace_no", pa.int32()), ("path", pa.list_(_STEP)), ("leafs", pa.list_(pa.string())), ("chapters", pa.list_(pa.string())), ("subdomains", pa.list_(pa.string())), ("hypernym", pa.string())])
+#: Traces of one Arrow batch.
+BATCH = 2_000
 
 
-_TRACE_SCHEMA = pa.schema([("target", pa.string()), ("seed", pa.int64()), ("trace_no", pa.int32()), ("path", pa.list_(pa.string())), ("leafs", pa.list_(pa.string())), ("chapters", pa.list_(pa.string())), ("subdomains", pa.list_(pa.string()))])
+def _row(graph: Graph, target: str, seed: int | None, k: int, t: Trace) -> dict:
+    text = lambda xs: sorted({x for x in xs if x is not None})
+    path = [{"id": f.id, "output": f.output, "inputs": list(f.inputs), "label": f.label, "domain": f.domain, "subdomain": f.subdomain} for f in t.order]
+    return {"target": target, "seed": seed, "trace_no": k, "path": path, "leafs": sorted(t.leafs), "chapters": text(f.domain for f in t.order), "subdomains": text(f.subdomain for f in t.order), "hypernym": graph.hypernyms.get(target, "unknown")}
 
 
-def _walks(targets: DataFrame, edges: DataFrame, walk: Callable[[Graph, str, int | None], list[Trace]]) -> DataFrame:
+def _walks(targets: DataFrame, edges: DataFrame, walk: Callable[[Graph, str, int | None], Iterable[Trace]]) -> DataFrame:
     spark, rows = targets.sparkSession, collect_graph(edges)
     held = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(held.value)
+        graph, found = Graph(held.value), []
         for batch in batches:
             for target, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _rows(target, seed, list(enumerate(walk(graph, target, seed))))
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=_TRACE_SCHEMA)
+                for k, t in enumerate(walk(graph, target, seed)):
+                    found.append(_row(graph, target, seed, k, t))
+                    if len(found) >= BATCH:  # traces of a target stream out, they are never gathered
+                        yield pa.RecordBatch.from_pylist(found, schema=_TRACE_SCHEMA)
+                        found = []
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=_TRACE_SCHEMA)
 
     return targets.select("target", F.col("seed").cast("long")).repartition(F.col("target"), F.col("seed")).mapInArrow(run, TRACES)
 
 
-def trace_sample(targets: DataFrame, edges: DataFrame, depth: int = 5, single: bool = False) -> DataFrame:
-    """One random trace of each (target, seed) that has one."""
-    return _walks(targets, edges, lambda g, t, s: [x for x in [sample(g, t, depth, s, single)] if x])
+def trace_sample(targets: DataFrame, edges: DataFrame, depth: int = 5, single: bool = False, domain: str | None = None, subdomain: str | None = None) -> DataFrame:
+    """One random trace of each (target, seed) that has one; ``single`` keeps it to one domain, that named or the first."""
+    return _walks(targets, edges, lambda g, t, s: [x for x in [sample(g, t, depth, s, single, domain, subdomain)] if x])
 
 
-def trace_enum(targets: DataFrame, edges: DataFrame, depth: int, single: bool = False, most: int | None = None) -> DataFrame:
+def trace_enum(targets: DataFrame, edges: DataFrame, depth: int, single: bool = False, most: int | None = None, domain: str | None = None, subdomain: str | None = None) -> DataFrame:
     """All traces of each target; bound the depth or the number, traces grow fast."""
-    return _walks(targets.withColumn("seed", F.lit(None).cast("long")), edges, lambda g, t, s: enumerate_traces(g, t, depth, single, most))
+    return _walks(targets.withColumn("seed", F.lit(None).cast("long")), edges, lambda g, t, s: enumerate_traces(g, t, depth, single, most, domain, subdomain))
 
 
 def trace_chains(targets: DataFrame, edges: DataFrame, depth: int = 10, most: int = 100) -> DataFrame:

@@ -15,10 +15,18 @@ def _load() -> None:
 
 
 def queries() -> dict:
+    """The queries as they are."""
+    _load()
+    return dict(registry.QUERIES)
+
+
+def compared_queries() -> dict:
+    """The same with computed doubles to six places, to be compared with ``oracle_sql``."""
     _load()
     return {n: rounding.rounded(n, f) for n, f in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL with computed doubles to six places."""
     _load()
     return {n: rounding.rounded_sql(n, s) for n, s in registry.SQL.items()}

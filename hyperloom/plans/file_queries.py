@@ -26,9 +26,10 @@ _SCHEMA = "eval_id long, target string, requested_difficulty int, claude_feasibi
 
 @query("scan_json_array", _SHORT)
 def scan_json_array(spark, d):
-    """Records written as JSON arrays, one a part, and read back."""
+    """Records written as JSON arrays of about a thousand, one a file, and read back."""
     path = _place(spark, "arrays")
-    rows = _short(spark, d).withColumn("part", F.pmod(F.xxhash64("eval_id"), F.lit(8)))
+    rows = _short(spark, d)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("eval_id"), F.lit(1 + rows.count() // 1000)))  # an array is held whole, so it is kept short
     rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("eval_id", "target", "requested_difficulty", "claude_feasibility"))).alias("value")).write.partitionBy("part").text(path)
     return files.read_records(spark, path, _SCHEMA)
 
@@ -130,6 +131,14 @@ def stream_rl_log(spark, d):
     return logs.run_to_table(logs.step_stats(logs.stream_log(spark, f"{d}/rl_steps.parquet")), _place(spark, "stream"))
 
 
+@query("stream_windowed", """
+SELECT time_bucket(INTERVAL '1 hour', logged_at) AS hour, run_id, count(*) AS lines, avg(mean_reward_raw) AS mean FROM rl_steps WHERE logged_at IS NOT NULL GROUP BY 1, 2""")
+def stream_windowed(spark, d):
+    """Lines and mean reward per run and hour of logging, with a watermark for late lines."""
+    rows = logs.run_to_table(logs.windowed_stats(logs.stream_log(spark, f"{d}/rl_steps.parquet")), _place(spark, "stream"))
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "run_id", "lines", "mean")
+
+
 @query("stream_ema")
 def stream_ema(spark, d):
     """Running means kept per run across micro-batches."""

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from hyperloom.dist import read_table
+from hyperloom.dist import read_table, text_hash_sql
 from hyperloom.functions import formula as fm
 from hyperloom.operators import graph, traverse, treewalk
 from hyperloom.plans.registry import query
@@ -58,19 +56,19 @@ def all_dependencies(spark, d):
     return graph.links(_edges(spark, d)).groupBy("v").agg(F.array_join(F.array_sort(F.collect_set("dep")), " ").alias("needs"))
 
 
-_DEPTH = """
+DEPTH_SQL = f"""
 WITH RECURSIVE l AS (SELECT DISTINCT output AS v, unnest(inputs) AS dep FROM hyperedges),
-p AS (SELECT DISTINCT v, v AS e, [v] AS o, 0 AS k FROM l UNION SELECT p.v, l.dep, list_sort(list_append(p.o, l.dep)), k + 1 FROM p JOIN l ON l.v = p.e WHERE NOT list_contains(p.o, l.dep) AND k < 6),
+p AS (SELECT DISTINCT v, v AS e, [v] AS o, 0 AS k FROM l UNION SELECT p.v, l.dep, list_sort(list_append(p.o, l.dep)), k + 1 FROM p JOIN l ON l.v = p.e WHERE NOT list_contains(p.o, l.dep) AND k < {MOST_DEPTH}),
 n AS (SELECT output AS v FROM hyperedges UNION SELECT unnest(inputs) FROM hyperedges)
 SELECT n.v, coalesce(max(p.k), 0) AS depth FROM n LEFT JOIN p USING (v) GROUP BY n.v"""
 
 
-@query("max_dep_depth", _DEPTH)
+@query("max_dep_depth", DEPTH_SQL)
 def max_dep_depth(spark, d):
     return graph.depth(_edges(spark, d), MOST_DEPTH)
 
 
-@query("deep_variables", f"SELECT v, depth FROM ({_DEPTH}) WHERE depth >= 3")
+@query("deep_variables", f"SELECT v, depth FROM ({DEPTH_SQL}) WHERE depth >= 3")
 def deep_variables(spark, d):
     return graph.depth(_edges(spark, d), MOST_DEPTH).where("depth >= 3")
 
@@ -93,20 +91,38 @@ def prune_tree(spark, d):
 
 @query("trace_to_graph", """
 WITH s AS (SELECT record_id, trace.path[i] AS e, i FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset))
-SELECT record_id, e.id || '@' || i AS source, e.output AS sink, 'produces' AS relation FROM s UNION SELECT record_id, unnest(e.inputs), e.id || '@' || i, 'input' FROM s""")
+SELECT record_id, e.id || '@' || i AS source, e.output AS sink, 'produces' AS relation FROM s WHERE e.id IS NOT NULL AND e.output IS NOT NULL
+UNION SELECT record_id, x, f, 'input' FROM (SELECT record_id, unnest(e.inputs) AS x, e.id || '@' || i AS f FROM s) WHERE x IS NOT NULL AND f IS NOT NULL""")
 def trace_to_graph(spark, d):
     return graph.trace_graph(read_table(spark, d, "dataset"), "record_id")[1]
 
 
-@query("merged_graph", """
-WITH s AS (SELECT record_id, trace.target AS t, trace.leafs AS lf, trace.path[i] AS e FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset)),
-n AS (SELECT record_id, trace.target AS node, 0 AS r FROM dataset UNION ALL SELECT record_id, unnest(trace.leafs), 1 FROM dataset UNION ALL SELECT record_id, e.output, 2 FROM s UNION ALL SELECT record_id, unnest(e.inputs), 3 FROM s),
-k AS (SELECT record_id, node, min(r) AS r FROM n WHERE node IS NOT NULL GROUP BY 1, 2)
-SELECT node, arg_max(CASE r WHEN 0 THEN 'target' WHEN 2 THEN 'derived' ELSE 'leaf' END, record_id) AS kind FROM k GROUP BY node""")
+_NODES = """
+WITH s AS (SELECT record_id, trace.target AS t, trace.leafs AS lf, trace.path[i] AS e, i FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset)),
+n AS (SELECT record_id, t, lf, e.output AS node, true AS made FROM s WHERE e.id IS NOT NULL UNION ALL SELECT record_id, t, lf, unnest(e.inputs), false FROM s WHERE e.id IS NOT NULL),
+k AS (SELECT record_id, node, CASE WHEN bool_or(coalesce(node = t, false)) THEN 'target' WHEN bool_or(coalesce(list_contains(lf, node), false)) THEN 'leaf' WHEN bool_or(made) THEN 'derived' ELSE 'leaf' END AS kind FROM n WHERE node IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@query("trace_to_graph_nodes", f"{_NODES} SELECT record_id, node, kind FROM k UNION ALL SELECT DISTINCT record_id, e.id || '@' || i, 'formula' FROM s WHERE e.id IS NOT NULL")
+def trace_to_graph_nodes(spark, d):
+    """The nodes of every drawn trace with their kinds."""
+    return graph.trace_graph(read_table(spark, d, "dataset"), "record_id")[0]
+
+
+@query("merged_graph", f"{_NODES} SELECT node, arg_max(kind, record_id) AS kind FROM k GROUP BY node UNION ALL SELECT DISTINCT 'T' || record_id || ':' || e.id || '@' || i, 'formula' FROM s WHERE e.id IS NOT NULL")
 def merged_graph(spark, d):
-    """Quantities of all drawn traces; a later trace decides the kind."""
-    nodes, _ = graph.trace_graph(read_table(spark, d, "dataset"), "record_id")
-    return nodes.where("kind <> 'formula'").groupBy("node").agg(F.max_by("kind", "record_id").alias("kind"))
+    """Nodes of all drawn traces: quantities are merged, a later trace decides their kind; formulas bear their trace's number."""
+    return graph.merged(*graph.trace_graph(read_table(spark, d, "dataset"), "record_id"), "record_id")[0]
+
+
+@query("merged_graph_edges", """
+WITH s AS (SELECT record_id, trace.path[i] AS e, i FROM (SELECT record_id, trace, unnest(range(1, len(trace.path) + 1)) AS i FROM dataset)),
+f AS (SELECT 'T' || record_id || ':' || e.id || '@' || i AS f, e FROM s WHERE e.id IS NOT NULL)
+SELECT f AS source, e.output AS sink, 'produces' AS relation FROM f WHERE e.output IS NOT NULL UNION SELECT x, f, 'input' FROM (SELECT unnest(e.inputs) AS x, f FROM f) WHERE x IS NOT NULL""")
+def merged_graph_edges(spark, d):
+    """Edges of all drawn traces."""
+    return graph.merged(*graph.trace_graph(read_table(spark, d, "dataset"), "record_id"), "record_id")[1]
 
 
 @query("traces_by_length", "SELECT len(trace.path) AS steps, count(*) AS traces, count(DISTINCT trace.target) AS targets FROM dataset WHERE trace.path IS NOT NULL GROUP BY 1")
@@ -142,7 +158,7 @@ def limit_traces(spark, d):
 def traces_formatted(spark, d):
     """Chains as text lines."""
     t = traverse.trace_chains(_targets(spark, d), _edges(spark, d))
-    return t.select("target", "trace_no", F.size("path").alias("steps"), F.array_join("path", " > ").alias("line"), F.array_join("leafs", ", ").alias("given"))
+    return t.select("target", "trace_no", F.size("path").alias("steps"), F.array_join("path.id", " > ").alias("line"), F.array_join("leafs", ", ").alias("given"))
 
 
 @query("trace_fallback", "SELECT v AS target, 0 AS steps FROM (SELECT DISTINCT unnest(inputs) AS v FROM hyperedges) WHERE v NOT IN (SELECT output FROM hyperedges)")
@@ -153,24 +169,40 @@ def trace_fallback(spark, d):
     return traverse.trace_chains(bare, e).select("target", F.size("path").alias("steps"))
 
 
-@query("topo_sort", "SELECT record_id, true AS ordered FROM dataset WHERE len(trace.path) > 0")
+#: The order of execution by popping formulas that wait for nothing, in SQL; a formula waits for the last one of each output.
+_ORDER = """
+WITH RECURSIVE t AS (SELECT record_id, trace.target AS target, coalesce(trace.leafs, []) AS leafs, trace.path AS path, range(1, len(trace.path) + 1) AS ks FROM dataset WHERE len(trace.path) > 0),
+w AS (SELECT record_id, list_transform(ks, lambda i: list_filter(ks, lambda j: list_contains(path[i].inputs, path[j].output) AND NOT list_contains(list_transform(path[j + 1:], lambda e: e.output), path[j].output))) AS waits, ks FROM t),
+q AS (SELECT record_id, waits, list_filter(ks, lambda i: len(waits[i]) = 0) AS ready, CAST([] AS BIGINT[]) AS done FROM w
+  UNION ALL SELECT record_id, waits, list_concat(ready[2:], list_filter(range(1, len(waits) + 1), lambda j: list_contains(waits[j], ready[1]) AND len(list_filter(waits[j], lambda x: NOT list_contains(list_append(done, ready[1]), x))) = 0)), list_append(done, ready[1]) FROM q WHERE len(ready) > 0),
+o AS (SELECT record_id, CASE WHEN len(done) = len(waits) THEN done END AS done FROM q WHERE len(ready) = 0)
+"""
+
+
+@query("topo_sort", f"{_ORDER} SELECT record_id, array_to_string(list_transform(done, lambda k: path[k].id), ' ') AS steps FROM o JOIN t USING (record_id)")
 def topo_sort(spark, d):
-    """Whether the formulas of every recorded trace can be put in order of execution."""
-    def ordered(paths: pd.Series) -> pd.Series:
-        as_path = lambda p: tuple(traverse.Formula(e["id"], e["output"], tuple(e["inputs"]), None, None) for e in p)
-        return pd.Series([traverse.execution_order(as_path(p)) is not None for p in paths])
+    """The formulas of every recorded trace in order of execution; null where they need one another in a ring."""
+    rows = read_table(spark, d, "dataset").where(F.size("trace.path") > 0)
+    return rows.select("record_id", F.array_join(F.transform(graph.execution_order(F.col("trace.path")), lambda e: e["id"]), " ").alias("steps"))
+
 
-    check = F.pandas_udf(ordered, BooleanType())
-    return read_table(spark, d, "dataset").where(F.size("trace.path") > 0).select("record_id", check(F.transform("trace.path", lambda e: F.struct(e["id"], e["output"], e["inputs"]))).alias("ordered"))
+#: A domain may feed another: (producer, consumer).
+FITS = [("pump_hydraulics", "belt_drives")]
 
 
-@query("trace_complete", """
-WITH s AS (SELECT record_id, trace.path AS path, trace.target AS t FROM dataset WHERE len(trace.path) > 0)
-SELECT record_id, array_to_string(list_sort(list_filter(list_distinct(flatten(list_transform(path, lambda e: e.inputs))), lambda x: NOT list_contains(list_transform(path, lambda e: e.output), x))), ' ') AS givens FROM s""")
+@query("trace_complete", f"""{_ORDER},
+c AS (SELECT record_id, target, leafs, list_transform(done, lambda k: path[k]) AS run FROM o JOIN t USING (record_id)),
+x AS (SELECT record_id, bool_or(coalesce(m.domain, 'unknown') <> coalesce(u.domain, 'unknown') AND NOT (coalesce(m.domain, 'unknown') = 'pump_hydraulics' AND coalesce(u.domain, 'unknown') = 'belt_drives') AND list_contains(u.inputs, m.output)) AS odd
+      FROM (SELECT record_id, unnest(run) AS m, run FROM c) CROSS JOIN LATERAL (SELECT unnest(run) AS u) WHERE NOT list_contains(list_transform(list_slice(run, list_position(run, m) + 1, len(run)), lambda e: e.output), m.output) GROUP BY record_id)
+SELECT record_id, CASE WHEN NOT odd THEN array_to_string(list_transform(run, lambda e: e.id), ' ') END AS steps,
+  CASE WHEN NOT odd THEN array_to_string(list_sort(list_distinct(list_filter(list_concat(leafs, list_filter(flatten(list_transform(run, lambda e: e.inputs)), lambda v: NOT list_contains(list_transform(run, lambda e: e.output), v) AND v IS DISTINCT FROM target)), lambda v: v IS NOT NULL))), ' ') END AS givens
+FROM c LEFT JOIN x USING (record_id)""")
 def trace_complete(spark, d):
-    """Inputs that no step of a recorded trace makes."""
-    used = F.array_distinct(F.flatten(F.transform("trace.path", lambda e: e["inputs"])))
-    return read_table(spark, d, "dataset").where(F.size("trace.path") > 0).select("record_id", F.array_join(F.array_sort(F.array_except(used, F.transform("trace.path", lambda e: e["output"]))), " ").alias("givens"))
+    """Every recorded trace in order of execution with all that must be given; null where it cannot run or domains do not fit."""
+    rows = read_table(spark, d, "dataset").where(F.size("trace.path") > 0)
+    rows = rows.select("record_id", "trace.target", F.coalesce("trace.leafs", F.array().cast("array<string>")).alias("leafs"), graph.execution_order(F.col("trace.path")).alias("run"))
+    done = graph.completed(F.col("run"), F.col("leafs"), F.col("target"), FITS)
+    return rows.select("record_id", done.alias("c")).select("record_id", F.array_join(F.transform("c.path", lambda e: e["id"]), " ").alias("steps"), F.array_join("c.leafs", " ").alias("givens"))
 
 
 @query("tree_walk")
@@ -184,8 +216,25 @@ def walk_length(spark, d):
     return treewalk.tree_walks(_targets(spark, d).withColumn("seed", F.lit(0)), _edges(spark, d)).groupBy("target").agg(F.max("length").alias("length"), F.count_if("leaf").alias("leafs"))
 
 
-@query("safe_eval", """
-SELECT id, CAST(CASE id WHEN 'f1' THEN NULL END AS DOUBLE) AS none, len(inputs) AS inputs FROM hyperedges""")
+#: A formula in SQL: names become their values, then the innermost and tightest operation is done, one in each round.
+_X = r"(-?[0-9.]+(?:e[+-]?[0-9]+)?)"
+_VALUES = rf"""
+WITH RECURSIVE g AS (SELECT variable, (100 + {text_hash_sql('variable', seed=42)} // 8 % 9901) / 100.0 AS value FROM hypernyms),
+n AS (SELECT id, label, unnest(list_distinct(regexp_extract_all(label, '[a-zA-Z_][a-zA-Z0-9_]*'))) AS v FROM hyperedges),
+l AS (SELECT id, any_value(label) AS label, list_sort(list({{'n': -length(v), 'v': v, 'x': CAST(value AS VARCHAR)}}) FILTER (value IS NOT NULL)) AS names FROM n LEFT JOIN g ON g.variable = n.v GROUP BY id),
+e AS (SELECT id, list_reduce(list_prepend(label, list_transform(names, lambda y: y.v || '=' || y.x)), lambda t, y: regexp_replace(t, '\b' || split_part(y, '=', 1) || '\b', split_part(y, '=', 2), 'g')) AS t FROM l
+  UNION ALL
+  SELECT id, CASE
+      WHEN regexp_matches(p, '^{_X}$') THEN CASE f WHEN 'sqrt' THEN replace(t, 'sqrt(' || p || ')', CAST(sqrt(CAST(p AS DOUBLE)) AS VARCHAR)) WHEN 'log10' THEN replace(t, 'log10(' || p || ')', CAST(log10(CAST(p AS DOUBLE)) AS VARCHAR)) ELSE replace(t, '(' || p || ')', p) END
+      ELSE replace(t, o, CAST(CASE s WHEN '^' THEN pow(a, b) WHEN '*' THEN a * b WHEN '/' THEN a / nullif(b, 0) WHEN '+' THEN a + b ELSE a - b END AS VARCHAR)) END
+  FROM (SELECT *, TRY_CAST(regexp_extract(o, '^{_X}', 1) AS DOUBLE) AS a, TRY_CAST(regexp_extract(o, '{_X}$', 1) AS DOUBLE) AS b, CASE WHEN contains(o, '^') THEN '^' ELSE regexp_extract(o, ' ([*/+-]) ', 1) END AS s
+        FROM (SELECT *, coalesce(nullif(regexp_extract(p, '{_X}\^{_X}'), ''), nullif(regexp_extract(p, '{_X} [*/] {_X}'), ''), regexp_extract(p, '{_X} [+-] {_X}')) AS o
+              FROM (SELECT id, t, coalesce(nullif(regexp_extract(t, '\(([^()]*)\)', 1), ''), t) AS p, regexp_extract(t, '([a-z0-9]*)\([^()]*\)', 1) AS f FROM e WHERE NOT regexp_matches(t, '^{_X}$') AND regexp_matches(t, '^[-0-9.e+*/^ ()sqrtlog]*$'))) WHERE o <> '' OR regexp_matches(p, '^{_X}$'))),
+v AS (SELECT id, max(CAST(t AS DOUBLE)) AS value FROM e WHERE regexp_matches(t, '^{_X}$') GROUP BY id)
+"""
+
+
+@query("safe_eval", f"{_VALUES} SELECT h.id, v.value, len(h.inputs) AS inputs FROM hyperedges h LEFT JOIN v USING (id)")
 def safe_eval(spark, d):
     """Every formula evaluated on a given value for each quantity; null where it is undefined."""
     return _evaluated(spark, d).select("id", "value", F.size("inputs").cast("long").alias("inputs"))
@@ -206,18 +255,25 @@ def _evaluated(spark, d):
     return rows.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
 
 
-@query("find_working_formula", """
-SELECT output, min(id) AS id FROM hyperedges WHERE len(list_filter(inputs, lambda x: x LIKE '%\\_rate' ESCAPE '\\')) = 0 GROUP BY output""")
+_GIVEN_FROM = 30.0
+
+
+@query("find_working_formula", f"""
+WITH g AS (SELECT variable, (100 + {text_hash_sql('variable', seed=42)} // 8 % 9901) / 100.0 AS value FROM hypernyms),
+u AS (SELECT id, output, unnest(CASE WHEN len(inputs) > 0 THEN inputs ELSE [NULL] END) AS v FROM hyperedges),
+k AS (SELECT id, output, bool_and(v IS NULL OR coalesce(value >= {_GIVEN_FROM}, false)) AND NOT bool_or(coalesce(v LIKE '%\\_rate' ESCAPE '\\', false)) AS works FROM u LEFT JOIN g ON g.variable = u.v GROUP BY 1, 2)
+SELECT output, min(id) AS id FROM k WHERE works GROUP BY output""")
 def find_working_formula(spark, d):
-    """Of every quantity the first formula by id that needs only quantities of the graph and no rate."""
+    """Of every quantity the first formula by id that needs only what is there and no rate.
+
+    There are the quantities to which ``uniform_value`` gives at least ``_GIVEN_FROM``.
+    """
+    from hyperloom.plans.record_queries import uniform_value
+
     e = _edges(spark, d)
-    have = {r["node"] for r in graph.nodes(e).collect()}  # a fixed table
-    shun = {v for v in have if v.endswith("_rate")}
-    options: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
-    for r in sorted(e.where("id is not null and inputs is not null").select("id", "output", "inputs").collect(), key=lambda r: r["id"]):
-        options.setdefault(r["output"], []).append((r["id"], tuple(r["inputs"])))
-    found = ((v, treewalk.working(own, have, shun)) for v, own in options.items())
-    return spark.createDataFrame([(v, f[0]) for v, f in found if f], "output string, id string")
+    have = uniform_value(spark, d).where(F.col("value") >= _GIVEN_FROM).select("variable")
+    shun = graph.nodes(e).where(F.col("node").endswith("_rate")).select(F.col("node").alias("variable"))
+    return graph.working_formula(e, have, shun)
 
 
 @query("eval_backward")
@@ -245,7 +301,7 @@ def creates_cycle(spark, d):
     return e.select("id").join(hits, "id", "left").select("id", F.coalesce("t", F.lit(False)).alias("turns_back"))
 
 
-@query("try_formulas", "SELECT output, min(id) AS id FROM hyperedges WHERE len(inputs) <= 2 GROUP BY output")
+@query("try_formulas", f"{_VALUES} SELECT h.output, min(h.id) AS id, arg_min(v.value, h.id) AS value FROM hyperedges h JOIN v USING (id) WHERE v.value IS NOT NULL GROUP BY h.output")
 def try_formulas(spark, d):
     """Of every quantity the first formula by id that has a value on the given ones, and the value."""
     return _evaluated(spark, d).where("value is not null").groupBy("output").agg(F.min("id").alias("id"), F.min_by("value", "id").alias("value"))

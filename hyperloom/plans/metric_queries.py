@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hyperloom.dist import read_table
 from hyperloom.functions import text
 from hyperloom.operators import metrics
+from hyperloom.plans.record_queries import ADAPTIVE_SQL, adaptive
 from hyperloom.plans.registry import query
 
 
@@ -188,14 +189,24 @@ def rl_flatten(spark, d):
     return rows.select("run_id", "step", F.explode(F.coalesce("reward_raw", F.transform("rewards", lambda r: r + 1))).alias("raw"))
 
 
-@query("rl_combined_frame", f"SELECT run_id, step, mean_reward_raw, coalesce(mean_reward_scaled, mean_reward_raw - 1) AS scaled, mean_kl_sample FROM {_LOG} WHERE reward_kind IS NOT NULL")
+@query("rl_combined_frame", """
+WITH l AS (SELECT DISTINCT run_id, step, reward_kind, mean_reward, mean_reward_scaled, reward_raw, loss FROM rl_steps WHERE run_id IS NOT NULL AND step IS NOT NULL),
+m AS (SELECT run_id, arg_min(reward_kind, step) AS kind FROM l GROUP BY run_id)
+SELECT run_id, step, list_avg(reward_raw) AS combined_mean, coalesce(mean_reward_scaled, mean_reward) AS scaled, 0.0::DOUBLE AS faithfulness_mean, 0.0::DOUBLE AS feasibility_mean, 0.5::DOUBLE AS faithfulness_weight, 0.5::DOUBLE AS feasibility_weight, loss
+FROM l JOIN m USING (run_id) WHERE m.kind = 'combined' AND reward_raw IS NOT NULL""")
 def rl_combined_frame(spark, d):
-    return _log(spark, d).where("reward_kind is not null").select("run_id", "step", "mean_reward_raw", F.coalesce("mean_reward_scaled", F.col("mean_reward_raw") - 1).alias("scaled"), "mean_kl_sample")
+    """Per step of the runs that began in combined mode: combined mean, scaled reward, component means and weights, loss."""
+    log = read_table(spark, d, "rl_steps").select("run_id", "step", "reward_kind", "mean_reward", "mean_reward_scaled", "reward_raw", "loss").distinct()
+    return metrics.combined_frame(log)
 
 
-@query("rl_adaptive_frame", f"SELECT reward_kind, count(DISTINCT run_id) AS runs, avg(mean_reward_raw) AS mean, avg(reward_std_raw) AS spread FROM {_LOG} GROUP BY 1")
+@query("rl_adaptive_frame", f"""
+WITH RECURSIVE {ADAPTIVE_SQL}, n AS (SELECT *, wf + we + wd AS z, coalesce(f, 0) AS a, coalesce(e, 0) AS b, coalesce(d, 0) AS c FROM w)
+SELECT step, a AS faithfulness_mean, b AS feasibility_mean, c AS difficulty_mean, wf / z AS weight_faithfulness, we / z AS weight_feasibility, wd / z AS weight_difficulty, ef AS ema_faithfulness, ee AS ema_feasibility, ed AS ema_difficulty,
+  (wf * a + we * b + wd * c) / z AS combined_mean, greatest(-1.0, least(1.0, (wf * a + we * b + wd * c) / z - 1)) AS scaled FROM n""")
 def rl_adaptive_frame(spark, d):
-    return _log(spark, d).groupBy("reward_kind").agg(F.countDistinct("run_id").alias("runs"), F.avg("mean_reward_raw").alias("mean"), F.avg("reward_std_raw").alias("spread"))
+    """Per step: means of the three signals, their running means and weights, and the adaptive reward raw and scaled."""
+    return metrics.adaptive_frame(adaptive(spark, d))
 
 
 @query("score_vs_score", "SELECT eval_id, claude_feasibility AS a, claude_faithfulness.variable_coverage AS b FROM eval_sft WHERE claude_feasibility >= 1 AND claude_faithfulness.variable_coverage IS NOT NULL")

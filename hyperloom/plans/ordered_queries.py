@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hyperloom.dist import read_table
+from hyperloom.dist import read_table, text_hash, text_hash_sql
 from hyperloom.functions import rewards
-from hyperloom.operators import ordered
+from hyperloom.operators import ordered, records
+from hyperloom.plans.graph_queries import DEPTH_SQL
 from hyperloom.plans.registry import query
 
 _SERIES = "(SELECT run_id, step, avg(mean_reward_raw) AS v FROM rl_steps WHERE step IS NOT NULL AND mean_reward_raw IS NOT NULL AND run_id IS NOT NULL GROUP BY 1, 2)"
@@ -45,7 +46,11 @@ def group_advantage(spark, d):
     return ordered.group_advantage(e, ["run_id", "step"], "x").select("run_id", "step", (F.col("p") + 1).cast("long").alias("pos"), "advantage")
 
 
-@query("capped_sample_by_length", None)
+@query("capped_sample_by_length", f"""
+WITH r AS (SELECT eval_id, target, len(trace.path) AS length, {text_hash_sql('eval_id', seed=1)} AS h FROM eval_sft WHERE target IS NOT NULL AND trace.path IS NOT NULL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, length ORDER BY h, eval_id) AS k FROM r) WHERE k <= 2),
+c AS (SELECT length, target, sum(count(*)) OVER (PARTITION BY length ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f GROUP BY 1, 2)
+SELECT eval_id, target, CAST(length AS INT) AS length FROM f JOIN c USING (length, target) WHERE coalesce(before, 0) + k <= 20""")
 def capped_sample_by_length(spark, d):
     rows = read_table(spark, d, "eval_sft").where("target is not null and trace.path is not null").select("eval_id", "target", F.size("trace.path").alias("length"))
     return ordered.capped_sample(rows, "target", "length", "eval_id", 2, 20)
@@ -84,18 +89,22 @@ def paginate(spark, d):
 def step_checkpoint(spark, d):
     s = _series(spark, d)
     third = s.groupBy("run_id").agg(F.greatest(F.lit(1), F.floor(F.max("step") / 3)).alias("third"))
-    return s.join(F.broadcast(third), "run_id").where("step % 50 = 0 or step % third = 0").select("run_id", "step")
+    return s.join(third, "run_id").where("step % 50 = 0 or step % third = 0").select("run_id", "step")
 
 
-@query("epoch_batches", None)
+@query("epoch_batches", f"SELECT record_id, (row_number() OVER (ORDER BY {text_hash_sql('record_id', seed=1)}, record_id) - 1) // 64 AS batch FROM dataset")
 def epoch_batches(spark, d):
     return ordered.epoch_batches(read_table(spark, d, "dataset"), "record_id", 1, 64)
 
 
-@query("retry_last_attempt", "SELECT target, requested_difficulty, max(attempt) AS last, count(*) AS tries FROM (SELECT DISTINCT target, requested_difficulty, attempt, failure_kind FROM dataset_failed) GROUP BY 1, 2")
+@query("retry_last_attempt", """
+WITH f AS (SELECT target, requested_difficulty AS d, max(attempt) AS last, bool_or(contains(coalesce(drop_reason, ''), 'attempts')) AS gave_up FROM dataset_failed WHERE target IS NOT NULL AND requested_difficulty IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT DISTINCT target, requested_difficulty AS d, true AS passed FROM dataset WHERE target IS NOT NULL AND requested_difficulty IS NOT NULL),
+a AS (SELECT target, d, coalesce(last, 0) AS last, coalesce(gave_up, false) AS gave_up, coalesce(passed, false) AS passed FROM f FULL JOIN p USING (target, d))
+SELECT target, d AS requested_difficulty, last, passed, NOT passed AND NOT gave_up AND last < 3 AS remaining, CASE WHEN NOT passed AND NOT gave_up AND last < 3 THEN 600 * last END AS more_tokens FROM a""")
 def retry_last_attempt(spark, d):
-    rows = read_table(spark, d, "dataset_failed").select("target", "requested_difficulty", "attempt", "failure_kind").distinct()
-    return rows.groupBy("target", "requested_difficulty").agg(F.max("attempt").alias("last"), F.count(F.lit(1)).alias("tries"))
+    """Of every target and difficulty the last attempt, whether one passed, and what the next attempt may use if there is one."""
+    return records.retries(read_table(spark, d, "dataset_failed"), read_table(spark, d, "dataset"), 3, 600)
 
 
 @query("sort_ranked_edges", """
@@ -116,34 +125,42 @@ def sort_coverage(spark, d):
     return n.select("chapter", "n", F.row_number().over(Window.orderBy("n", "chapter")).cast("long").alias("place"))  # one row a chapter
 
 
-@query("limit_attempts", "SELECT failure_kind, attempt, n FROM (SELECT failure_kind, attempt, count(*) AS n FROM dataset_failed WHERE attempt <= 3 GROUP BY 1, 2)")
+@query("limit_attempts", """
+WITH a AS (SELECT record_id, trace FROM dataset ORDER BY generated_at NULLS FIRST, record_id LIMIT 250)
+SELECT record_id FROM (SELECT record_id, row_number() OVER () AS k, trace FROM a) WHERE len(trace.path) >= 5 AND len(trace.chapters) = 1 ORDER BY k LIMIT 50""")
 def limit_attempts(spark, d):
-    return read_table(spark, d, "dataset_failed").where("attempt <= 3").groupBy("failure_kind", "attempt").agg(F.count(F.lit(1)).alias("n"))
+    """The first fifty attempts that are accepted, of at most five times as many tries."""
+    rows = read_table(spark, d, "dataset").select("record_id", "generated_at", F.size("trace.path").alias("steps"), F.size("trace.chapters").alias("chapters"))
+    return ordered.first_accepted(rows, ["generated_at", "record_id"], (F.col("steps") >= 5) & (F.col("chapters") == 1), 50).select("record_id")
 
 
-@query("sample_targets", None)
+@query("sample_targets", f"SELECT target FROM (SELECT DISTINCT output AS target FROM hyperedges) WHERE {text_hash_sql('target', seed=3)} < {int(0.1 * 0x7FFFFFFFFFFFFFFF)}")
 def sample_targets(spark, d):
     """A tenth of the producible targets, by hash."""
-    from hyperloom.dist import uniform_hash
-
     t = read_table(spark, d, "hyperedges").select(F.col("output").alias("target")).distinct()
-    return t.where(uniform_hash("target", seed=3) < F.lit(int(0.1 * 0x7FFFFFFFFFFFFFFF)))
+    return t.where(text_hash("target", seed=3) < F.lit(int(0.1 * 0x7FFFFFFFFFFFFFFF)))
 
 
-@query("debug_subset", None)
+@query("debug_subset", f"SELECT record_id FROM dataset ORDER BY {text_hash_sql('record_id', seed=5)}, record_id LIMIT 40")
 def debug_subset(spark, d):
     """Forty records in the order of a hash, as a shuffled prefix."""
-    from hyperloom.dist import uniform_hash
+    return read_table(spark, d, "dataset").select("record_id", text_hash("record_id", seed=5).alias("o")).orderBy("o", "record_id").limit(40).select("record_id")
+
 
-    return read_table(spark, d, "dataset").select("record_id", uniform_hash("record_id", seed=5).alias("o")).orderBy("o", "record_id").limit(40).select("record_id")
+_U, _PICK = text_hash_sql("record_id", seed=9), text_hash_sql("record_id", seed=10)
 
 
-@query("biased_choice", None)
+@query("biased_choice", f"""
+WITH w AS ({DEPTH_SQL}), deep AS (SELECT list(v ORDER BY v) AS p FROM w WHERE depth >= 3), every AS (SELECT list(v ORDER BY v) AS p FROM w)
+SELECT record_id, CASE WHEN {_U} < {int(0.9 * 0x7FFFFFFFFFFFFFFF)} AND len(deep.p) > 0 THEN deep.p[{_PICK} // 8 % len(deep.p) + 1] ELSE every.p[{_PICK} // 8 % len(every.p) + 1] END AS target FROM dataset, deep, every""")
 def biased_choice(spark, d):
-    """Per record nine times in ten a target that other formulas feed, else any; by hash."""
-    from hyperloom.dist import uniform_hash
+    """A target for each record: nine times in ten one of the deep quantities, else any; by hash."""
+    from hyperloom.operators import graph
+    from hyperloom.plans.graph_queries import MOST_DEPTH
 
-    return read_table(spark, d, "dataset").select("record_id", F.when(uniform_hash("record_id", seed=9) < F.lit(int(0.9 * 0x7FFFFFFFFFFFFFFF)), "deep").otherwise("any").alias("pool"))
+    depth = graph.depth(read_table(spark, d, "hyperedges"), MOST_DEPTH)
+    u, pick = text_hash("record_id", seed=9), F.shiftright(text_hash("record_id", seed=10), 3)
+    return ordered.biased_choice(read_table(spark, d, "dataset").select("record_id"), depth, u < F.lit(int(0.9 * 0x7FFFFFFFFFFFFFFF)), pick, 3).select("record_id", "target")
 
 
 @query("dedup_traces", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from hyperloom.dist import read_table
+from hyperloom.dist import read_table, text_hash, text_hash_sql
 from hyperloom.functions import rewards
 from hyperloom.operators import records
 from hyperloom.plans.registry import query
@@ -64,12 +64,17 @@ def quality_filter(spark, d):
 
 
 @query("classify_failure", """
-SELECT CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN coalesce(len(parsed_difficulties), 0) = 0 AND question IS NULL THEN 'unparsed'
-            WHEN question IS NULL THEN 'other difficulty' WHEN coalesce(drop_reason, '') <> '' THEN 'filtered' ELSE 'left' END AS kind, failure_kind, count(*) AS n FROM dataset_failed GROUP BY ALL""")
+WITH f AS (SELECT *, claude_faithfulness.variable_coverage AS cov, claude_faithfulness.target_present AS tgt FROM dataset_failed)
+SELECT CASE WHEN coalesce(error, '') <> '' THEN 'gen_exception'
+            WHEN len(parsed_difficulties) > 0 AND NOT coalesce(list_contains(parsed_difficulties, requested_difficulty), false) THEN 'wrong_difficulty'
+            WHEN trim(coalesce(question, '')) = '' THEN 'parse_error'
+            WHEN contains(coalesce(drop_reason, ''), 'attempts') THEN 'gave_up'
+            WHEN NOT (coalesce(claude_feasibility >= 7, false) AND coalesce(cov >= 1.0, false) AND coalesce(tgt, false)) THEN 'quality_filter' ELSE 'kept' END AS kind, failure_kind, count(*) AS n
+FROM f GROUP BY ALL""")
 def classify_failure(spark, d):
-    kind = (F.when(F.coalesce("error", F.lit("")) != "", "error").when((F.coalesce(F.size("parsed_difficulties"), F.lit(0)) <= 0) & F.col("question").isNull(), "unparsed")
-            .when(F.col("question").isNull(), "other difficulty").when(F.coalesce("drop_reason", F.lit("")) != "", "filtered").otherwise("left"))
-    return read_table(spark, d, "dataset_failed").groupBy(kind.alias("kind"), "failure_kind").agg(F.count(F.lit(1)).alias("n"))
+    """The kind of each failure by what its row holds, beside the kind that was logged."""
+    rows = read_table(spark, d, "dataset_failed")
+    return rows.groupBy(records.failure_kind(7, 1.0).alias("kind"), "failure_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("single_domain_filter", "SELECT record_id FROM dataset WHERE len(trace.chapters) = 1 AND coalesce(len(trace.subdomains), 0) <= 1")
@@ -155,10 +160,15 @@ def compare_positional(spark, d):
 
 
 @query("unit_first_match", """
-SELECT h.variable, coalesce(nullif((SELECT e.output_unit FROM hyperedges e WHERE e.output = h.variable ORDER BY e.id LIMIT 1), ''), '(unit not specified)') AS unit FROM hypernyms h""")
+WITH own AS (SELECT output, arg_min(output_unit, id) AS unit FROM hyperedges GROUP BY output),
+used AS (SELECT id, unnest(inputs) AS variable FROM hyperedges),
+first AS (SELECT variable, arg_min(unit, id) AS unit FROM used JOIN own ON own.output = variable WHERE unit IS NOT NULL GROUP BY variable)
+SELECT h.variable, coalesce(nullif(first.unit, ''), '(unit not specified)') AS unit FROM hypernyms h LEFT JOIN first ON first.variable = h.variable""")
 def unit_first_match(spark, d):
-    first = read_table(spark, d, "hyperedges").groupBy(F.col("output").alias("variable")).agg(F.min_by("output_unit", "id").alias("u"))
-    return read_table(spark, d, "hypernyms").join(F.broadcast(first), "variable", "left").select("variable", records.first_of(F.col("u"), F.lit("(unit not specified)")).alias("unit"))
+    """The unit of each quantity as an input: that of the first formula, by id, whose input units name it."""
+    edges = records.with_input_units(read_table(spark, d, "hyperedges"))
+    first = records.first_input_unit(edges)
+    return read_table(spark, d, "hypernyms").join(first, "variable", "left").select("variable", records.first_of(F.col("unit"), F.lit("(unit not specified)")).alias("unit"))
 
 
 @query("given_values_left", """
@@ -170,11 +180,16 @@ def given_values_left(spark, d):
 
 
 @query("score_by_index", """
-SELECT r.record_id, coalesce(s.n, 0) AS near, coalesce(s.m, -1) AS score FROM dataset r
-LEFT JOIN (SELECT target, requested_difficulty, count(*) AS n, max(claude_feasibility) AS m FROM eval_sft GROUP BY 1, 2) s ON s.target = r.target AND s.requested_difficulty = r.requested_difficulty""")
+WITH item AS (SELECT eval_id AS i, trace IS NOT NULL AND coalesce(question, '') <> '' AS asked FROM eval_sft),
+judged AS (SELECT eval_id AS i, greatest(0.0, least(10.0, claude_feasibility)) AS s FROM eval_sft WHERE claude_feasibility >= 0)
+SELECT item.i AS eval_id, CAST(CASE WHEN NOT asked THEN 0.0 ELSE coalesce(s, 5.0) END AS DOUBLE) AS score,
+       CAST(CASE WHEN NOT asked THEN -1.0 ELSE coalesce(s, 5.0) / 10 * 2 - 1 END AS DOUBLE) AS reward FROM item LEFT JOIN judged USING (i)""")
 def score_by_index(spark, d):
-    s = read_table(spark, d, "eval_sft").groupBy("target", "requested_difficulty").agg(F.count(F.lit(1)).alias("n"), F.max("claude_feasibility").alias("m"))
-    return _data(spark, d).join(s, ["target", "requested_difficulty"], "left").select("record_id", F.coalesce("n", F.lit(0)).alias("near"), F.coalesce("m", F.lit(-1)).alias("score"))
+    """Judges' scores written back by item: items without a prompt keep 0 and -1, unreadable scores count as 5."""
+    rows = read_table(spark, d, "eval_sft")
+    items = rows.select("eval_id", (F.col("trace").isNotNull() & (F.coalesce("question", F.lit("")) != "")).alias("asked"))
+    judged = rows.where("claude_feasibility >= 0").select("eval_id", F.col("claude_feasibility").alias("score"))
+    return records.scores_by_index(items, judged, "eval_id")
 
 
 @query("difficulty_cross", "SELECT DISTINCT e.output AS target, r.d AS difficulty FROM hyperedges e CROSS JOIN (SELECT unnest(range(1, 11)) AS d) r")
@@ -281,14 +296,38 @@ def combined_raw(spark, d):
     return _data(spark, d).select("record_id", rewards.combined([_faith(), _feas()], [F.lit(0.7), F.lit(0.5)]).alias("reward"))
 
 
-@query("adaptive_weights", """
-WITH m AS (SELECT kind, avg(v) AS ema FROM (SELECT unnest(['faithfulness', 'feasibility', 'difficulty']) AS kind, unnest([1.0 + step % 3, 1.0 + step % 5, 1.0 + step % 7]) AS v FROM rl_steps WHERE step IS NOT NULL) GROUP BY kind)
-SELECT kind, (1 / (ema + 0.001)) / sum(1 / (ema + 0.001)) OVER () AS weight FROM m""")
+_ACTIVE = "CASE WHEN reward_kind = 'alternating' THEN CASE WHEN CAST(floor((greatest(1, step) - 1) / CAST(greatest(1, coalesce(reward_switch_steps, 1)) AS DOUBLE)) AS BIGINT) % 2 = 0 THEN 'faithfulness' ELSE 'feasibility' END ELSE reward_kind END"
+#: Components of the adaptive reward: one mean a step for each signal that is logged, null where a step has none.
+COMPONENTS_SQL = f"""(SELECT 'log' AS run, step, avg(mean_reward_raw) FILTER (a = 'faithfulness') AS f, avg(mean_reward_raw) FILTER (a = 'feasibility') AS e, avg(mean_reward_raw) FILTER (a = 'combined') AS d
+  FROM (SELECT DISTINCT run_id, step, mean_reward_raw, {_ACTIVE} AS a FROM rl_steps WHERE step IS NOT NULL) GROUP BY step)"""
+ADAPTIVE_SQL = f"""s AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM {COMPONENTS_SQL}),
+r AS (SELECT step, f, e, d, k, CAST(1.0 AS DOUBLE) AS ef, CAST(1.0 AS DOUBLE) AS ee, CAST(1.0 AS DOUBLE) AS ed FROM s WHERE k = 1
+  UNION ALL SELECT s.step, s.f, s.e, s.d, s.k, coalesce(0.9 * r.ef + 0.1 * r.f, r.ef), coalesce(0.9 * r.ee + 0.1 * r.e, r.ee), coalesce(0.9 * r.ed + 0.1 * r.d, r.ed) FROM r JOIN s ON s.k = r.k + 1),
+w AS (SELECT *, 1 / (ef + 0.001) AS wf, 1 / (ee + 0.001) AS we, 1 / (ed + 0.001) AS wd FROM r)"""
+
+
+def components(spark, d):
+    """(run, step, f, e, d): the mean raw reward of each logged signal at each step."""
+    rows = read_table(spark, d, "rl_steps").where("step is not null")
+    rows = rows.select("run_id", "step", "mean_reward_raw", rewards.active_reward(F.col("reward_kind"), F.col("step"), F.col("reward_switch_steps")).alias("a")).distinct()
+    own = lambda kind, name: F.avg(F.when(F.col("a") == kind, F.col("mean_reward_raw"))).alias(name)
+    return rows.groupBy("step").agg(own("faithfulness", "f"), own("feasibility", "e"), own("combined", "d")).select(F.lit("log").alias("run"), "step", "f", "e", "d")
+
+
+def adaptive(spark, d):
+    """The components with their running means and weights before each step."""
+    from hyperloom.operators.ordered import ema
+
+    rows = components(spark, d)
+    means = ema(rows, "run", "step", ["f", "e", "d"])
+    weights = rewards.inverse_weights([F.col(f"ema_{c}") for c in "fed"])
+    return rows.join(means, ["run", "step"]).withColumns({f"w{c}": w for c, w in zip("fed", weights)})
+
+
+@query("adaptive_weights", f"WITH RECURSIVE {ADAPTIVE_SQL} SELECT step, wf / (wf + we + wd) AS faithfulness, we / (wf + we + wd) AS feasibility, wd / (wf + we + wd) AS difficulty FROM w")
 def adaptive_weights(spark, d):
-    kinds = ["faithfulness", "feasibility", "difficulty"]
-    means = read_table(spark, d, "rl_steps").where("step is not null").agg(*(F.avg(1.0 + F.col("step") % k).alias(n) for n, k in zip(kinds, (3, 5, 7))))
-    weights = rewards.inverse_weights([F.col(k) for k in kinds])
-    return means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), w.alias("weight")) for k, w in zip(kinds, weights)))).alias("x")).select("x.*")
+    """Weights in inverse proportion to the running means of the three signals, before each step."""
+    return adaptive(spark, d).select("step", F.col("wf").alias("faithfulness"), F.col("we").alias("feasibility"), F.col("wd").alias("difficulty"))
 
 
 @query("triple_raw", _sql(f"({_R['faith']} * 1 + {_R['feas']} * 2 + {_R['diff']} * 3) / 6", "reward"))
@@ -296,10 +335,16 @@ def triple_raw(spark, d):
     return _data(spark, d).select("record_id", rewards.combined([_faith(), _feas(), _diff()], [F.lit(1.0), F.lit(2.0), F.lit(3.0)]).alias("reward"))
 
 
-@query("reward_switch", _sql(f"CASE record_id % 3 WHEN 0 THEN {_R['faith']} WHEN 1 THEN {_R['feas']} ELSE {_R['diff']} END", "reward"))
+@query("reward_switch", f"""
+WITH s AS (SELECT DISTINCT run_id, step, {_ACTIVE} AS active FROM rl_steps WHERE step IS NOT NULL AND reward_kind IS NOT NULL),
+v AS (SELECT record_id, {_R['faith']} AS a, {_R['feas']} AS b {_FROM})
+SELECT run_id, step, active, CAST(CASE active WHEN 'faithfulness' THEN a WHEN 'feasibility' THEN b ELSE (a * 0.5 + b * 0.5) / 1.0 END AS DOUBLE) AS reward FROM s JOIN v ON v.record_id = s.step""")
 def reward_switch(spark, d):
-    mode = F.col("record_id") % 3
-    return _data(spark, d).select("record_id", F.when(mode == 0, _faith()).when(mode == 1, _feas()).otherwise(_diff()).alias("reward"))
+    """The raw reward of the rollout of each step (the record of that number) under the signal active at it."""
+    rows = read_table(spark, d, "rl_steps").where("step is not null and reward_kind is not null")
+    steps = rows.select("run_id", "step", rewards.active_reward(F.col("reward_kind"), F.col("step"), F.col("reward_switch_steps")).alias("active")).distinct()
+    own = _data(spark, d).select(F.col("record_id").alias("step"), _faith().alias("a"), _feas().alias("b"))
+    return steps.join(own, "step").select("run_id", "step", "active", rewards.switched(F.col("active"), F.col("a"), F.col("b"), 0.5, 0.5).alias("reward"))
 
 
 @query("empty_rollout_default", "SELECT run_id, step, coalesce(mean_reward_raw, 0.0) AS raw, coalesce(mean_reward_scaled, -1.0) AS scaled, count(*) AS n FROM rl_steps GROUP BY ALL")
@@ -334,26 +379,26 @@ def gen_token_budget(spark, d):
     return rows.groupBy("failure_kind", "attempt", F.least(2048 + 700 * F.col("chain_of_thought").isNotNull().cast("int") + 600 * F.col("attempt"), F.lit(16384)).alias("budget")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("uniform_value")
+@query("uniform_value", f"SELECT variable, (100 + {text_hash_sql('variable', seed=42)} // 8 % 9901) / 100.0 AS value FROM hypernyms")
 def uniform_value(spark, d):
-    """A value of 1..100 for every variable, rounded to cents, from a hash of its name (the same on every run)."""
-    from hyperloom.dist import uniform_hash
-
-    u = uniform_hash("variable", seed=42) / F.lit(float(0x7FFFFFFFFFFFFFFF))
-    return read_table(spark, d, "hypernyms").select("variable", F.round(1.0 + 99.0 * u, 2).alias("value"))
+    """A value of 1..100 for every variable, in cents, from a hash of its name (the same on every run)."""
+    cents = 100 + F.shiftright(text_hash("variable", seed=42), 3) % 9901
+    return read_table(spark, d, "hypernyms").select("variable", (cents / F.lit(100.0)).alias("value"))
 
 
 #: Longest example that is trained on, as in the reference.
 MAX_LEN = 2048
 
 
-@query("encode_mask", """
-WITH t AS (SELECT record_id, list_transform(range(1, least(length(trace_str), 20) + 1), lambda i: unicode(trace_str[i])) AS p, list_transform(range(1, least(length(question), 30) + 1), lambda i: unicode(question[i])) AS q FROM dataset WHERE trace_str IS NOT NULL AND question IS NOT NULL)
-SELECT record_id, len(list_slice(list_concat(p, q), 1, 40)) AS n, list_sum(list_filter(list_slice(list_concat(list_transform(p, lambda x: -100), q), 1, 40), lambda x: x >= 0)) AS kept FROM t""")
+@query("encode_mask")
 def encode_mask(spark, d):
-    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    rows = _data(spark, d).where("trace_str is not null and question is not null").select("record_id", rewards.loss_mask(codes("trace_str"), codes("question"), MAX_LEN).alias("m"))
-    return rows.select("record_id", F.size("m.input_ids").cast("long").alias("n"), F.aggregate(F.filter("m.labels", lambda x: x >= 0), F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"))
+    """Token ids and labels of every example; ids by a public tokenizer have no counterpart in SQL."""
+    from hyperloom.functions.tokens import encoded
+
+    rows = encoded(_data(spark, d).where("trace_str is not null and question is not null").select("record_id", "trace_str", "question"), "record_id", ["trace_str", "question"])
+    rows = rows.select("record_id", rewards.loss_mask(F.col("trace_str"), F.col("question"), MAX_LEN).alias("m"))
+    own = F.filter("m.labels", lambda x: x >= 0)
+    return rows.select("record_id", F.size("m.input_ids").cast("long").alias("n"), F.size(own).cast("long").alias("trained"), F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"))
 
 
 @query("collate_pad", """
@@ -392,3 +437,11 @@ SELECT requested_difficulty, avg(0.75 * (greatest(0.0, least(10.0, coalesce(clau
 def mean_reward_weighted(spark, d):
     both = rewards.combined([rewards.judge_reward(F.col("claude_feasibility")), F.coalesce("claude_faithfulness.variable_coverage", F.lit(0.0))], [F.lit(3.0), F.lit(1.0)])
     return _data(spark, d).groupBy("requested_difficulty").agg(F.avg(both).alias("reward"))
+
+
+@query("memory_budget", """
+SELECT g AS gib, c AS copies, greatest(1, CAST(floor(g * 0.85 / c) AS BIGINT)) AS budget FROM (SELECT unnest([1, 8, 24, 80]) AS g) CROSS JOIN (SELECT unnest([1, 2]) AS c)""")
+def memory_budget(spark, d):
+    """GiB that each copy of a model may use on devices of several sizes."""
+    devices = spark.createDataFrame([(g, c) for g in (1, 8, 24, 80) for c in (1, 2)], "gib int, copies int")
+    return devices.select("gib", "copies", rewards.memory_budget(F.col("gib").cast("long") * (1 << 30), 0.85, F.col("copies")).alias("budget"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Query -> its computed doubles.
 COLUMNS = {
     "judge_faithfulness_algebra": "coverage", "build_failed_row": "coverage", "valid_score_filter": "score", "faith_raw": "reward", "feas_raw": "reward",
-    "diff_align_raw": "reward", "scaled_reward": "reward", "combined_raw": "reward", "adaptive_weights": "weight", "triple_raw": "reward",
+    "diff_align_raw": "reward", "scaled_reward": "reward", "combined_raw": "reward", "adaptive_weights": "faithfulness feasibility difficulty", "triple_raw": "reward",
     "reward_switch": "reward", "empty_rollout_default": "raw scaled", "judge_reward": "reward", "faith_reward_1_10": "reward", "length_reward": "reward",
     "logprob_sum": "tail", "pg_loss": "loss", "mean_reward_weighted": "reward",
     "metrics_summary": "mean_coverage target_rate faithful_rate mean_feasibility median_feasibility mae mean_distractors mean_words pearson",
@@ -20,8 +20,9 @@ COLUMNS = {
     "distractor_stats": "mean median", "difficulty_alignment": "mae pearson", "mean_sem_by_group": "mean sem", "feasibility_summary": "mean median low high",
     "question_length": "mean sem", "score_stats_by_length": "mean", "score_stats_overall": "mean", "boxplot_by_length": "lo q1 q2 q3 hi",
     "episode_summary": "mean least most", "trace_length_stats": "mean median std", "rl_step_stats": "mean_raw mean_scaled std", "rl_flatten": "raw",
-    "rl_combined_frame": "scaled", "rl_adaptive_frame": "mean spread", "monotonicity": "share", "rolling_same": "v rolling", "rolling_valid": "v rolling",
-    "group_advantage": "advantage", "ema_adaptive": "ema_v", "stream_rl_log": "mean",
+    "rl_combined_frame": "combined_mean scaled loss", "rl_adaptive_frame": "faithfulness_mean feasibility_mean difficulty_mean weight_faithfulness weight_feasibility weight_difficulty ema_faithfulness ema_feasibility ema_difficulty combined_mean scaled",
+    "safe_eval": "value", "try_formulas": "value", "uniform_value": "value", "score_by_index": "score reward", "monotonicity": "share", "rolling_same": "v rolling", "rolling_valid": "v rolling",
+    "group_advantage": "advantage", "ema_adaptive": "ema_v", "stream_rl_log": "mean", "stream_windowed": "mean",
 }
 
 

@@ -40,16 +40,24 @@ def strip_code_fence(spark, d):
     return read_table(spark, d, "eval_sft").where(F.col("question").contains("```")).select("eval_id", text.strip_code_fence(F.col("question")).alias("body"))
 
 
-@query("clean_decoded_text")
+_WS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+@query("clean_decoded_text", rf"""
+WITH a AS (SELECT failure_kind, attempt, failed_at, split_part(raw_generation, '<|eot_id|>', 1) AS x FROM dataset_failed WHERE raw_generation IS NOT NULL),
+b AS (SELECT * REPLACE (split_part(split_part(x, '<|end_header_id|>', -1), '<|begin_of_text|>', -1) AS x) FROM a),
+c AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '{_WS}', '', 'g'), '\\\(|\\\)', '', 'g'), '\\text\{{([^}}]+)\}}', '\1', 'g'), '\\[a-zA-Z]+\{{([^}}]+)\}}', '\1', 'g'), '\\[a-zA-Z]+', '', 'g') AS x) FROM b),
+e AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[{{}}]', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '#+[\s\p{{Z}}]*', '', 'g') AS x) FROM c)
+SELECT failure_kind, attempt, failed_at, regexp_replace(regexp_replace(regexp_replace(x, '\\+([a-zA-Z0-9/])', '\\\1', 'g'), '\\+([^a-zA-Z0-9/\\]|$)', '\1', 'g'), '{_WS}', '', 'g') AS cleaned FROM e""")
 def clean_decoded_text(spark, d):
-    """Generations as decoded text; the pattern with a lookahead has no counterpart in SQL."""
+    """Generations as decoded text."""
     return read_table(spark, d, "dataset_failed").where("raw_generation is not null").select("failure_kind", "attempt", "failed_at", text.clean_generation(F.col("raw_generation")).alias("cleaned"))
 
 
-@query("extract_question", """
+@query("extract_question", r"""
 WITH q AS (SELECT doc_id, text, instr(text, '?') AS p FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, text, p, substr(text, 1, p + 49) AS head FROM q)
-SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(head, 1, length(head) - instr(reverse(head), '?') + 1) END AS question FROM h""")
+h AS (SELECT doc_id, text, p, regexp_replace(substr(text, 1, p + 49), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS head FROM q)
+SELECT doc_id, CASE WHEN p = 0 THEN text ELSE regexp_replace(substr(head, 1, length(head) - instr(reverse(head), '?') + 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS question FROM h""")
 def extract_question(spark, d):
     docs = read_table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", text.first_question(F.col("text")).alias("question"))
@@ -80,10 +88,10 @@ def format_trace(spark, d):
 
 @query("calc_steps_text", """
 SELECT record_id, array_to_string(list_transform(range(1, len(trace.path) + 1),
-  lambda i: 'Step ' || i || ': Calculate ' || trace.path[i].output || ' using ' || trace.path[i].label || ' with inputs: ' || array_to_string(trace.path[i].inputs, ', ')), chr(10)) AS steps
+  lambda i: i || ') ' || trace.path[i].output || ' from ' || array_to_string(trace.path[i].inputs, ', ') || ' by ' || trace.path[i].label), chr(10)) AS steps
 FROM dataset WHERE len(trace.path) > 0""")
 def calc_steps_text(spark, d):
-    line = lambda e, i: F.format_string("Step %d: Calculate %s using %s with inputs: %s", i + 1, e["output"], e["label"], F.array_join(e["inputs"], ", "))
+    line = lambda e, i: F.format_string("%d) %s from %s by %s", i + 1, e["output"], F.array_join(e["inputs"], ", "), e["label"])
     return read_table(spark, d, "dataset").where(F.size("trace.path") > 0).select("record_id", F.array_join(F.transform("trace.path", line), "\n").alias("steps"))
 
 

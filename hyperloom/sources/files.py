@@ -6,6 +6,8 @@ of being lost. Writers go through Spark's committer: a folder is complete or abs
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +81,30 @@ def latest_run(spark: SparkSession, folder: str, prefix: str = "run_") -> str |
 
 
 def write_atomic(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """Replaces a folder; readers see the old or the new rows."""
-    rows.write.mode("overwrite").format(kind).save(path)
+    """Replaces a folder by renames; a job that fails leaves the old rows, and readers see the old or the new ones.
+
+    The rows go to a folder beside it first. Between the two renames the path is absent for a moment, as a folder cannot
+    be renamed over another; the old rows then stand under ``<path>.old`` and are put back if the second rename fails.
+    """
+    spark = rows.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
+    fs, at = _fs(spark, path)
+    place = lambda p: _fs(spark, p)[1]
+    try:
+        rows.write.format(kind).save(fresh)
+    except Exception:
+        fs.delete(place(fresh), True)
+        raise
+    there = fs.exists(at)
+    if there:
+        fs.delete(place(old), True)
+        if not fs.rename(at, place(old)):
+            raise OSError(f"cannot move {path}")
+    if not fs.rename(place(fresh), at):
+        if there:
+            fs.rename(place(old), at)
+        raise OSError(f"cannot move the new rows to {path}")
+    fs.delete(place(old), True)
 
 
 def append(rows: DataFrame, path: str, kind: str = "json", key: list[str] | None = None) -> None:

@@ -28,9 +28,14 @@ def stream_log(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def step_stats(stream: DataFrame) -> DataFrame:
-    """(run_id, step, lines, mean) of each step; repeated lines count once."""
-    once = stream.where("run_id is not null and step is not null").select("run_id", "step", "mean_reward_raw").dropDuplicates()
+def step_stats(stream: DataFrame, late: str = "30 days") -> DataFrame:
+    """(run_id, step, lines, mean) of each step; lines repeated within ``late`` of logging count once.
+
+    Lines without a time of logging are kept; what is later than ``late`` behind the newest line of an earlier micro-batch
+    is dropped, so the memory for repetitions is bounded.
+    """
+    timed = stream.where("run_id is not null and step is not null").select("run_id", "step", "mean_reward_raw", F.coalesce(F.col("logged_at").cast("timestamp"), F.current_timestamp()).alias("at"))
+    once = timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "step", "mean_reward_raw"])
     return once.groupBy("run_id", "step").agg(F.count(F.lit(1)).alias("lines"), F.avg("mean_reward_raw").alias("mean"))
 
 

@@ -96,3 +96,60 @@ def test_framed_windows_equal_plain_ones(spark):
         tail = ordered.rolling_valid(df, ["g"], "o", "v", 4, size)
         want = df.withColumn("m", F.avg("v").over(w.rowsBetween(-3, 0))).withColumn("n", F.count("v").over(w.rowsBetween(-3, 0))).where("n = 4")
         assert sorted(map(tuple, tail.select("o", "rolling").collect())) == sorted(map(tuple, want.select("o", "m").collect()))
+
+
+def test_places_by_quantiles(spark):
+    """One outlying id must not put all rows into one bucket."""
+    df = spark.range(20_000).select((F.col("id") * 3).alias("i")).union(spark.createDataFrame([(10**15,), (-(10**15),)], "i long"))
+    got = records.numbered(df, "i")
+    want = sorted(r["i"] for r in df.collect())
+    assert [r["i"] for r in got.orderBy("n").collect()] == want and [r["n"] for r in got.orderBy("n").select("n").collect()] == list(range(20_002))
+    assert records.numbered(df.limit(0), "i").count() == 0
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.write_atomic(spark.range(5), path)
+    bad = spark.range(5).select(F.raise_error(F.lit("broken")).alias("id"))
+    try:
+        files.write_atomic(bad, path)
+        raise AssertionError("the write must fail")
+    except Exception as e:
+        assert "broken" in str(e)
+    assert sorted(r["id"] for r in files.read_log(spark, path, "id long").collect()) == list(range(5))
+    files.write_atomic(spark.range(2), path)
+    assert files.read_log(spark, path, "id long").count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["out"]
+
+
+def test_text_hash_is_the_same_in_sql(spark):
+    import duckdb
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "")], "i long, t string").select("i", "t", dist.text_hash("i", "t", seed=4).alias("h")).collect()
+    c = duckdb.connect()
+    for r in rows:
+        assert c.execute(f"SELECT {dist.text_hash_sql('i', 't', seed=4)} FROM (SELECT ?::BIGINT AS i, ?::VARCHAR AS t)", [r["i"], r["t"]]).fetchone()[0] == r["h"] >= 0
+
+
+def test_failures_and_retries(spark):
+    cols = "target string, requested_difficulty int, attempt int, drop_reason string, error string, question string, parsed_difficulties array<int>, claude_feasibility int, claude_faithfulness struct<variable_coverage:double,target_present:boolean>"
+    rows = [("t", 1, 1, None, "boom", None, None, None, None), ("t", 1, 2, None, None, "q", [2], None, None), ("t", 2, 1, None, "", " ", None, None, None), ("u", 1, 3, "max attempts", None, "q", None, 9, (1.0, True)), ("u", 2, 2, "x", None, "q", [2], 3, None), ("v", 1, 1, None, None, "q", [1], 9, (1.0, True)), (None, None, None, None, None, None, None, None, None)]
+    failed = spark.createDataFrame(rows, cols)
+    assert [r["k"] for r in failed.select(records.failure_kind(7, 1.0).alias("k")).collect()] == ["gen_exception", "wrong_difficulty", "parse_error", "gave_up", "quality_filter", "kept", "parse_error"]
+    got = {(r["target"], r["requested_difficulty"]): (r["last"], r["passed"], r["remaining"], r["more_tokens"]) for r in records.retries(failed, spark.createDataFrame([("u", 2), ("w", 5), (None, 1)], "target string, requested_difficulty int"), 3, 600).collect()}
+    assert got == {("t", 1): (2, False, True, 1200), ("t", 2): (1, False, True, 600), ("u", 1): (3, False, False, None), ("u", 2): (2, True, False, None), ("v", 1): (1, False, True, 600), ("w", 5): (0, True, False, None)}
+
+
+def test_scores_come_back_by_item(spark):
+    items = spark.createDataFrame([(1, True), (2, False), (3, True)], "i int, asked boolean")
+    judged = spark.createDataFrame([(3, 11), (2, 7)], "i int, score int")
+    assert {r["i"]: (r["score"], r["reward"]) for r in records.scores_by_index(items, judged, "i").collect()} == {1: (5.0, 0.0), 2: (0.0, -1.0), 3: (10.0, 1.0)}
+
+
+def test_accepted_attempts_and_biased_choice(spark):
+    df = spark.range(100).select("id", (F.col("id") % 10 == 9).alias("ok"))
+    assert [r["id"] for r in ordered.first_accepted(df, ["id"], F.col("ok"), 4).collect()] == [9, 19]  # twenty tries only
+    depths = spark.createDataFrame([("a", 0), ("b", 3), ("c", 4)], "v string, depth int")
+    got = ordered.biased_choice(spark.range(6), depths, F.col("id") < 4, F.col("id"), 3)
+    assert [r["target"] for r in got.orderBy("id").collect()] == ["b", "c", "b", "c", "b", "c"]
+    assert {r["target"] for r in ordered.biased_choice(spark.range(6), depths, F.lit(True), F.col("id"), 9).collect()} == {"a", "b", "c"}

@@ -95,7 +95,33 @@ def test_fences(spark, text_, want):
 
 
 def test_examples_are_encoded_whole(spark, tmp_path):
-    texts = [(1, "ab" * 200, "xyz" * 150), (2, "p" * 2000, "é" * 100), (3, "p" * 3000, "q"), (4, "", "ä€" * 30)]
+    from hyperloom.functions import tokens
+
+    own = tokens.encoding(f"{tokens.FOLDER}/byte_bpe_50k.tiktoken")
+    texts = [(1, "ab " * 200, "xyz?" * 150), (2, "p q" * 2000, "é" * 100), (3, "p " * 3000, "q"), (4, "", "ä€ <|endoftext|>" * 30), (5, "x", None)]
     spark.createDataFrame(texts, "record_id long, trace_str string, question string").write.parquet(f"{tmp_path}/dataset.parquet")
-    want = {i: (min(len(p) + len(q), 2048), sum(map(ord, q[: max(0, 2048 - len(p))]))) for i, p, q in texts}
-    assert {r["record_id"]: (r["n"], r["kept"]) for r in record_queries.encode_mask(spark, str(tmp_path)).collect()} == want
+    want = {}
+    for i, p, q in texts[:4]:
+        prefix, rest = own.encode_ordinary(p), own.encode_ordinary(q)
+        trained = rest[: max(0, 2048 - len(prefix))]
+        want[i] = (min(len(prefix) + len(rest), 2048), len(trained), sum(trained))
+    assert {r["record_id"]: (r["n"], r["trained"], r["kept"]) for r in record_queries.encode_mask(spark, str(tmp_path)).collect()} == want
+    rows = tokens.encoded(spark.createDataFrame(texts, "i long, p string, q string"), "i", ["p", "q"]).collect()
+    assert {r["i"]: r["q"] for r in rows}[5] is None and {r["i"]: r["p"] for r in rows}[4] == []
+
+
+def test_generations_are_cleaned(spark):
+    said = "<|begin_of_text|>sys<|end_header_id|>\n\n## A \\(x\\) **bold** *it* `code` \\text{m/s} \\frac{a}{b} \\alpha {z} \\\\ end \\%<|eot_id|>tail"
+    want = "A x bold it code m/s a\u007fb  z  end %".replace("\u007f", "")
+    assert one(spark, text.clean_generation(F.col("t")), t=said) == want
+    assert one(spark, text.first_question(F.col("t")), t="  So? " + "y" * 60) == "So?"
+    assert one(spark, text.clean_generation(F.col("t")), t="") == "" and one(spark, text.clean_generation(F.col("t")), t=None) is None
+
+
+def test_active_rewards(spark):
+    value = lambda c: spark.range(1).select(c.alias("v")).collect()[0]["v"]
+    turn = lambda step: value(rewards.active_reward(F.lit("alternating"), F.lit(step), F.lit(20)))
+    assert [turn(s) for s in (0, 1, 20, 21, 40, 41)] == ["faithfulness"] * 3 + ["feasibility"] * 2 + ["faithfulness"]
+    assert value(rewards.active_reward(F.lit("combined"), F.lit(50), F.lit(None).cast("int"))) == "combined"
+    assert value(rewards.switched(F.lit("combined"), F.lit(2.0), F.lit(1.0), 0.5, 0.5)) == 1.5
+    assert value(rewards.memory_budget(F.lit(80 << 30), 0.85, F.lit(2))) == 34 and value(rewards.memory_budget(F.lit(1), 0.85, F.lit(0))) == 1

@@ -25,14 +25,14 @@ def check(t: tr.Trace, target: str):
 
 def test_enumeration_is_sound_and_different():
     for target in ("a", "b", "d", "e"):
-        found = tr.enumerate_traces(G, target, 4)
+        found = list(tr.enumerate_traces(G, target, 4))
         assert len({(tuple(f.id for f in t.order), t.leafs) for t in found}) == len(found)
         for t in found:
             check(t, target)
     # Ids sort as text, so f10 comes before f2.
-    assert [f.id for f in tr.enumerate_traces(G, "b", 3)[0].order][-1] == "f10"
-    assert len(tr.enumerate_traces(G, "a", 3, most=2)) == 2
-    assert tr.enumerate_traces(G, "nothing", 3) == []
+    assert [f.id for f in next(tr.enumerate_traces(G, "b", 3)).order][-1] == "f10"
+    assert len(list(tr.enumerate_traces(G, "a", 3, most=2))) == 2
+    assert list(tr.enumerate_traces(G, "nothing", 3)) == []
 
 
 def test_enumeration_against_all_choices():
@@ -101,7 +101,7 @@ def test_traces_are_enumerated_to_five_levels(spark, tmp_path):
     chain = [(f"f{i}", f"v{i}", [f"v{i + 1}"], "x", None) for i in range(7)]
     spark.createDataFrame(chain, "id string, output string, inputs array<string>, domain string, subdomain string").write.parquet(f"{tmp_path}/hyperedges.parquet")
     for q in (graph_queries.trace_enum, graph_queries.limit_traces):
-        got = {tuple(r["path"]) for r in q(spark, str(tmp_path)).where("target = 'v0'").collect()}
+        got = {tuple(e["id"] for e in r["path"]) for r in q(spark, str(tmp_path)).where("target = 'v0'").collect()}
         assert got == {tuple(f"f{i}" for i in reversed(range(n))) for n in range(1, 6)}
 
 
@@ -126,10 +126,57 @@ def test_undefined_formulas_are_passed_over(spark, tmp_path):
     assert [tuple(r)[:2] for r in graph_queries.try_formulas(spark, str(tmp_path)).collect()] == [("t", "f4")]
 
 
-def test_working_formula_calls_the_operator(spark, tmp_path, monkeypatch):
-    e = [("f1", "t", ["a_rate"], "a_rate"), ("f2", "t", ["a", "b"], "a + b"), ("f3", "u", ["b_rate"], "b_rate")]
-    spark.createDataFrame(e, "id string, output string, inputs array<string>, label string").write.parquet(f"{tmp_path}/hyperedges.parquet")
-    calls = []
-    working = tw.working
-    monkeypatch.setattr(tw, "working", lambda *a: calls.append(a) or working(*a))
-    assert [tuple(r) for r in graph_queries.find_working_formula(spark, str(tmp_path)).collect()] == [("t", "f2")] and len(calls) == 2
+def test_working_formula(spark):
+    e = spark.createDataFrame([("f1", "t", ["a_rate"]), ("f2", "t", ["a", "b"]), ("f3", "u", ["gone"]), ("f4", "t", ["a"]), ("f5", "w", []), ("f6", None, ["a"]), ("f7", "u", None)], "id string, output string, inputs array<string>")
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "variable string")
+    of = lambda have, shun: {r["output"]: r["id"] for r in relational.working_formula(e, have, shun).collect()}
+    assert of(names("a", "b", "a_rate"), names("a_rate")) == {"t": "f2", "w": "f5", "u": "f7"}
+    assert of(names("a"), names("b")) == {"t": "f4", "w": "f5", "u": "f7"}
+    for have, shun in (({"a", "b", "a_rate"}, {"a_rate"}), ({"a"}, {"b"})):  # the same as walking through the formulas
+        assert tw.working([("f1", ("a_rate",)), ("f2", ("a", "b")), ("f4", ("a",))], have, shun)[0] == of(names(*have), names(*shun))["t"]
+
+
+def test_columns_put_formulas_in_order(spark):
+    """The order inside the JVM is that of the walk, with rings, several formulas of an output and formulas of themselves."""
+    rng, paths = random.Random(4), []
+    for _ in range(150):
+        n = rng.randrange(0, 7)
+        paths.append([(f"f{k}", rng.choice("abcdef"), [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 3))], rng.choice(["x", "y", None])) for k in range(n)])
+    paths.append([("f1", "a", ["a"], "x")])
+    rows = spark.createDataFrame([(i, p, ["g"], "a") for i, p in enumerate(paths)], "i int, path array<struct<id:string,output:string,inputs:array<string>,domain:string>>, leafs array<string>, target string")
+    run = rows.withColumn("run", relational.execution_order(F.col("path")))
+    out = run.select("i", F.transform("run", lambda e: e["id"]).alias("ids"), relational.completed(F.col("run"), F.col("leafs"), F.col("target"), [("x", "y")]).alias("c")).collect()
+    met = 0
+    for r in out:
+        own = tuple(tr.Formula(i, o, tuple(ins), d, d) for i, o, ins, d in paths[r["i"]])
+        want = tr.execution_order(own)
+        assert r["ids"] == (None if want is None else [f.id for f in want])
+        done = tr.complete(tr.Chain(own, frozenset({"g"}), frozenset(), 0), "a", lambda p, c: (p, c) == ("x", "y")) if own else None
+        if own:
+            assert (r["c"] is None) == (done is None)
+            if done is not None:
+                met += 1
+                assert [e["id"] for e in r["c"]["path"]] == [f.id for f in done.order] and set(r["c"]["leafs"]) == done.leafs
+    assert met > 20
+
+
+def test_domains_are_held():
+    g = tr.Graph([("f1", "t", ["p"], "x", "x:1", "p"), ("f2", "t", ["q"], "y", None, "q"), ("f3", "p", ["r"], "y", None, "r"), ("f4", "q", ["r"], "y", "y:2", "r")])
+    for seed in range(10):
+        assert [f.id for f in tr.sample(g, "t", 5, seed, True, "x").order] == ["f1"]
+        assert tr.sample(g, "t", 5, seed, True, "z") is None
+    assert {tuple(f.id for f in t.order) for t in tr.enumerate_traces(g, "t", 5, True, domain="y", subdomain="y")} == {("f2",)}
+    assert {tuple(f.id for f in t.order) for t in tr.enumerate_traces(g, "t", 5, True, domain="y")} == {("f2",), ("f4", "f2")}
+    assert g.hypernyms == {"t": "x", "p": "x", "q": "y", "r": "y"}
+
+
+def test_drawn_traces(spark):
+    """Only what an edge meets is a node; the last trace decides a merged node's kind."""
+    step = "struct<id:string,output:string,inputs:array<string>>"
+    t = [(1, ("t", ["l", "away"], [("f1", "m", ["l"]), ("f2", "t", ["m", "n"])])), (2, ("m", ["t"], [("f9", "m", ["t", None])])), (3, None), (4, ("t", None, None))]
+    rows = spark.createDataFrame(t, f"k long, trace struct<target:string,leafs:array<string>,path:array<{step}>>")
+    nodes, edges = relational.trace_graph(rows, "k")
+    assert {tuple(r) for r in nodes.collect()} == {(1, "t", "target"), (1, "l", "leaf"), (1, "m", "derived"), (1, "n", "leaf"), (1, "f1@1", "formula"), (1, "f2@2", "formula"), (2, "m", "target"), (2, "t", "leaf"), (2, "f9@1", "formula")}
+    all_nodes, lines = relational.merged(nodes, edges, "k")
+    assert {tuple(r) for r in all_nodes.collect()} == {("t", "leaf"), ("m", "target"), ("l", "leaf"), ("n", "leaf"), ("T1:f1@1", "formula"), ("T1:f2@2", "formula"), ("T2:f9@1", "formula")}
+    assert ("t", "T2:f9@1", "input") in {tuple(r) for r in lines.collect()} and lines.count() == 7

@@ -5,7 +5,7 @@ import pytest
 from hyperloom.plans import catalog
 from tests.oracle import connect, rows_of, rows_of_sql
 
-QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+QUERIES, SQL = catalog.compared_queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
