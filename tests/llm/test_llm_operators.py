@@ -357,7 +357,7 @@ def test_whole_items_stay_whole(spark, sf):
 # --- 8: stuffed pages -----------------------------------------------------------------------------------------------
 
 
-def test_stuffed_pages(spark):
+def page_rows():
     goods, ways = ["pump", "valve", "hose", "gasket", "winch", "seal"], ["cheap", "sale", "price", "buy", "offer", "online"]
     rng, rows = random.Random(2), []
     for i in range(40):
@@ -372,11 +372,46 @@ def test_stuffed_pages(spark):
         (509, "½ ¾ ² ³", False), (510, ENGLISH[2] * 4000, False), (511, "pump cheap, " * 30_000, True),
     ]
     rows += [(i, t, "https://h1.example/q", None) for i, t, _ in cases] + [(600, None, None, None), (601, "", None, None), (602, " \n ", None, None), (511, "pump cheap, " * 30, None, None)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, url string, source string, words string")
+    return [(*r, "clash") for r in rows], {i for i, _, s in cases if s}
+
+
+PAGES = "doc_id long, text string, url string, source string, words string"
+
+
+def test_stuffed_pages(spark):
+    rows, stuffed = page_rows()
+    df = spark.createDataFrame(rows, PAGES)
     got = stuffed_pages.list_words(df)
     flagged = {r["doc_id"] for r in got.where("listed >= 0.75 * words").collect()}
-    assert flagged == {i for i in range(40)} | {i for i, _, s in cases if s}
+    assert flagged == {i for i in range(40)} | stuffed
     assert got.where("doc_id >= 600").count() == 0
     assert stuffed_pages.list_words(df.limit(0)).count() == 0
     words = {r["doc_id"]: r["words"] for r in got.where("doc_id in (500, 510)").collect()}
     assert words == {500: 3, 510: len((ENGLISH[2] * 4000).split())}
+    # Evidence that is too large to broadcast is joined, with the same rows.
+    assert sorted(map(tuple, stuffed_pages.list_words(df, limit=0).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_lists_need_replicated_phrases(spark):
+    """On one host only, the same lists are no evidence; links and tags are."""
+    rows, _ = page_rows()
+    df = spark.createDataFrame(rows, PAGES).withColumn("url", F.lit("https://one.example/a"))
+    flagged = {r["doc_id"] for r in stuffed_pages.list_words(df).where("listed >= 0.75 * words").collect()}
+    assert flagged == {500, 501, 504}
+
+
+def test_phrases_are_counted_on_all_hosts(spark):
+    rows = [("a b, a b, a b, c d, c d, a b", f"http://h{i % 5}.example/x", None) for i in range(20)] + [("The crew has noted that a b stood still for long.", None, "s")] * 3 + [(None, None, None)]
+    odds = {r["phrase"]: r["odds"] for r in stuffed_pages.phrase_evidence(spark.createDataFrame(rows[:-1], "text string, url string, source string")).df.collect()}
+    shingles = lambda t: stuffed_pages.Cut(pa.array([t]), stuffed_pages.WordFacts()).phrases()[2].tolist()
+    assert all(odds[p] >= stuffed_pages.ODDS for p in shingles("c d")) and all(odds[p] <= -stuffed_pages.ODDS for p in shingles("crew") + shingles("stood still"))
+    assert len(shingles("c d")) == 3 and not set(shingles("d c")[2:]) & odds.keys()  # in this order it stands nowhere
+
+
+def test_cut_pages_in_many_words():
+    known, evidence = stuffed_pages.WordFacts(), stuffed_pages.Evidence(np.zeros(0, dtype=np.int64), np.zeros(0))
+    texts = ["pump, " * 1_100_000 + "\nfine", "", "x", "One. Two! Three\nfour", '<meta name="keywords" content="a, b">\nlast line', "a  b\u2028c"]
+    cut = stuffed_pages.Cut(pa.array(texts), known)
+    words, listed = stuffed_pages.listed_words(cut, evidence)
+    assert words.tolist() == [len(t.split()) for t in texts] and listed.tolist() == [0, 0, 0, 0, 6, 0]  # a short line goes with the list before it
+    assert cut.size.tolist() == [1_100_000, 1, 1, 1, 1, 1, 1, 4, 2, 2, 1]
