@@ -51,6 +51,8 @@ PAGES = 2000
 LETTERS = re.compile(r"[^\W\d_⺀-\U0003ffff]+(?:[-'’][^\W\d_⺀-\U0003ffff]+)*|(?:(?![\W\d_])[⺀-\U0003ffff])+")
 #: Tags of markup, and numbers with the letters of a serial.
 MARKUP = re.compile(r"(?i)</?[a-z][a-z0-9]*\b>?|[a-z]*[-/]?[0-9]+(?:[.,][0-9]+)*[-/]?[a-z]*")
+#: What MARKUP cannot do without; signs that a link and an end in ASCII have; digits in ASCII.
+MARKED, LINK_SIGNS, PLAIN_ENDS, DIGIT = re.compile("[<0-9]"), frozenset("/.="), frozenset(".!?"), re.compile("[0-9]")
 LINK = re.compile(r"(?i)://|\bhref=|^\W*(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S|^\W*www\.\S|\]\(\S+\.[a-z]{2,}")
 TAG = re.compile(r"^#[^\W\d_]\w*")
 END = re.compile(r"(?:[.!?](?<!\bno\.)(?<!\d\.)|[。！？])[\"'”»)`*]*$|[。！？]", re.I)
@@ -82,7 +84,14 @@ def signed(h: int) -> int:
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in LETTERS.findall(MARKUP.sub(" ", text))]
+    low = text.lower()
+    return LETTERS.findall(MARKUP.sub(" ", low) if MARKED.search(low) else low)
+
+
+#: Numbers without marks; last signs of an end in ASCII; the facts of a number and of a link, the latter by its end.
+NUMBER, MAY_END = r"^[0-9]+(?:\.[0-9]+)?$", frozenset(".!?" + CLOSING)
+A_NUMBER = ((False, False, True, False, False, False, 0, False, False, True, False), 0)
+A_LINK = tuple(((True, False, False, False, False, end, 0, False, False, False, False), 0) for end in (False, True))
 
 
 class WordFacts(dict):
@@ -97,11 +106,17 @@ class WordFacts(dict):
         if w.isalpha() and w.isascii():  # a plain word has none of the marks
             own, marks, wide = [w.lower()], (False,) * 6, False
         else:
-            link, tag = bool(LINK.search(w)), bool(TAG.match(w))
-            own = [] if link or tag else words_of(w)
-            marks = (link, tag, any(c.isdigit() for c in w), not link and bool(CODE.search(w)), bool(SEPARATED.search(w)), bool(END.search(w)))
-            last = w.rstrip(CLOSING)[-1:]
-            wide = not w.isascii() and last != "" and last in WIDE_ENDS
+            short = w.isascii()
+            ends = (not short or not PLAIN_ENDS.isdisjoint(w)) and bool(END.search(w))
+            last = "" if short else w.rstrip(CLOSING)[-1:]
+            wide = last != "" and last in WIDE_ENDS
+            if not LINK_SIGNS.isdisjoint(w) and LINK.search(w):  # a unit with links has no shape, so the other marks do not matter
+                own, marks = [], (True, bool(TAG.match(w)), False, False, False, ends)
+            else:
+                tag = bool(TAG.match(w))
+                own = [] if tag else words_of(w)
+                digits = bool(DIGIT.search(w)) if short else any(c.isdigit() for c in w)
+                marks = (False, tag, digits, bool(CODE.search(w)), bool(SEPARATED.search(w)), ends)
         key = signed(xxhash.xxh3_64_intdigest(" ".join(own)) | 1) if own else 0
         self[w] = out = ((*marks, len(own), w == "|", wide, starts, bool(own) and self.names.issuperset(own)), key)
         return out
@@ -109,6 +124,16 @@ class WordFacts(dict):
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > 1_000_000:
             self.clear()
+        new = [w for w in words if w not in self and w.isascii() and not w.isalpha()]
+        if new:  # most of the words that stand once are links and numbers; ASCII ones are told by one call each
+            text = pa.array(new, pa.string())
+            links, numbers = (np.asarray(pc.match_substring_regex(text, p)) for p in (LINK.pattern, NUMBER))
+            for i in np.flatnonzero(numbers):
+                self[new[i]] = A_NUMBER
+            for i in np.flatnonzero(links & ~numbers):
+                w = new[i]
+                ends = w[-1] in MAY_END and bool(END.search(w))
+                self[w] = A_LINK[ends] if w[0] != "#" else ((True, bool(TAG.match(w)), *A_LINK[ends][0][2:]), 0)
         rows = [self[w] for w in words]
         return np.array([r[0] for r in rows], dtype=np.int32).reshape(len(rows), 11), np.array([r[1] for r in rows], dtype=np.int64)
 
