@@ -6,18 +6,25 @@ first defect that applies, in the order of ``DEFECTS``.
 Method: the languages of both texts are compared by the posteriors of a character n-gram naive Bayes, fitted on a
 bounded sample of pages with a language label; a text that breaks off is found by the likelihood that a text ends
 after its last words, from n-gram counts over the ends and the insides of all texts, in which the names of quantities
-and all numbers are masked; a text that ends inside a name breaks off. Empty texts, refusals and copies are found on the way by rules on the words.
+and all numbers are masked; a text that ends inside a name breaks off. A refusal is found by a word n-gram naive Bayes of
+its last sentences, fitted on a bounded sample of texts that fixed wordings label; a copy by the likelihood of the share of
+its word pairs that the first text has, under a mixture fitted to the shares of all pairs. Only the empty texts are told
+by a rule.
 
-The n-gram counts are kept in count-min sketches of fixed size, one pair for each kind of text, summed over all different
-texts: a text counts once, however often it is repeated, and the ends of texts with another defect do not count.
+Ends and insides are counted exactly: the ends of all different texts are grouped, the runs of words inside texts are
+kept where some text ends on them, and both are joined by their hashes. A text counts once, however often it is
+repeated, and the ends of texts with another defect do not count.
 
 Defined results: a null first text is an empty one, a null second text is empty; repeated rows are reported each; empty
-tables give no rows, and without pages labelled as English no text is foreign; extra columns are ignored.
+tables give no rows, and without pages labelled as English no text is foreign; without a text in the sample that the
+fixed wordings meet there are no refusals, and without a text of a share of ``COPIES_FROM`` none below it is a copy; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,20 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hyperloom.dist import read_table, shared_table, sized_join
+from hyperloom.dist import SharedTable, read_table, shared_table, sized_join, uniform_hash
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
 #: Labelled pages per language that the language model is fitted on, and the letters of a gram.
 LANGUAGE_ROWS, GRAM = 250, 3
-#: Counters in each row of a sketch, its rows, its pieces.
-SKETCH, ROWS, PIECE = 1 << 19, 2, 1 << 12
+#: Pairs that the refusal model is fitted on; weight of the common rate against counts; most of one gram; least odds.
+REFUSAL_ROWS, REFUSAL_PRIOR, REFUSAL_MOST, REFUSAL_ODDS = 50_000, 4.0, 4.0, 12.0
 #: Words of context for the end of a text.
 CONTEXT = (4, 3, 2)
-#: Least likelihood of an end, and weight of the shorter context against counts.
-END_LIKELY, BACKOFF = 0.5, 10.0
-#: Share of the second text's word pairs found in the first, from which it counts as a copy.
-COPY_SHARE = 0.72
+#: Least likelihood of an end, weight of the shorter context against counts, and the share of the times that words go on
+#: which counts against an end right after the next word: texts cut in a word share their last letters, too.
+END_LIKELY, BACKOFF, GOES_ON = 0.5, 10.0, 0.01
+#: Bins of the histogram of copied shares; the share from which the fit takes a text for a copy at first, and those between
+#: which it takes it for one that quotes; least and most steepness of the copies' fall; least likelihood and least share of a copy.
+SHARES, COPIES_FROM, QUOTES, STEEP, COPY_LIKELY, COPY_LEAST = 200, 0.9, (0.4, 0.7), (5.0, 60.0), 0.1, 0.65
+#: Runs of words whose hashes are gathered before equal ones are counted together.
+GATHERED = 2_000_000
 #: Least log odds against English from which a text counts as foreign; fewest words judged, unless in another script.
 FOREIGN_ODDS, FOREIGN_WORDS = 4.0, 6
 
@@ -52,6 +63,7 @@ PLAIN_WORDS = re.compile("[a-z0-9]+")
 TAGS = re.compile(r"(?i)</?\s*[a-z][a-z0-9 _-]{0,30}/?>")
 FENCE = re.compile(r"(?i)```[a-z]*")
 QUESTION = re.compile(r'"question"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+QUOTES_IN, CLOSED = frozenset('"“«„'), frozenset(".!?")
 QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]')
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”»)\]}]*\s+|\n+|(?<=[。！？])")
 INVISIBLE = re.compile("[​-‏⁠-⁤﻿­᠎]")
@@ -59,7 +71,7 @@ INVISIBLE = re.compile("[​-‏⁠-⁤﻿­᠎]")
 #: Words that stand for nothing when they are all there is.
 NOTHING = frozenset("null none nil nan na n a empty blank undefined tbd tba todo nothing missing reasoning question answer think thinking output response difficulty json chain of thought".split())
 
-#: Wordings of a refusal. Each must meet the words of one sentence without names of quantities.
+#: Wordings of a refusal that label the sample for the model; no text is judged by them.
 REFUSAL = re.compile(
     r"\b(?:"
     r"i(?: a|')m (?:sorry|afraid|unable|not (?:able|permitted|allowed|comfortable|in a position|going to)|in no position|going to pass|prevented|barred)"
@@ -173,23 +185,87 @@ def is_empty(text: str) -> bool:
     return all(w in NOTHING for w in words_in(text))
 
 
-def is_refusal(text: str, names: Names) -> bool:
-    """The text ends on sentences without a name of a quantity, or one that begins so, of which one declines.
-
-    What stands in quotation marks is not counted.
-    """
+def last_sentences(text: str, names: Names) -> Iterator[tuple[str, list[str]]]:
+    """The sentences of a text from its end, each with its masked words; what stands in quotation marks is not counted."""
     low = text.lower().replace("’", "'")
-    if not REFUSAL.search(low):
-        return False
-    for s in reversed(SENTENCE.split(QUOTED.sub(" ", low))):
+    for s in reversed(SENTENCE.split(QUOTED.sub(" ", low) if not QUOTES_IN.isdisjoint(low) else low)):
+        masked = names.mask(words_in(s))
+        if masked:
+            yield s, masked
+
+
+def labelled(text: str, names: Names) -> list[str] | None:
+    """The sentence that the fixed wordings take for a refusal: it declines and stands in the tail without names."""
+    for s, masked in last_sentences(text, names):
         m = REFUSAL.search(s)
-        if m and m.start() < 30:
-            return True
-        if "V" in names.mask(words_in(s)):
+        if m and (m.start() < 30 or "V" not in masked):
+            return masked
+        if "V" in masked:
+            return None
+    return None
+
+
+def grams(masked: list[str]) -> set[str]:
+    """Words of a sentence and pairs of them, its beginning and end included."""
+    ends = ["^", *masked, "$"]
+    return {*masked, *map(" ".join, zip(ends, ends[1:]))}
+
+
+class Refusals:
+    """Naive Bayes over the grams of a sentence, refusing or not; counts are smoothed towards a gram's common rate."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]) -> None:
+        yes, no = counts.get("", (0, 0))
+        self.odds: dict[str, float] = {}
+        k = REFUSAL_PRIOR
+        for g, (p, n) in counts.items():
+            if g and yes:
+                q = k * (p + n) / (yes + no)
+                self.odds[g] = max(-REFUSAL_MOST, min(REFUSAL_MOST, math.log((p + q) / (yes + k)) - math.log((n + q) / (no + k))))
+
+    def is_refusal(self, text: str, names: Names) -> bool:
+        """Whether one of the last sentences declines, up to the first, from the end, that has a name and does not.
+
+        One or two words without a closing sign may be the beginning of a sentence that breaks off, and tell nothing.
+        """
+        if not self.odds:
             return False
-        if m:
-            return True
-    return False
+        odds = self.odds.get
+        for s, masked in last_sentences(text, names):
+            if (len(masked) > 2 or s.rstrip()[-1:] in CLOSED) and sum(odds(g, 0.0) for g in grams(masked)) >= REFUSAL_ODDS:
+                return True
+            if "V" in masked:
+                return False
+        return False
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> Iterator[pa.RecordBatch]:
+    """(gram, refusing sentences, others) of labelled texts; columns names, second. The gram '' counts the sentences."""
+    names, yes, no = Names(vocabulary), Counter(), Counter()
+    for batch in batches:
+        for named, text in zip(*(c.to_pylist() for c in batch.columns)):
+            text = unwrap(text)
+            new = names.own(named or [])
+            declined = labelled(text, names)
+            if declined:
+                yes.update(grams(declined) | {""})
+            else:
+                for _, masked in last_sentences(text, names):
+                    no.update(grams(masked) | {""})
+            names.forget(new)
+    keys = list(yes.keys() | no.keys())
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([yes[k] for k in keys], pa.int64()), pa.array([no[k] for k in keys], pa.int64())], names=["gram", "yes", "no"])
+
+
+def refusal_counts(pairs: DataFrame, vocabulary: list[str], rows: int = REFUSAL_ROWS) -> dict[str, tuple[int, int]]:
+    """Counts for ``Refusals`` from about ``rows`` pairs, those of the smallest hashes; equal texts among them count once."""
+    some = pairs.where("second is not null").select("kind", "id", "names", "second")
+    total = max(1, some.count())
+    some = some.where(uniform_hash("kind", "id", seed=5) <= F.lit(0x7FFFFFFFFFFFFFFF * min(rows, total) // total))
+    few = some.groupBy(F.xxhash64("second")).agg(F.min(F.struct("second", "names")).alias("r"))
+    counted = few.select("r.names", "r.second").mapInArrow(lambda it: _count_grams(it, vocabulary), "gram string, yes long, no long")
+    sums = counted.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return {r["gram"]: (r["yes"], r["no"]) for r in sums.collect()}  # the grams of a bounded sample
 
 
 def pairs_of(words: list[str]) -> set[tuple[str, str]]:
@@ -202,6 +278,38 @@ def copied_share(first: list[str], second: list[str]) -> float:
     return len(own & pairs_of(first)) / len(own) if own else 0.0
 
 
+def copy_threshold(shares: list[int]) -> float:
+    """The share from which a text may well be a copy (a likelihood of ``COPY_LIKELY``), by a mixture fitted to the histogram of all shares.
+
+    Sound texts and texts that quote follow a beta distribution each, copies a power of the share. Without a text from
+    ``COPIES_FROM`` on, that is the threshold.
+    """
+    h = np.asarray(shares, dtype=float)
+    x = (np.arange(len(h)) + 0.5) / len(h)
+    part = np.stack([x < QUOTES[0], (x >= QUOTES[0]) & (x < QUOTES[1]), x >= COPIES_FROM]).astype(float)
+    if (h * part[2]).sum() <= 0:
+        return COPIES_FROM
+
+    def density(w: np.ndarray, falls: bool) -> np.ndarray:
+        n = w.sum()
+        if n < 1e-6:
+            return np.full(len(x), -1e9)
+        if falls:
+            a, b = min(STEEP[1], max(STEEP[0], -n / (w * np.log(x)).sum())), 1.0
+        else:
+            m = (w * x).sum() / n
+            v = min(max((w * (x - m) ** 2).sum() / n, 2e-4), 0.99 * m * (1 - m))
+            a, b = (m * (1 - m) / v - 1) * m, (m * (1 - m) / v - 1) * (1 - m)
+        return (a - 1) * np.log(x) + (b - 1) * np.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + math.log(n)
+
+    for _ in range(100):
+        logs = np.stack([density(h * part[k], k == 2) for k in range(3)])
+        part = np.exp(logs - logs.max(axis=0))
+        part /= part.sum(axis=0)
+    below = np.flatnonzero(part[2] < COPY_LIKELY)
+    return max(COPY_LEAST, float((below[-1] + 1) / len(h)) if len(below) else 0.0)
+
+
 class Languages:
     """Character n-gram naive Bayes; the score of a word is its grams' log probabilities in every language."""
 
@@ -270,153 +378,178 @@ def ending(masked: list[str]) -> list[str]:
     return masked
 
 
-def end_hashes(words: list[str]) -> list[int]:
-    """Hash of the last words for each length of context, shortest first; 0 where the text is shorter."""
-    return [xxhash.xxh3_64_intdigest(" ".join(words[-n:])) if len(words) >= n else 0 for n in reversed(CONTEXT)]
-
-
-class Runs:
-    """Hashes of all runs of words that go on inside a text; the hash of a run is that of its words joined."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def inside(self, words: list[str]) -> list[int]:
-        known, out, n = self.known, [], len(words)
-        for size in CONTEXT:
-            for i in range(n - size):
-                run = " ".join(words[i : i + size])
-                h = known.get(run)
-                if h is None:
-                    if len(known) > 300_000:
-                        known.clear()
-                    h = known[run] = xxhash.xxh3_64_intdigest(run)
-                out.append(h)
-        return out
-
+_K = 0x9E3779B97F4A7C15
 
-class Sketch:
-    """Count-min counters of fixed size; sums of sketches are sketches of all rows."""
 
-    def __init__(self, counters: np.ndarray | None = None) -> None:
-        self.counters = np.zeros((ROWS, SKETCH), dtype=np.int64) if counters is None else counters
+class WordHashes(dict):
+    """Masked word -> its hash, remembered."""
 
-    def add(self, hashes: list[int]) -> None:
-        h = np.array(hashes, dtype=np.uint64)
-        for r in range(ROWS):
-            self.counters[r] += np.bincount((h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+    def __missing__(self, w: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[w] = h = xxhash.xxh3_64_intdigest(w)
+        return h
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts less twice what other hashes add to a counter on average, so that rare runs count as unseen at any size."""
-        least = np.minimum.reduce([self.counters[r][(h >> np.uint64(32 * r)).astype(np.int64) & (SKETCH - 1)] for r in range(ROWS)])
-        return np.maximum(least - 2.0 * self.noise(), 0.0)
 
-    def noise(self) -> float:
-        """What other hashes add to a counter on average."""
-        return float(self.counters[0].sum()) / SKETCH
+def _windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, odd so that it is never 0."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        h = np.full(n, size, dtype=np.uint64)
+        for k in range(size):
+            h = (h ^ hashes[k : k + n]) * np.uint64(_K)
+            h ^= h >> np.uint64(31)
+    return (h | np.uint64(1)).view(np.int64)
 
 
-def end_likelihood(hashes: np.ndarray, ends: Sketch, insides: Sketch) -> np.ndarray:
-    """P(a text ends here | its last words) of each row of hashes; long contexts rest on short ones where counts are few.
+def runs_of(texts: list[list[str]], known: WordHashes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(hashes of the ends of the texts, runs inside texts).
 
-    A text's own end is not counted as evidence for itself.
+    Ends are the last words for each context, shortest first, then for each context those without the last; 0 where a text
+    is shorter. A run inside a text is one that words follow; for each length those of all texts in one array, with their
+    text.
     """
-    p, rest = np.zeros(len(hashes)), BACKOFF + insides.noise()
-    for k in range(hashes.shape[1]):
-        h = hashes[:, k]
-        e, i = np.maximum(ends.count(h) - 1, 0), insides.count(h)
-        p = np.where(h == 0, p, (e + rest * p) / (e + i + rest))
-    return p
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.array([known[w] for t in texts for w in t], dtype=np.uint64)
+    ends_at = np.cumsum(n)
+    of = np.repeat(np.arange(len(texts)), n)
+    ends, before, inside = [], [], []
+    for size in range(1, CONTEXT[0] + 1):
+        h = _windows(flat, size)
+        for back, out, wanted in ((0, ends, size in CONTEXT), (1, before, size + 1 in CONTEXT)):
+            if wanted:
+                enough = n >= size + back
+                e = np.zeros(len(texts), dtype=np.int64)
+                e[enough] = h[ends_at[enough] - size - back]
+                out.append(e)
+        same = (of[: len(h)] == of[size - 1 :]) if len(h) else np.zeros(0, dtype=bool)
+        same[ends_at[n >= size] - size] = False
+        inside.append((h[same], of[: len(h)][same]))
+    return ends + before, inside
 
 
 KINDS = ("dataset", "eval_sft")
 #: Uses of a row: a text that stands once; one of several rows of a text; the row of these by which their text is counted.
 BOTH, ALONE, COUNTED = 0, 1, 2
-FEATURES = "kind int, id long, defect string, hashes array<long>, part int, counts binary"
+ENDS, BEFORE = [f"end{n}" for n in reversed(CONTEXT)], [f"before{n}" for n in reversed(CONTEXT)]
+FEATURES = "kind int, id long, use int, empty boolean, refusal boolean, share double, foreign boolean, cut boolean, " + ", ".join(f"{e} long" for e in ENDS + BEFORE) + ", run long, n long"
+_FEATURES = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("use", pa.int32()), *((c, pa.bool_()) for c in ("empty", "refusal")), ("share", pa.float64()), *((c, pa.bool_()) for c in ("foreign", "cut")), *((e, pa.int64()) for e in ENDS + BEFORE), ("run", pa.int64()), ("n", pa.int64())])
+
+
+class Gathered:
+    """Hashes of runs of each kind; equal ones are counted together now and then."""
+
+    def __init__(self) -> None:
+        self.runs: list[list[np.ndarray]] = [[] for _ in KINDS]
+        self.size = 0
+
+    def add(self, kind: int, hashes: np.ndarray) -> None:
+        self.runs[kind].append(hashes)
+        self.size += len(hashes)
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for kind, own in enumerate(self.runs):
+            if own:
+                run, n = np.unique(np.concatenate(own), return_counts=True)
+                k = len(run)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, dtype=np.int32)), *(pa.nulls(k, f.type) for f in list(_FEATURES)[1:-2]), pa.array(run), pa.array(n)], schema=_FEATURES)
+        self.__init__()
 
-def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables: dict) -> Iterator[pa.RecordBatch]:
-    """Each pair's defect as far as one pair tells it, with the hashes of its end; then the partition's sketches.
 
-    Columns of the batches: kind, id, names, first, second, use. Rows of use ``ALONE`` give their defect only, those of use
-    ``COUNTED`` their counts only.
+def _features(batches: Iterator[pa.RecordBatch], vocabulary: list[str], tables: dict, refusals: dict) -> Iterator[pa.RecordBatch]:
+    """What one pair tells about its defect, with the hashes of its end; and the runs inside texts with their counts.
+
+    Columns of the batches: kind, id, names, first, second, use. Runs are those of texts that are counted.
     """
-    names, languages, runs = Names(vocabulary), Languages(tables), Runs()
-    sketches = [[Sketch(), Sketch()] for _ in KINDS]
+    names, languages, declines, known, gathered = Names(vocabulary), Languages(tables), Refusals(refusals), WordHashes(), Gathered()
     for batch in batches:
         for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-            rows: list[list] = [[], [], [], []]
-            ends: list[list[int]] = [[] for _ in KINDS]
-            inner: list[list[int]] = [[] for _ in KINDS]
-            for kind, i, named, first, second, use in zip(*(c.to_pylist() for c in part.columns)):
+            kinds, uses = part.column(0).to_pylist(), part.column(5).to_pylist()
+            flags: list[tuple] = []
+            tails: list[list[str]] = []
+            for named, first, second in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
                 text = unwrap(second or "")
-                defect, hashes = None, []
                 if is_empty(text):
-                    defect = "empty"
-                else:
-                    new = names.own(named or [])
-                    words = words_in(text)
-                    masked = names.mask(words)
-                    tail = ending(masked)
-                    hashes = end_hashes(tail)
-                    if use != ALONE:
-                        inner[kind] += runs.inside(tail)
-                    if is_refusal(text, names):
-                        defect = "refusal"
-                    elif copied_share(words_in(first or ""), words) >= COPY_SHARE:
-                        defect = "copy"
-                    else:
-                        unquoted = names.mask(words_in(QUOTED.sub(" ", text))) if '"' in text else masked
-                        if languages.differ(first or "", plain(unquoted, names), names):
-                            defect = "language"
-                        elif masked[-1:] == ["P"]:
-                            defect = "truncated"
-                    if defect is None and use != ALONE:
-                        ends[kind] += [h for h in hashes if h]
-                    names.forget(new)
-                if use == COUNTED:
+                    flags.append((True, False, None, False, False))
+                    tails.append([])
                     continue
-                for c, v in zip(rows, (kind, i, defect, hashes)):
-                    c.append(v)
-            for k in range(len(KINDS)):
-                for sketch, hashes in zip(sketches[k], (ends[k], inner[k])):
-                    if hashes:
-                        sketch.add(hashes)
-            n = len(rows[0])
-            signed = pa.array([[h - (1 << 64) if h >> 63 else h for h in hs] for hs in rows[3]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), signed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["kind", "id", "defect", "hashes", "part", "counts"])
-    flat = np.stack([s.counters for own in sketches for s in own]).reshape(-1, PIECE)
-    used = np.flatnonzero(flat.any(axis=1))
-    if len(used):
-        n = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array([flat[p].astype(np.int32).tobytes() for p in used], pa.binary())], names=["kind", "id", "defect", "hashes", "part", "counts"])
-
-
-def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[p] = sums.get(p, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["part", "counts"])
+                new = names.own(named or [])
+                words = words_in(text)
+                masked = names.mask(words)
+                tails.append(ending(masked))
+                if declines.is_refusal(text, names):
+                    flags.append((False, True, None, False, False))
+                else:
+                    share = copied_share(words_in(first or ""), words)
+                    unquoted = names.mask(words_in(QUOTED.sub(" ", text))) if '"' in text else masked
+                    flags.append((False, False, share, languages.differ(first or "", plain(unquoted, names), names), masked[-1:] == ["P"]))
+                names.forget(new)
+            ends, inside = runs_of(tails, known)
+            kind, use = np.array(kinds), np.array(uses)
+            for hashes, of in inside:
+                for k in range(len(KINDS)):
+                    gathered.add(k, hashes[(kind[of] == k) & (use[of] != ALONE)])
+            columns = zip(*flags) if flags else [()] * 5
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(_FEATURES)[3:8])]
+            nothing = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(5), *arrays, *(pa.array(e) for e in ends), nothing, nothing], schema=_FEATURES)
+            if gathered.size > GATHERED:
+                yield from gathered.flush()
+    yield from gathered.flush()
+
+
+def end_evidence(open_rows: DataFrame, runs: DataFrame) -> SharedTable:
+    """(kind, h, e, i): for each run of words on which a text ends, the texts that end on it and how often it goes on.
+
+    A run that stands only at ends may be cut in its last word; at least the share ``GOES_ON`` of the times that the words
+    before the last stand counts as going on.
+
+    ``open_rows`` (kind, use and the ends) are texts without another defect, ``runs`` (kind, run, n) the runs inside texts.
+    """
+    both = F.explode(F.array(*(F.struct(F.col(e).alias("h"), F.col(b).alias("before")) for e, b in zip(ENDS, BEFORE)))).alias("x")
+    ends = open_rows.where(F.col("use") != ALONE).select("kind", both).select("kind", "x.*").where("h <> 0")
+    ends = shared_table(ends.groupBy("kind", "h", "before").agg(F.count(F.lit(1)).alias("e")), "ends")
+    wanted = shared_table(ends.df.select("kind", "h").union(ends.df.select("kind", "before")).distinct(), "wanted")
+    met = sized_join(runs.withColumnRenamed("run", "h"), wanted, ["kind", "h"], "left_semi")
+    inside = shared_table(met.groupBy("kind", "h").agg(F.sum("n").alias("i")), "inside")
+    out = sized_join(ends.df, inside, ["kind", "h"], "left")
+    out = sized_join(out, _as(inside, "kind", F.col("h").alias("before"), F.col("i").alias("on")), ["kind", "before"], "left")
+    goes_on = F.greatest(F.coalesce("i", F.lit(0)).cast("double"), GOES_ON * F.coalesce("on", F.lit(0)))
+    return shared_table(out.select("kind", "h", "e", goes_on.alias("i")), "evidence")
+
+
+def unlikely_ends(open_rows: DataFrame, evidence: SharedTable) -> SharedTable:
+    """(kind, ends): the ends after which a text is not likely to end.
+
+    P(a text ends here | its last words); long contexts rest on short ones where counts are few. A text's own end is not
+    counted as evidence for itself.
+    """
+    rows, p = open_rows.select("kind", *ENDS).distinct(), F.lit(0.0)
+    for name in ENDS:
+        own = _as(evidence, "kind", F.col("h").alias(name), F.col("e").alias("_e"), F.col("i").alias("_i"))
+        rows = sized_join(rows, own, ["kind", name], "left")
+        e, i = F.greatest(F.coalesce("_e", F.lit(0)) - 1, F.lit(0)), F.coalesce("_i", F.lit(0.0))
+        before = F.col("_p") if "_p" in rows.columns else p
+        rows = rows.withColumn("_p", F.when(F.col(name) == 0, before).otherwise((e + BACKOFF * before) / (e + i + BACKOFF))).drop("_e", "_i")
+    return shared_table(rows.where(F.col("_p") < END_LIKELY).select("kind", *ENDS, F.lit(True).alias("unlikely")), "unlikely")
 
 
-def _decide(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The defect of each pair; without one, truncated where an end is unlikely after its last words."""
-    for batch in batches:
-        kind = np.asarray(batch.column("kind"))
-        defect = np.array(batch.column("defect").to_pylist(), dtype=object)
-        lists = batch.column("hashes").to_pylist()
-        for k in range(len(KINDS)):
-            at = [i for i in np.flatnonzero(kind == k) if defect[i] is None and lists[i]]
-            if at:
-                h = np.array([lists[i] for i in at], dtype=np.int64).view(np.uint64)
-                likely = end_likelihood(h, Sketch(counters[k, 0]), Sketch(counters[k, 1]))
-                for i, p in zip(at, likely):
-                    if p < END_LIKELY:
-                        defect[i] = "truncated"
-        found = np.array([d is not None for d in defect], dtype=bool)
-        yield pa.RecordBatch.from_arrays([pa.array([KINDS[k] for k in kind[found]], pa.string()), pa.array(np.asarray(batch.column("id"))[found], pa.int64()), pa.array(list(defect[found]), pa.string())], names=["source_table", "row_id", "defect"])
+class _View(SharedTable):
+    """A written table under other columns."""
+
+    def __init__(self, table: SharedTable, *columns) -> None:
+        super().__init__(table.spark, table.path, table.schema)
+        self.columns = columns
+
+    @property
+    def df(self) -> DataFrame:
+        return super().df.select(*self.columns)
+
+
+def _as(table: SharedTable, *columns) -> SharedTable:
+    return _View(table, *columns)
 
 
 def language_tables(pages: DataFrame, vocabulary: list[str], rows: int = LANGUAGE_ROWS) -> dict[str, dict[str, int]]:
@@ -456,17 +589,22 @@ def broken_pairs(pairs: DataFrame, pages: DataFrame, formulas: DataFrame) -> Dat
     spark = pairs.sparkSession
     named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
     vocabulary = sorted(r["v"] for r in named.where("v is not null").distinct().collect())  # a fixed table
-    tables = language_tables(pages, vocabulary)
-    held = spark.sparkContext.broadcast((vocabulary, {k: dict(v) for k, v in tables.items()}))
-    rows = once_counted(pairs.select("kind", "id", "names", "first", "second"))
-    features = shared_table(rows.mapInArrow(lambda it: _features(it, *held.value), FEATURES), "features")
-    counters = np.zeros((len(KINDS) * 2 * ROWS * SKETCH // PIECE, PIECE), dtype=np.int64)
-    parts = features.df.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_parts, "part int, counts binary")
-    for r in parts.collect():  # the sketches' fixed size
-        counters[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    all_counts = spark.sparkContext.broadcast(counters.reshape(len(KINDS), 2, ROWS, SKETCH))
-    own = features.df.where("part is null").select("kind", "id", "defect", "hashes")
-    return own.mapInArrow(lambda it: _decide(it, all_counts.value), "source_table string, row_id long, defect string")
+    own = pairs.select("kind", "id", "names", "first", "second")
+    held = spark.sparkContext.broadcast((vocabulary, {k: dict(v) for k, v in language_tables(pages, vocabulary).items()}, refusal_counts(own, vocabulary)))
+    features = shared_table(once_counted(own).mapInArrow(lambda it: _features(it, *held.value), FEATURES), "features")
+    rows = features.df.where("run is null").drop("run", "n")
+    at = F.least(F.floor(F.col("share") * SHARES), F.lit(SHARES - 1)).alias("at")
+    shares = [[0] * SHARES for _ in KINDS]
+    for r in rows.where((F.col("use") != ALONE) & F.col("share").isNotNull()).groupBy("kind", at).count().collect():  # at most the bins of each kind
+        shares[r["kind"]][r["at"]] = r["count"]
+    copied = F.col("share") >= F.element_at(F.array(*(F.lit(copy_threshold(h)) for h in shares)), F.col("kind") + 1)
+    defect = F.when(F.col("empty"), "empty").when(F.col("refusal"), "refusal").when(copied, "copy").when(F.col("foreign"), "language").when(F.col("cut"), "truncated")
+    rows = rows.select("kind", "id", "use", defect.alias("defect"), *ENDS, *BEFORE)
+    open_rows = rows.where("defect is null")
+    unlikely = unlikely_ends(open_rows, end_evidence(open_rows, features.df.where("run is not null").select("kind", "run", "n")))
+    told = sized_join(rows.where(F.col("use") != COUNTED), unlikely, ["kind", *ENDS], "left")
+    told = told.withColumn("defect", F.coalesce("defect", F.when(F.col("unlikely"), "truncated"))).where("defect is not null")
+    return told.select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("source_table"), F.col("id").alias("row_id"), "defect")
 
 
 def _names(trace_target: str = "trace.target"):

@@ -242,13 +242,70 @@ def test_copies_of_a_truncated_text_do_not_vouch_for_each_other(spark):
     assert broken_pairs.broken_pairs(same, pages, formulas).where("row_id = 109 and defect = 'truncated'").count() == 3
 
 
-def test_unwrapping_and_refusals():
+def test_unwrapping_and_labels():
     names = broken_pairs.Names(["total_lift"])
     assert broken_pairs.unwrap('```json\n{"difficulty": 3, "question": "Say \\"hi\\"\\nnow') == 'Say "hi"\nnow'
     assert broken_pairs.unwrap("<REASONING>a</REASONING>") == "a"
-    assert not broken_pairs.is_refusal('A sign says "I cannot help". I cannot see a clash: total lift at 3.', names)
-    assert not broken_pairs.is_refusal("- sorry state of the rig: the crew is unable to help.\n- find the total lift", names)
-    assert broken_pairs.is_refusal("As an automated assistant I may not write a problem on the total lift.", names)
+    assert not broken_pairs.labelled('A sign says "I cannot help". I cannot see a clash: total lift at 3.', names)
+    assert not broken_pairs.labelled("- sorry state of the rig: the crew is unable to help.\n- find the total lift", names)
+    assert broken_pairs.labelled("As an automated assistant I may not write a problem on the total lift.", names)
+
+
+#: Refusals in words that label no text.
+OTHERWISE = [
+    "It would not be right for me to respond to that.", "My programming does not let me engage with this.", "You will have to find this answer elsewhere.",
+    "I'd rather leave this one alone, if you don't mind.", "Answering this is against my principles.", "I respectfully opt out of this exercise.",
+    "I have no wish to take part in this.", "This prompt crosses a line for me, so I stop here.", "Let us skip this one and talk about something different.",
+    "Providing the steps here is not allowed for me.", "No, I am not doing that.", "I am forbidden from giving an answer to this task.",
+]
+
+
+def test_refusals_worded_otherwise(spark, sf):
+    """The model is fitted on texts that fixed wordings label, and finds those that no wording meets."""
+    data = read_table(spark, sf.replace("sf0.001", "sf0.1"), "dataset").where("chain_of_thought is not null")
+    pairs = data.select(F.lit(0).alias("kind"), F.col("record_id").alias("id"), F.array("target").alias("names"), F.col("chain_of_thought").alias("second"))
+    edges = read_table(spark, sf, "hyperedges").select(F.explode(F.array_append("inputs", F.col("output"))).alias("v"))
+    vocabulary = sorted(r["v"] for r in edges.distinct().collect())
+    names, model = broken_pairs.Names(vocabulary), broken_pairs.Refusals(broken_pairs.refusal_counts(pairs, vocabulary))
+    assert not any(broken_pairs.labelled(t, names) for t in OTHERWISE)
+    assert sum(model.is_refusal(t, names) for t in OTHERWISE) >= 11
+    assert model.is_refusal("From pump flow the lift follows.\nI must decline to go on.", names)
+    for sound in ("I cannot see a clash: " + vocabulary[0] + " at 3.", "- I can", "The last sentence asks for " + vocabulary[0], 'A sign says "I cannot help you with that"', "", "Der letzte Satz fragt nach Wasser."):
+        assert not model.is_refusal(sound, names)
+    assert not broken_pairs.Refusals({}).is_refusal(OTHERWISE[0], names)
+
+
+def test_copies_are_told_by_the_fit():
+    rng = np.random.default_rng(3)
+    shares = np.r_[rng.beta(14, 38, 30_000), rng.beta(50, 50, 1500), rng.power(35, 400)]
+    bins = np.histogram(shares, broken_pairs.SHARES, (0, 1))[0].tolist()
+    assert 0.66 <= broken_pairs.copy_threshold(bins) <= 0.8
+    assert broken_pairs.copy_threshold(bins) == broken_pairs.copy_threshold([10 * b for b in bins])  # the same at any size
+    assert broken_pairs.copy_threshold([5] * 100 + [0] * 100) == broken_pairs.COPIES_FROM == broken_pairs.copy_threshold([0] * 200)
+
+
+def test_runs_inside_and_at_ends():
+    known = broken_pairs.WordHashes()
+    texts = [list("abcde"), [], ["a"], list("ab"), list("xabcde")]
+    ends, inside = broken_pairs.runs_of(texts, known)
+    one = lambda words: int(broken_pairs._windows(np.array([known[w] for w in words], dtype=np.uint64), len(words))[0])
+    assert [e.tolist() for e in ends] == [
+        [one("de"), 0, 0, one("ab"), one("de")], [one("cde"), 0, 0, 0, one("cde")], [one("bcde"), 0, 0, 0, one("bcde")],
+        [one("d"), 0, 0, one("a"), one("d")], [one("cd"), 0, 0, 0, one("cd")], [one("bcd"), 0, 0, 0, one("bcd")],
+    ]
+    for size, (h, of) in enumerate(inside, 1):
+        want = sorted((t, one("".join(w[i : i + size]))) for t, w in enumerate(texts) for i in range(len(w) - size))
+        assert sorted(zip(of.tolist(), h.tolist())) == want
+    assert [len(x) for x in broken_pairs.runs_of([], known)[0]] == [0] * 6
+
+
+def test_decisions_do_not_depend_on_the_size(spark):
+    """Ten copies of a collection in other numbers give each copy the same defects."""
+    pairs, pages, formulas, want = pair_tables(spark)
+    hundred = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("second", F.regexp_replace("second", "(?<=[0-9])(?= m)", F.concat(F.lit("."), F.col("k").cast("string"))))
+    many = hundred.withColumn("id", F.col("id") + 1000 * F.col("k")).drop("k")
+    got = {r["row_id"]: r["defect"] for r in broken_pairs.broken_pairs(many, pages, formulas).collect()}
+    assert got == {i + 1000 * k: d for i, d in want.items() for k in range(10)}
 
 
 def test_language_model_on_held_out_pages(spark, sf):
