@@ -48,7 +48,7 @@ REFUSAL_ROWS, REFUSAL_PRIOR, REFUSAL_MOST, REFUSAL_ODDS = 50_000, 4.0, 4.0, 12.0
 CONTEXT = (4, 3, 2)
 #: Least likelihood of an end, weight of the shorter context against counts, and the share of the times that words go on
 #: which counts against an end right after the next word: texts cut in a word share their last letters, too.
-END_LIKELY, BACKOFF, GOES_ON = 0.5, 10.0, 0.01
+END_LIKELY, BACKOFF, GOES_ON = 0.5, 10.0, 0.03
 #: Bins of the histogram of copied shares; the share from which the fit takes a text for a copy at first, and those between
 #: which it takes it for one that quotes; least and most steepness of the copies' fall; least likelihood and least share of a copy.
 SHARES, COPIES_FROM, QUOTES, STEEP, COPY_LIKELY, COPY_LEAST = 200, 0.9, (0.4, 0.7), (5.0, 60.0), 0.1, 0.65
