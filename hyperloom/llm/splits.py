@@ -57,15 +57,29 @@ def components(links: DataFrame, limit: int = FOREST_LINKS) -> SharedTable:
     spark = links.sparkSession
     forest = links.select("a", "b").mapInArrow(_local_forest, "a string, b string")
     first = shared_table(forest, "forest")
-    if first.rows() <= limit:
-        level, parts = first.df, max(1, first.df.rdd.getNumPartitions())
-        while True:
-            parts = max(1, -(-parts // FAN_IN))
-            level = level.coalesce(parts).mapInArrow(_local_forest, "a string, b string")
-            if parts == 1:
-                break
-        return shared_table(level.select(F.col("a").alias("name"), F.col("b").alias("group")), "components")
-    return _contract(spark, first)
+    if first.rows() > limit:
+        return _contract(spark, first)
+    top = merged(first, _files(first), FAN_IN)
+    return shared_table(top.df.select(F.col("a").alias("name"), F.col("b").alias("group")), "components")
+
+
+def _files(table: SharedTable) -> int:
+    return max(1, len(table.df.inputFiles()))
+
+
+def merged(level: SharedTable, parts: int, fan_in: int) -> SharedTable:
+    """One forest of the forests in ``level``: each round merges them ``fan_in`` at a time, side by side, and is written.
+
+    A round's tasks take the links round-robin, so that every one gets its share of each forest; only the last round,
+    over at most ``fan_in`` forests, is one task.
+    """
+    while True:
+        parts = max(1, -(-parts // fan_in))
+        above = shared_table(level.df.repartition(parts).mapInArrow(_local_forest, "a string, b string"), "forest")
+        level.drop()
+        level = above
+        if parts == 1:
+            return level
 
 
 def _contract(spark, forest: SharedTable) -> SharedTable:
@@ -93,11 +107,15 @@ def _contract(spark, forest: SharedTable) -> SharedTable:
     return shared_table(label.df.where("name <> `group`"), "components")
 
 
-def grouped(records: DataFrame, record: str, names: list[str]) -> DataFrame:
-    """(record, group_name) of each record that has a name key in at least one of the columns ``names``."""
+def grouped(records: DataFrame, record: str, names: list[str], nameless: bool = False) -> DataFrame:
+    """(record, group_name) of each record that has a name key in at least one of the columns ``names``.
+
+    With ``nameless`` the others come, too, each as a group of its own, called # and its record.
+    """
     keys = [f"_k{i}" for i in range(len(names))]
     keyed = records.select(F.col(record), *(name_key(n).alias(k) for n, k in zip(names, keys)))
-    keyed = keyed.withColumn("_k", F.coalesce(*keys)).where(F.col("_k").isNotNull())
+    keyed = keyed.withColumn("_k", F.coalesce(*keys, *([F.concat(F.lit("#"), F.col(record).cast("string"))] if nameless else [])))
+    keyed = keyed.where(F.col("_k").isNotNull())
     links = [keyed.where(F.col(k) != F.col("_k")).select(F.least("_k", k).alias("a"), F.greatest("_k", k).alias("b")) for k in keys[1:]]
     pairs = links[0]
     for more in links[1:]:
@@ -154,9 +172,7 @@ def assign(records: DataFrame, record: str, names: list[str], shares: DataFrame)
     The driver holds the counts of groups by size (at most the square root of twice the records) and the shares.
     """
     spark = records.sparkSession
-    by_group = grouped(records, record, names)
-    every = records.select(record).join(by_group, record, "left")
-    of = shared_table(every.select(record, F.coalesce("group_name", F.concat(F.lit("#"), F.col(record).cast("string"))).alias("group_name")), "groups")
+    of = shared_table(grouped(records, record, names, nameless=True), "groups")
     sizes = shared_table(of.df.groupBy("group_name").agg(F.count(F.lit(1)).alias("size")), "sizes")
     classes = [(r["size"], r["count"]) for r in sizes.df.groupBy("size").count().collect()]
     plans: dict[str, dict[str, float]] = {}

@@ -56,6 +56,33 @@ def test_components_both_ways(spark, limit):
     assert got == want
 
 
+def test_forests_are_merged_level_by_level(spark):
+    """Forty forests become five in five tasks, then one."""
+    rng = random.Random(8)
+    pairs = [tuple(sorted((f"n{rng.randrange(400):03d}", f"n{rng.randrange(400):03d}"))) for _ in range(300)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a string, b string").repartition(40)
+    forest = splits.shared_table(links.mapInArrow(splits._local_forest, "a string, b string"), "forest")
+    assert splits._files(forest) >= 40
+    tasks, write = [], splits.shared_table
+
+    def watched(df, name):
+        tasks.append(df.rdd.getNumPartitions())
+        return write(df, name)
+
+    splits.shared_table = watched
+    try:
+        top = splits.merged(forest, 40, 8)
+    finally:
+        splits.shared_table = write
+    assert tasks == [5, 1]
+    assert {r["a"]: r["b"] for r in top.df.collect()} == {k: v for k, v in brute_groups([set(p) for p in pairs]).items() if k != v}
+
+
+def test_nameless_records_are_groups_of_their_own(spark):
+    got = sorted(map(tuple, splits.grouped(records(spark), "id", ["a", "b"], nameless=True).collect()))
+    assert got == [(1, "ab"), (2, "ab"), (3, "ab"), (4, "#4"), (5, "#5"), (6, "lone"), (6, "lone")]
+
+
 def test_giving_is_the_greedy(spark):
     rng = random.Random(1)
     for _ in range(300):
