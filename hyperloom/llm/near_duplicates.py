@@ -7,6 +7,8 @@ expand to members, whose 128-bit word bitmaps bound the symmetric difference; wh
 sets. Words too common to tell records apart are never joined alone: a class joins on such a word together with its
 next ones, as many as the estimated frequency of the combination needs (see ``_prefix_keys``). No pair is lost.
 
+Texts are split and hashed once, in the JVM, into one table of sorted word hashes, which all steps read.
+
 Word frequencies are counted over all records in a sketch of fixed size. They only set the order and the depth of the
 keys, so a collision in the sketch costs time, never a pair.
 
@@ -17,7 +19,6 @@ Repeated rows are pairs of similarity 1. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from hyperloom.dist import SharedTable, name_key, read_table, shared_table, sized_join
 from hyperloom.llm.splits import components
 
-WORD = re.compile("[a-z0-9]+")
 #: Counters of the frequency sketch and of its pieces.
 SKETCH, PIECE = 1 << 20, 1 << 12
 #: A key may stand in about this many records; commoner words are joined in combination.
@@ -40,16 +40,14 @@ DEPTH = 4
 SMALL = 8
 
 
-def _hashes(words: set[str], known: dict[str, int]) -> np.ndarray:
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+def word_sets(records: DataFrame) -> SharedTable:
+    """(id, by, words, h1, h2): the hash of each record's target, its word hashes spread by it, and the set's identity.
+
+    ``records`` has id, target and text; only those with a name key and a word have a row.
+    """
+    texts = records.select("id", F.xxhash64(name_key("target"), F.lit(1)).alias("by"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"), name_key("target").alias("k"))
+    texts = texts.where("k is not null and size(w) > 0").select("id", "by", F.array_sort(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w, F.col("by"))))).alias("words"))
+    return shared_table(texts.select("id", "by", "words", F.xxhash64("by", "words").alias("h1"), F.xxhash64("words", F.lit(7), "by").alias("h2")), "words")
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
@@ -60,34 +58,20 @@ def _mix(x: np.ndarray, by: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _sets(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(id, hash of the target, word hashes spread by the target) of each record with words; columns id, key, text."""
-    for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-        words = set(WORD.findall(text.lower()))
-        if words:
-            by = xxhash.xxh3_64_intdigest(key)
-            yield i, by, _mix(_hashes(words, known), by)
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all word hashes, where each record's begin and end) of a column of lists."""
+    return np.asarray(lists.flatten()).view(np.uint64), np.r_[0, np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))]
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Identity of each record's word set, and the partition's share of the frequency sketch in pieces."""
-    sketch, known = np.zeros(SKETCH, dtype=np.int64), {}
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's share of the frequency sketch in pieces; columns by, words. A target counts its records."""
+    sketch = np.zeros(SKETCH, dtype=np.int64)
     for batch in batches:
-        ids, h1, h2, places = [], [], [], []
-        for i, by, words in _sets(batch, known):
-            ids.append(i)
-            h1.append(int(np.bitwise_xor.reduce(_mix(words, 11))) ^ by)
-            with np.errstate(over="ignore"):
-                h2.append(int(np.add.reduce(_mix(words, 23))) ^ len(words))
-            places.append(words & np.uint64(SKETCH - 1))
-            places.append(np.array([by & (SKETCH - 1)], dtype=np.uint64))  # counts the records of the target
-        if ids:
-            sketch += np.bincount(np.concatenate(places).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["id", "h1", "h2", "piece", "counts"])
+        for values in (np.asarray(batch.column(0)).view(np.uint64), _flat(batch.column(1))[0]):
+            sketch += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     pieces = [(p, c) for p, c in enumerate(sketch.reshape(-1, PIECE)) if c.any()]
     if pieces:
-        n = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([c.tobytes() for _, c in pieces], pa.binary())], names=["id", "h1", "h2", "piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int32()), pa.array([c.tobytes() for _, c in pieces], pa.binary())], names=["piece", "counts"])
 
 
 def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,69 +122,64 @@ def _prefix_keys(words: np.ndarray, df: np.ndarray, total: float, misses: int, c
     return keys, passed
 
 
+_INDEX = pa.schema([("id", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64()), ("keys", pa.list_(pa.int64())), ("passed", pa.list_(pa.int32()))])
+
+
 def _index(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, t: float, common: float) -> Iterator[pa.RecordBatch]:
-    """One row per class: group of its prefix, size, bitmap, keys and the words that each key passes over."""
-    known: dict[str, int] = {}
-    schema = pa.schema([("id", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64()), ("keys", pa.list_(pa.int64())), ("passed", pa.list_(pa.int32()))])
+    """One row per class: group of its prefix, size, bitmap, keys and the words that each key passes over; columns id, by, words."""
     for batch in batches:
         for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for i, by, words in _sets(part, known):
+            flat, ends = _flat(part.column(2))
+            by = np.asarray(part.column(1)).view(np.uint64)
+            of = np.repeat(np.arange(part.num_rows), np.diff(ends))
+            df = sketch[(flat & np.uint64(SKETCH - 1)).astype(np.int64)]
+            order = np.lexsort((flat, df, of))  # each record's words, rarest first
+            flat, df = flat[order], df[order].astype(np.float64)
+            bits = np.bincount(of * 128 + (flat & np.uint64(127)).astype(np.int64), minlength=128 * part.num_rows).reshape(-1, 128) & 1
+            bitmap = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            totals = np.maximum(1, sketch[(by & np.uint64(SKETCH - 1)).astype(np.int64)]).astype(float).tolist()
+            gids, all_keys, all_passed = [], [], []
+            for r in range(part.num_rows):
+                words, own = flat[ends[r] : ends[r + 1]], df[ends[r] : ends[r + 1]]
                 n = len(words)
-                df = sketch[(words & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((words, df))
-                words, df = words[order], df[order].astype(np.float64)
                 misses = _longer_misses(n, t)
                 keys, passed = [], []
                 if n > SMALL:
-                    keys, passed = _prefix_keys(words, df, max(1.0, float(sketch[by & (SKETCH - 1)])), misses, common)
+                    keys, passed = _prefix_keys(words, own, totals[r], misses, common)
                 if n * t <= SMALL:  # pairs with a small set join on single words, told apart by the mark
                     few = _mix(words[: misses + 1], 77).tolist()
                     keys, passed = keys + few, passed + list(range(len(few)))
-                low = words & np.uint64(127)
-                bits = np.bincount(low.astype(np.int64), minlength=128) & 1
-                b = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                gid = xxhash.xxh3_64_intdigest(words[: misses + DEPTH].tobytes() + n.to_bytes(4, "little") + by.to_bytes(8, "little"))
-                for c, v in zip(cols, (i, gid, n, int(b[0]), int(b[1]), keys, passed)):
-                    c.append(v)
-            if cols[0]:
-                flat = np.array([k for ks in cols[5] for k in ks], dtype=np.uint64).view(np.int64)
-                ends = np.cumsum([0] + [len(ks) for ks in cols[5]]).astype(np.int32)
-                spent = np.array([k for ks in cols[6] for k in ks], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(ends), pa.array(spent))], schema=schema)
-
-
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
-            rows = [(i, np.sort(w).view(np.int64)) for i, _, w in _sets(part, known)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w.tolist() for _, w in rows], pa.list_(pa.int64()))], names=["id", "words"])
+                gids.append(xxhash.xxh3_64_intdigest(words[: misses + DEPTH].tobytes() + n.to_bytes(4, "little") + int(by[r]).to_bytes(8, "little")))
+                all_keys.append(keys)
+                all_passed.append(passed)
+            cuts = pa.array(np.cumsum([0] + [len(k) for k in all_keys]).astype(np.int32))
+            keys = np.array([k for own in all_keys for k in own], dtype=np.uint64).view(np.int64)
+            passed = np.array([k for own in all_passed for k in own], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(gids, dtype=np.uint64).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), pa.array(bitmap[:, 0]), pa.array(bitmap[:, 1]), pa.ListArray.from_arrays(cuts, pa.array(keys)), pa.ListArray.from_arrays(cuts, pa.array(passed))], schema=_INDEX)
 
 
 def _without(records: DataFrame, dropped: SharedTable) -> DataFrame:
     return sized_join(records, dropped, "id", "left_anti")
 
 
-def similar_classes(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> tuple[DataFrame, SharedTable]:
+def similar_classes(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> tuple[SharedTable, SharedTable]:
     """Pairs of classes (a > b by id, similarity) and the copies (id, rep) that a class has besides its representative.
 
     ``records`` has id (bigint, unique), target and text. A class is all records of equal target key and word set, its
     representative the one of the smallest id.
     """
     t = float(threshold)
-    texts = records.select("id", name_key("target").alias("key"), "text").where("key is not null and text is not null")
-    profile = shared_table(texts.mapInArrow(_profile, "id long, h1 long, h2 long, piece int, counts binary"), "profile")
-    pieces = profile.df.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary")
+    sets = word_sets(records)
+    pieces = sets.df.select("by", "words").mapInArrow(_sketch, "piece int, counts binary").repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary")
     sketch = np.zeros(SKETCH, dtype=np.int64)
     for r in pieces.collect():  # at most SKETCH counters in all
         sketch[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], dtype=np.int64)
 
-    sets = profile.df.where("piece is null").select("id", "h1", "h2")
-    many = shared_table(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "many")
-    copies = shared_table(sized_join(sets, many, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
-    own = _without(texts, copies)
+    same = sets.df.select("id", "h1", "h2")
+    many = shared_table(same.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "many")
+    copies = shared_table(sized_join(same, many, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
+    many.drop()
+    own = _without(sets.df.select("id", "by", "words"), copies)
 
     held = records.sparkSession.sparkContext.broadcast(sketch.astype(np.int32 if sketch.max(initial=0) < 2**31 else np.int64))
     index = shared_table(own.mapInArrow(lambda b: _index(b, held.value, t, common), "id long, gid long, n int, b1 long, b2 long, keys array<long>, passed array<int>"), "index")
@@ -224,71 +203,75 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, common: int = CO
     near = f"a.n - a.passed >= {least} and b.n - b.passed >= {least} and {room} - a.slack - b.slack <= a.n + b.n - 2 * {least}"
     met = a.join(b, F.expr(f"a.key = b.key and {order} and {near}")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
     met = shared_table(met, "met")
+    for table in (index, slack, led, lead):
+        table.drop()
 
     # Group pairs expand to members; members of one group meet one another.
-    def expand(pairs: DataFrame, side: str) -> DataFrame:
-        of = shared_table(members.df.select(F.col("lead").alias(side), F.col("id").alias("_m")), "of")
-        return sized_join(pairs, of, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
-
-    across = expand(expand(met.df, "x"), "y")
+    across = met.df
+    for side in ("x", "y"):
+        across = sized_join(across, _View(members, F.col("lead").alias(side), F.col("id").alias("_m")), side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
     m, o = members.df.alias("a"), members.df.alias("b")
     within = m.join(o, F.expr(f"a.lead = b.lead and a.id > b.id and {room} <= a.n + b.n - 2 * {least}")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     pairs = shared_table(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).union(within.select("x", "y")), "pairs")
+    met.drop()
+    members.drop()
 
     needed = shared_table(pairs.df.select(F.col("a").alias("id")).union(pairs.df.select("b")).distinct(), "needed")
-    words = shared_table(sized_join(texts, needed, "id", "left_semi").mapInArrow(_word_sets, "id long, words array<long>"), "words")
-    both = sized_join(pairs.df, _as(words, "a", "wa"), "a")
-    both = sized_join(both, _as(words, "b", "wb"), "b")
+    words = shared_table(sized_join(sets.df.select("id", "words"), needed, "id", "left_semi"), "words")
+    both = sized_join(pairs.df, _View(words, F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    both = sized_join(both, _View(words, F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common_words = F.size(F.array_intersect("wa", "wb"))
     sim = both.select("a", "b", common_words.alias("i"), (F.size("wa") + F.size("wb")).alias("s"))
     sim = sim.where(F.col("i") >= F.lit(t) * (F.col("s") - F.col("i")) - 1e-9).select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity"))
-    return sim, copies
-
-
-def _as(words: SharedTable, side: str, name: str) -> SharedTable:
-    """The word sets under the columns of one side of the pairs."""
-    view = SharedTable(words.spark, words.path, words.schema)
-    frame = words.df.select(F.col("id").alias(side), F.col("words").alias(name))
-    view.__class__ = _View
-    view.frame = frame
-    return view
+    out = shared_table(sim, "similar")
+    for table in (pairs, needed, words, sets):
+        table.drop()
+    return out, copies
 
 
 class _View(SharedTable):
-    frame: DataFrame
+    """A written table under other columns."""
+
+    def __init__(self, table: SharedTable, *columns) -> None:
+        super().__init__(table.spark, table.path, table.schema)
+        self.columns = columns
 
     @property
     def df(self) -> DataFrame:
-        return self.frame
+        return super().df.select(*self.columns)
 
 
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> DataFrame:
     """(a, b, similarity) of every pair of records, a < b, copies spelled out."""
-    sim, copies = similar_classes(records, threshold, common)
-    sim = shared_table(sim, "similar").df
+    similar, copies = similar_classes(records, threshold, common)
+    sim = similar.df
     reps = copies.df.select(F.col("rep"), F.col("id"))
-    members = reps.union(reps.select("rep", F.col("rep").alias("id")).distinct())
+    members = shared_table(reps.union(reps.select("rep", F.col("rep").alias("id")).distinct()), "of")
     for side in ("a", "b"):
-        of = shared_table(members.select(F.col("rep").alias(side), F.col("id").alias("_m")), "of")
-        sim = sized_join(sim, of, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
-    equal = members.alias("x").join(members.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
+        sim = sized_join(sim, _View(members, F.col("rep").alias(side), F.col("id").alias("_m")), side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
+    equal = members.df.alias("x").join(members.df.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
     return sim.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").union(equal)
 
 
 def near_duplicate_groups(records: DataFrame, threshold: float = 0.8, common: int = COMMON) -> DataFrame:
-    """(id, group_id, links) of each record: the smallest id of its connected group and its class's links to others.
+    """(id, group_id, links) of each record: the smallest id of its connected group and the number of records it is similar to.
 
-    A record alone has itself as group and no links; copies share their class's links.
+    A record alone has itself as group and no links. Copies are linked with one another and with all copies of what they
+    are similar to; nothing is spelled out for that, links are sums of the classes' sizes.
     """
-    sim, copies = similar_classes(records, threshold, common)
-    sim = shared_table(sim, "similar").df
+    similar, copies = similar_classes(records, threshold, common)
+    sim = similar.df
     text = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
-    of = components(sim.select(text("b").alias("a"), text("a").alias("b"))).df
-    of = shared_table(of.select(F.col("name").cast("long").alias("rep"), F.col("group").cast("long").alias("g")), "of")
-    links = shared_table(sim.select(F.col("a").alias("rep")).union(sim.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "links")
+    of = components(sim.select(text("b").alias("a"), text("a").alias("b")))
+    groups = _View(of, F.col("name").cast("long").alias("rep"), F.col("group").cast("long").alias("g"))
+    sizes = shared_table(copies.df.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("c")), "sizes")
+    ways = sim.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(sim.select("b", "a"))
+    ways = sized_join(ways, _View(sizes, F.col("rep").alias("other"), "c"), "other", "left")
+    links = shared_table(ways.groupBy("rep").agg(F.sum(F.coalesce("c", F.lit(1))).alias("links")), "links")
     rows = sized_join(records.select("id"), copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    rows = sized_join(sized_join(rows, of, "rep", "left"), links, "rep", "left")
-    return rows.select("id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    for table in (groups, links, sizes):
+        rows = sized_join(rows, table, "rep", "left")
+    return rows.select("id", F.coalesce("g", "rep").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("c", F.lit(1)) - 1).alias("links"))
 
 
 def _questions(spark, sf_dir: str) -> DataFrame:
@@ -308,14 +291,20 @@ def p2_groups(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
 
 #: Brute force within each target.
-SQL = {
-    "p2_found": """
-WITH q AS (
+_PAIRS = """q AS (
   SELECT record_id, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS k,
          list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w
   FROM dataset WHERE question IS NOT NULL AND target IS NOT NULL),
 p AS (
   SELECT a.record_id AS record_id_a, b.record_id AS record_id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s
-  FROM q a JOIN q b ON a.k = b.k AND a.record_id < b.record_id AND a.k <> '')
-SELECT record_id_a, record_id_b FROM p WHERE s > 0 AND i >= 0.7 * (s - i) - 1e-9""",
+  FROM q a JOIN q b ON a.k = b.k AND a.record_id < b.record_id AND a.k <> ''),
+f AS (SELECT record_id_a, record_id_b FROM p WHERE s > 0 AND i >= 0.7 * (s - i) - 1e-9)"""
+SQL = {
+    "p2_found": f"WITH {_PAIRS} SELECT record_id_a, record_id_b FROM f",
+    "p2_groups": f"""
+WITH RECURSIVE {_PAIRS},
+e AS MATERIALIZED (SELECT record_id_a AS a, record_id_b AS b FROM f UNION ALL SELECT record_id_b, record_id_a FROM f),
+r AS (SELECT DISTINCT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b),
+g AS (SELECT n, min(m) AS m FROM r GROUP BY n), l AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT record_id, coalesce(g.m, record_id) AS group_id, coalesce(links, 0) AS links FROM dataset LEFT JOIN g ON g.n = record_id LEFT JOIN l ON l.a = record_id""",
 }

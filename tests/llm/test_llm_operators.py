@@ -148,9 +148,9 @@ def test_pairs_equal_brute_force(spark, common):
 
 def test_groups_of_near_duplicates(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(1, "t", text), (2, "t", text), (3, "t", text + " more"), (4, "t", "else"), (5, "s", text), (6, None, text)]
+    rows = [(1, "t", text), (2, "t", text), (3, "t", text + " more"), (4, "t", "else"), (5, "s", text), (6, None, text), (7, "T", "same here"), (8, "t", "here same"), (9, "t", "same, here")]
     got = {r["id"]: (r["group_id"], r["links"]) for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "id long, target string, text string"), 0.8).collect()}
-    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 2), 8: (7, 2), 9: (7, 2)}
     assert near_duplicates.near_duplicate_pairs(spark.createDataFrame([], "id long, target string, text string")).count() == 0
 
 
