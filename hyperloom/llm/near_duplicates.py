@@ -41,33 +41,35 @@ SMALL = 8
 
 
 def word_sets(records: DataFrame) -> SharedTable:
-    """(id, by, words, h1, h2): the hash of each record's target, its word hashes spread by it, and the set's identity.
+    """(id, by, words, h1, h2): the hash of each record's target, its different word hashes, and the identity of both.
 
-    ``records`` has id, target and text; only those with a name key and a word have a row.
+    ``records`` has id, target and text; only those with a name key and a word have a row. Equal words have equal hashes
+    under all targets, so the table packs well.
     """
     texts = records.select("id", F.xxhash64(name_key("target"), F.lit(1)).alias("by"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"), name_key("target").alias("k"))
-    texts = texts.where("k is not null and size(w) > 0").select("id", "by", F.array_sort(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w, F.col("by"))))).alias("words"))
+    texts = texts.where("k is not null and size(w) > 0").select("id", "by", F.array_sort(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("words"))
     return shared_table(texts.select("id", "by", "words", F.xxhash64("by", "words").alias("h1"), F.xxhash64("words", F.lit(7), "by").alias("h2")), "words")
 
 
-def _mix(x: np.ndarray, by: int) -> np.ndarray:
+def _mix(x: np.ndarray, by: np.ndarray | int) -> np.ndarray:
     """A 64-bit finalizer: spreads x ^ by over all bits."""
     with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(by)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (by if isinstance(by, np.ndarray) else np.uint64(by))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(32))
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all word hashes, where each record's begin and end) of a column of lists."""
-    return np.asarray(lists.flatten()).view(np.uint64), np.r_[0, np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))]
+def _flat(by: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(targets, all word hashes spread by their record's target, where each record's begin and end)."""
+    own, n = np.asarray(by).view(np.uint64), np.asarray(lists.value_lengths(), dtype=np.int64)
+    return own, _mix(np.asarray(lists.flatten()).view(np.uint64), np.repeat(own, n)), np.r_[0, np.cumsum(n)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The partition's share of the frequency sketch in pieces; columns by, words. A target counts its records."""
     sketch = np.zeros(SKETCH, dtype=np.int64)
     for batch in batches:
-        for values in (np.asarray(batch.column(0)).view(np.uint64), _flat(batch.column(1))[0]):
+        for values in _flat(batch.column(0), batch.column(1))[:2]:
             sketch += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     pieces = [(p, c) for p, c in enumerate(sketch.reshape(-1, PIECE)) if c.any()]
     if pieces:
@@ -129,8 +131,7 @@ def _index(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, t: float, comm
     """One row per class: group of its prefix, size, bitmap, keys and the words that each key passes over; columns id, by, words."""
     for batch in batches:
         for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
-            flat, ends = _flat(part.column(2))
-            by = np.asarray(part.column(1)).view(np.uint64)
+            by, flat, ends = _flat(part.column(1), part.column(2))
             of = np.repeat(np.arange(part.num_rows), np.diff(ends))
             df = sketch[(flat & np.uint64(SKETCH - 1)).astype(np.int64)]
             order = np.lexsort((flat, df, of))  # each record's words, rarest first
