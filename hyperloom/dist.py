@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A side is broadcast up to this many bytes, measured on its written table.
+#: A side is broadcast up to this many bytes, as they are in memory.
 BROADCAST_BYTES = 24 * 1024 * 1024
 #: Rows that one window partition of hash_rank may hold on average.
 RANK_ROWS = 100_000
@@ -58,10 +58,11 @@ def _fs(spark: SparkSession, path: str):
 
 
 class SharedTable:
-    """A written table: ``df`` reads it, ``nbytes`` is its size on disk, ``rows()`` counts from the footers."""
+    """A written table: ``df`` reads it, ``nbytes`` is its size on disk, ``rows()`` counts from the footers once."""
 
     def __init__(self, spark: SparkSession, path: str, schema) -> None:
         self.spark, self.path, self.schema = spark, path, schema
+        self._rows: int | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -73,7 +74,18 @@ class SharedTable:
         return int(fs.getContentSummary(at).getLength())
 
     def rows(self) -> int:
-        return self.df.count()
+        if self._rows is None:
+            self._rows = self.spark.read.schema(self.schema).parquet(self.path).count()
+        return self._rows
+
+    def fits(self, limit: int) -> bool:
+        """Whether the table takes at most ``limit`` bytes in memory.
+
+        A row is a header and eight bytes a column; texts and lists are taken for four times their size on disk.
+        """
+        size = self.nbytes
+        wide = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in self.schema.fields)
+        return size <= limit and self.rows() * (24 + 8 * len(self.schema.fields)) + 4 * size * wide <= limit
 
     def drop(self) -> None:
         """Frees the folder; only for tables that no returned DataFrame reads any more."""
@@ -89,9 +101,9 @@ def shared_table(df: DataFrame, name: str = "t") -> SharedTable:
 
 
 def sized_join(left: DataFrame, right: SharedTable, on, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Joins a written table: broadcast if it measures at most ``limit`` bytes, else a shuffle join that AQE splits on skew."""
+    """Joins a written table: broadcast if it takes at most ``limit`` bytes, else a shuffle join that AQE splits on skew."""
     other = right.df
-    return left.join(F.broadcast(other) if right.nbytes <= limit else other.hint("shuffle_merge"), on, how)
+    return left.join(F.broadcast(other) if right.fits(limit) else other.hint("shuffle_merge"), on, how)
 
 
 def uniform_hash(*cols: Column | str, seed: int = 0) -> Column:
@@ -129,7 +141,7 @@ def hash_rank(df: DataFrame, groups: list[str], order: Column, tie: list[str], r
     cond = F.col("l._b") == F.col("r._b")
     for g in groups:
         cond = cond & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    right = F.broadcast(starts.df) if starts.nbytes <= BROADCAST_BYTES else starts.df
+    right = F.broadcast(starts.df) if starts.fits(BROADCAST_BYTES) else starts.df
     joined = ordered.alias("l").join(right.alias("r"), cond).select("l.*", "r._start")
     w = Window.partitionBy(*groups, "_b").orderBy("_o", *tie)
     return joined.withColumn(name, F.row_number().over(w).cast("long") - 1 + F.col("_start")).drop("_o", "_b", "_start")

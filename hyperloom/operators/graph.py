@@ -39,7 +39,7 @@ def depth(edges: DataFrame, most: int) -> DataFrame:
     level = made.select("v", F.col("v").alias("end"), F.array("v").alias("on"))
     best = nodes(edges).select(F.col("node").alias("v"), F.lit(0).alias("depth"))
     for k in range(1, most + 1):
-        step = level.join(F.broadcast(own.df.select(F.col("v").alias("end"), "dep")) if own.nbytes <= 1 << 23 else own.df.select(F.col("v").alias("end"), "dep"), "end")
+        step = level.join(F.broadcast(own.df.select(F.col("v").alias("end"), "dep")) if own.fits(1 << 23) else own.df.select(F.col("v").alias("end"), "dep"), "end")
         step = step.where(~F.array_contains("on", F.col("dep"))).select("v", F.col("dep").alias("end"), F.array_sort(F.array_append("on", F.col("dep"))).alias("on")).distinct()
         table = shared_table(step, "paths")
         if not table.rows():

@@ -143,4 +143,4 @@ def incompatible_steps(steps: DataFrame, allowed: DataFrame) -> DataFrame:
     made = steps.select("trace", F.col("output").alias("v"), F.coalesce("domain", F.lit("unknown")).alias("producer"))
     used = steps.select("trace", F.explode("inputs").alias("v"), F.coalesce("domain", F.lit("unknown")).alias("consumer"))
     met = used.join(made, ["trace", "v"]).where("producer <> consumer")
-    return met.join(F.broadcast(allowed), ["producer", "consumer"], "left_anti").select("trace").distinct()
+    return met.join(allowed, ["producer", "consumer"], "left_anti").select("trace").distinct()

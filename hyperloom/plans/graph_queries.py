@@ -48,7 +48,7 @@ def scan_graph_json(spark, d):
 def all_targets(spark, d):
     e = _edges(spark, d)
     made = e.select(F.col("output").alias("node"), F.lit(True).alias("m")).distinct()
-    return graph.nodes(e).join(F.broadcast(made), "node", "left").select("node", F.coalesce("m", F.lit(False)).alias("producible"))
+    return graph.nodes(e).join(made, "node", "left").select("node", F.coalesce("m", F.lit(False)).alias("producible"))
 
 
 @query("all_dependencies", "SELECT v, array_to_string(list_sort(list(DISTINCT dep)), ' ') AS needs FROM (SELECT output AS v, unnest(inputs) AS dep FROM hyperedges) GROUP BY v")

@@ -114,7 +114,7 @@ SELECT output, id, row_number() OVER (PARTITION BY output ORDER BY made DESC, id
 def sort_ranked_edges(spark, d):
     edges = read_table(spark, d, "hyperedges")
     made = edges.select(F.col("output").alias("v")).distinct()
-    hits = edges.select("id", F.explode("inputs").alias("v")).join(F.broadcast(made), "v").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hits = edges.select("id", F.explode("inputs").alias("v")).join(made, "v").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("output").orderBy(F.coalesce("n", F.lit(0)).desc(), "id")
     return edges.join(hits, "id", "left").select("output", "id", F.row_number().over(w).cast("long").alias("rank"))
 

@@ -131,7 +131,7 @@ SELECT e.id AS consumer, i.v AS variable, p.id AS producer FROM (SELECT id, unne
 def edge_lookup_join(spark, d):
     edges = read_table(spark, d, "hyperedges")
     inputs = edges.select(F.col("id").alias("consumer"), F.explode("inputs").alias("variable"))
-    return inputs.join(F.broadcast(edges.select(F.col("output").alias("variable"), F.col("id").alias("producer"))), "variable").select("consumer", "variable", "producer")
+    return inputs.join(edges.select(F.col("output").alias("variable"), F.col("id").alias("producer")), "variable").select("consumer", "variable", "producer")
 
 
 @query("heldout_anti", """
@@ -147,7 +147,7 @@ SELECT e.id, coalesce(h.n, 0) AS producible FROM hyperedges e LEFT JOIN (SELECT
 def semi_producible(spark, d):
     edges = read_table(spark, d, "hyperedges")
     made = edges.select(F.col("output").alias("v")).distinct()
-    hits = edges.select("id", F.explode("inputs").alias("v")).join(F.broadcast(made), "v").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hits = edges.select("id", F.explode("inputs").alias("v")).join(made, "v").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return edges.select("id").join(hits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("producible"))
 
 

@@ -25,6 +25,13 @@ def test_sized_join_both_ways(spark):
         assert dist.sized_join(spark.range(100), right, "id", "left", limit).where("x is not null").count() == 50
 
 
+def test_sizes_are_those_in_memory(spark):
+    """A column of one value packs to nothing on disk, but not in memory."""
+    t = dist.shared_table(spark.range(200_000).select(F.lit(1).cast("long").alias("x"), F.lit(2).cast("long").alias("y")).coalesce(1))
+    assert t.nbytes < 100_000 and t.fits(8_000_000) and not t.fits(7_000_000) and t.rows() == 200_000
+    assert not dist.shared_table(spark.range(100).select(F.repeat(F.lit("x"), 50).alias("t"))).fits(1)
+
+
 def test_name_key(spark):
     df = spark.createDataFrame([("A_b c1", "abc1"), ("  ", None), (None, None), ("Ü", None)], "t string, want string")
     assert df.where(dist.name_key("t").eqNullSafe(F.col("want"))).count() == 4
