@@ -81,11 +81,11 @@ class SharedTable:
     def fits(self, limit: int) -> bool:
         """Whether the table takes at most ``limit`` bytes in memory.
 
-        A row is a header and eight bytes a column; texts and lists are taken for four times their size on disk.
+        A row is a header and eight bytes a column; texts and lists are taken for ten times their size on disk.
         """
         size = self.nbytes
         wide = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in self.schema.fields)
-        return size <= limit and self.rows() * (24 + 8 * len(self.schema.fields)) + 4 * size * wide <= limit
+        return size <= limit and self.rows() * (24 + 8 * len(self.schema.fields)) + 10 * size * wide <= limit
 
     def drop(self) -> None:
         """Frees the folder; only for tables that no returned DataFrame reads any more."""
