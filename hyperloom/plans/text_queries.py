@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.dist import read_table
 from hyperloom.functions import parse, text
+from hyperloom.operators import scoring
 from hyperloom.plans.registry import query
 
 
@@ -278,10 +279,29 @@ def chat_text(spark, d):
     return _whole(spark, d).select("record_id", text.chat_text(F.lit("S"), F.col("trace_str"), F.col("question")).alias("text"))
 
 
-@query("judge_scores")
+_NUMBER = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@query("judge_scores", f"SELECT eval_id, CAST({_NUMBER.format('question')} % 10 + 1 AS INT) AS score FROM eval_sft WHERE question IS NOT NULL")
 def judge_scores(spark, d):
     """Answers of the built-in judge to every evaluated question, parsed."""
-    from hyperloom.operators.scoring import answers
-
-    said = answers(read_table(spark, d, "eval_sft").select("eval_id", "question"), "eval_id", "question")
+    said = scoring.answers(read_table(spark, d, "eval_sft").select("eval_id", "question"), "eval_id", "question")
     return said.select("eval_id", parse.parse_score(F.col("answer")).alias("score"))
+
+
+def _prompt_sql(task: str) -> str:
+    return f"'{scoring.TASKS[task][0]}' || chr(10) || coalesce(trace_str, '') || chr(10) || 'Given: ' || coalesce(nullif(array_to_string(leafs, ', '), ''), '(none)') || chr(10) || 'Target: ' || coalesce(target, '') || chr(10) || 'Question: ' || coalesce(question, '')"
+
+
+@query("judge_questions", f"""
+WITH q AS (SELECT eval_id, trace_str, target, question, list_sort(list_distinct(list_filter(trace.leafs, lambda x: x IS NOT NULL))) AS leafs FROM eval_sft WHERE trace IS NOT NULL AND coalesce(question, '') <> ''),
+j AS (SELECT eval_id, CAST({_NUMBER.format(_prompt_sql('difficulty'))} % 10 + 1 AS INT) AS difficulty, CAST({_NUMBER.format(_prompt_sql('feasibility'))} % 10 + 1 AS INT) AS feasibility, {_NUMBER.format(_prompt_sql('faithfulness'))} % 2 = 0 AS target_present,
+  len(list_filter(leafs, lambda v: {_NUMBER.format('v')} % 2 = 0)) AS hits, len(leafs) AS n FROM q)
+SELECT eval_id, difficulty, feasibility, target_present, hits, target_present AND hits / greatest(n, 1) >= 1 AS faithful FROM j""")
+def judge_questions(spark, d):
+    """The three judges asked side by side about every evaluated question, by the built-in clients."""
+    rows = read_table(spark, d, "eval_sft").where("trace is not null and coalesce(question, '') <> ''")
+    rows = rows.select("eval_id", "trace_str", "target", "question", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("trace.leafs", F.array().cast("array<string>"))))).alias("leafs"))
+    out = scoring.judge_questions(rows, "eval_id")
+    hits = F.size(F.filter(F.map_values("verdict.leaf_hits"), lambda h: h)).cast("long")
+    return out.select("eval_id", "difficulty", "feasibility", "verdict.target_present", hits.alias("hits"), "verdict.faithful")

@@ -160,3 +160,27 @@ def test_accepted_attempts_and_biased_choice(spark):
     got = ordered.biased_choice(spark.range(6), depths, F.col("id") < 4, F.col("id"), 3)
     assert [r["target"] for r in got.orderBy("id").collect()] == ["b", "c", "b", "c", "b", "c"]
     assert {r["target"] for r in ordered.biased_choice(spark.range(6), depths, F.lit(True), F.col("id"), 9).collect()} == {"a", "b", "c"}
+
+
+def test_batches_fall_back_to_single_calls():
+    one = lambda texts, budget: [f"{t}!" for t in texts]
+    assert scoring.ask_batch(one, one, ["a", "b"], 9) == ["a!", "b!"]
+    assert scoring.ask_batch(lambda t, b: ["x"], one, ["a", "b"], 9) == ["a!", "b!"]  # answers that cannot be told apart
+    assert scoring.ask_batch(lambda t, b: 1 / 0, lambda t, b: one(t, b) if t != ["b"] else 1 / 0, ["a", "b"], 9, wait=0) == ["a!", None]
+
+
+def test_judges_side_by_side(spark):
+    rows = spark.createDataFrame([(1, "t", ["p", "q"], "x", "What?"), (2, None, [], None, None)], "i int, trace_str string, leafs array<string>, target string, question string")
+
+    def verdict(texts, budget):
+        assert budget == 256
+        return ['{"leaf_hits": {"p": true, "q": 1}, "target_present": "yes"}' for _ in texts]
+
+    def fails(texts, budget):
+        raise OSError
+
+    got = {r["i"]: r for r in scoring.judge_questions(rows, "i", {"difficulty": lambda t, b: ["7"] * len(t), "feasibility": fails, "faithfulness": verdict}, tries=1).collect()}
+    assert {i: (r["difficulty"], r["feasibility"], r["verdict"]["faithful"]) for i, r in got.items()} == {1: (7, -1, True), 2: (7, -1, False)}
+    prompt = rows.select(scoring.judge_prompt("feasibility", F.col("trace_str"), F.col("leafs"), F.col("target"), F.col("question")).alias("p")).collect()
+    assert prompt[0]["p"].endswith("\nt\nGiven: p, q\nTarget: x\nQuestion: What?") and "(none)" in prompt[1]["p"]
+    assert scoring.judge_questions(rows.limit(0), "i").count() == 0
