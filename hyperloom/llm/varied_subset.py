@@ -127,8 +127,10 @@ def varied_subset(records: DataFrame, size: int, clusters: int = CLUSTERS) -> Da
     clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), name_key), lambda x: x.isNotNull())))
     rows = records.select("record", clean(F.col("subdomains")).alias("s"), F.array_compact(F.array(name_key("target"))).alias("t"), clean(F.col("leafs")).alias("l"), F.xxhash64(F.regexp_replace(F.lower(F.coalesce("question", F.lit(""))), r"\s+", " ")).alias("q"))
     rows = rows.withColumn("combo", uniform_hash("s", "t", "l"))
-    # Repeats collapse before anything is shuffled by combination: (combo, question) with its count.
-    texts = shared_table(rows.groupBy("combo", "q").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"), F.first("t").alias("t"), F.first("l").alias("l")), "texts")
+    # Repeats collapse before anything is shuffled by combination: (combo, question) with its count and its representative,
+    # the record of the smallest hash. The source is read once for all that.
+    own = rows.withColumn("o", uniform_hash("record"))
+    texts = shared_table(own.groupBy("combo", "q").agg(F.count(F.lit(1)).alias("n"), F.min_by("record", "o").alias("record"), F.first("s").alias("s"), F.first("t").alias("t"), F.first("l").alias("l")), "texts")
     by_combo = texts.df.groupBy("combo").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.first("s").alias("s"), F.first("t").alias("t"), F.first("l").alias("l"))
     slot = lambda c, seed: F.transform(c, lambda x: F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(WIDTH)).cast("int"))
     weight = lambda c: F.transform(c, lambda x: (1 / F.sqrt(F.size(c))).cast("float"))
@@ -151,16 +153,14 @@ def varied_subset(records: DataFrame, size: int, clusters: int = CLUSTERS) -> Da
     plan = _extras(plan, F.col("n") - F.col("texts"), "again", "more", "repeats", at.rows())
     plan = shared_table(plan.select("combo", "cluster", "take", "repeats").where("take > 0"), "plan")
 
-    # Each question's representative is its record of the smallest hash; the rest are repeats.
-    own = rows.select("record", "combo", "q")
-    reps = own.groupBy("combo", "q").agg(F.min(F.struct(uniform_hash("record").alias("o"), "record")).alias("m")).select("combo", F.col("m.record").alias("record"))
+    reps = texts.df.select("combo", "record")
     ranked = hash_rank(reps, ["combo"], uniform_hash("record"), ["record"], texts.rows(), "place")
     chosen = sized_join(ranked, plan, "combo").where("place < take").select("record", "cluster")
     wanting = shared_table(plan.df.where("repeats > 0"), "wanting")
     if not wanting.rows():
         return chosen
     rep = shared_table(reps.select("record"), "reps")
-    others = sized_join(sized_join(own.select("record", "combo"), wanting, "combo"), rep, "record", "left_anti")
+    others = sized_join(sized_join(rows.select("record", "combo"), wanting, "combo"), rep, "record", "left_anti")
     again = hash_rank(others, ["combo"], uniform_hash("record"), ["record"], sum(sizes.values()), "place").where("place < repeats")
     return chosen.union(again.select("record", "cluster"))
 
