@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hyperloom.dist import hash_rank, shared_table, uniform_hash
+from hyperloom.dist import RANK_ROWS, hash_rank, shared_table, uniform_hash
 from hyperloom.llm.corpus_encoding import documents, token_counts
 
 #: Tokens a container holds.
@@ -154,15 +154,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = ranked.select("id", "part", "size", "rank").mapInArrow(lambda it: _place(it, held.value, capacity), "container long, id long, part int, size long")
     # Full pieces: one container each, numbered after the others by item in a running order of hashed buckets.
     long = sizes.df.where(F.col("n") >= capacity).select("id", whole.alias("full"))
-    own = _running(long, "full", boxes)
+    own = _running(long, "full", boxes, sizes.rows())
     full = own.select(F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("part"), "id", "first").select((F.col("first") + F.col("part")).alias("container"), "id", "part", F.lit(capacity).cast("long").alias("size"))
     return placed.unionByName(full)
 
 
-def _running(rows: DataFrame, amount: str, start: int) -> DataFrame:
-    """Adds ``first``: start plus the amounts of all rows before, rows ordered by (hashed bucket, hash, id)."""
-    hashed = rows.withColumn("_o", uniform_hash("id")).withColumn("_b", F.shiftright("_o", 53).cast("int"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most 1024 buckets
+def _running(rows: DataFrame, amount: str, start: int, most: int) -> DataFrame:
+    """Adds ``first``: start plus the amounts of all rows before, rows ordered by (hashed bucket, hash, id).
+
+    ``most`` bounds the rows; buckets hold ``RANK_ROWS`` of them on average.
+    """
+    bits = max(4, (most // RANK_ROWS).bit_length())
+    hashed = rows.withColumn("_o", uniform_hash("id")).withColumn("_b", F.shiftright("_o", 63 - bits).cast("int"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
     starts = hashed.groupBy("_b").agg(F.sum(amount).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("_b").orderBy("_o", "id").rowsBetween(Window.unboundedPreceding, -1)
     out = hashed.join(F.broadcast(starts), "_b").withColumn("first", F.lit(start) + F.col("_s") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))

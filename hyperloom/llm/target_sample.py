@@ -180,7 +180,11 @@ def _dataset(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    """Cells of target_mix that have fewer records than needed."""
+    """Cells of target_mix that have fewer records than needed.
+
+    By the problem's definition these follow from the counts of the cells alone; the calibration that runs with them decides
+    what ``p3_sample`` draws.
+    """
     plan = plan_sample(_dataset(spark, sf_dir), read_table(spark, sf_dir, "target_mix"))
     return plan.gaps(spark).select("plan_id", "chapter", "requested_difficulty")
 
