@@ -139,7 +139,11 @@ def stream_windowed(spark, d):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "run_id", "lines", "mean")
 
 
-@query("stream_ema")
+@query("stream_ema", """
+WITH RECURSIVE s AS (SELECT run_id, step, any_value(mean_reward_raw) AS v, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k FROM rl_steps WHERE run_id IS NOT NULL AND step IS NOT NULL GROUP BY run_id, step),
+r AS (SELECT run_id, step, v, k, CAST(1.0 AS DOUBLE) AS ema FROM s WHERE k = 1
+      UNION ALL SELECT s.run_id, s.step, s.v, s.k, coalesce(0.9 * r.ema + 0.1 * r.v, r.ema) FROM r JOIN s ON s.run_id = r.run_id AND s.k = r.k + 1)
+SELECT run_id, step, ema, false AS late FROM r""")
 def stream_ema(spark, d):
     """Running means kept per run across micro-batches."""
     return logs.run_to_table(logs.stream_ema(logs.stream_log(spark, f"{d}/rl_steps.parquet")), _place(spark, "stream"), "append")

@@ -22,7 +22,7 @@ COLUMNS = {
     "episode_summary": "mean least most", "trace_length_stats": "mean median std", "rl_step_stats": "mean_raw mean_scaled std", "rl_flatten": "raw",
     "rl_combined_frame": "combined_mean scaled loss", "rl_adaptive_frame": "faithfulness_mean feasibility_mean difficulty_mean weight_faithfulness weight_feasibility weight_difficulty ema_faithfulness ema_feasibility ema_difficulty combined_mean scaled",
     "safe_eval": "value", "try_formulas": "value", "uniform_value": "value", "score_by_index": "score reward", "monotonicity": "share", "rolling_same": "v rolling", "rolling_valid": "v rolling",
-    "group_advantage": "advantage", "ema_adaptive": "ema_v", "stream_rl_log": "mean", "stream_windowed": "mean",
+    "group_advantage": "advantage", "ema_adaptive": "ema_v", "stream_rl_log": "mean", "stream_windowed": "mean", "stream_ema": "ema",
 }
 
 

@@ -46,9 +46,10 @@ def windowed_stats(stream: DataFrame, late: str = "2 days", width: str = "1 hour
 
 
 def stream_ema(stream: DataFrame, decay: float = 0.9, start: float = 1.0) -> DataFrame:
-    """(run_id, step, ema) before each line, in order of steps inside a micro-batch; the state is one number a run.
+    """(run_id, step, ema, late) before each line, in order of steps inside a micro-batch; the state is one number a run.
 
-    Of files that arrive later, lines of a step that is past are dropped, as what was given out cannot be taken back.
+    Of files that arrive later, lines of a step that is past come out as late, without a mean, and do not count, as what was
+    given out cannot be taken back.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,16 +58,17 @@ def stream_ema(stream: DataFrame, decay: float = 0.9, start: float = 1.0) -> Dat
         out = []
         for step, x in zip(rows["step"], rows["mean_reward_raw"]):
             if step <= last:
-                continue  # a late line of a step that is past
-            out.append((key[0], int(step), float(value)))
+                out.append((key[0], int(step), None, True))
+                continue
+            out.append((key[0], int(step), float(value), False))
             if not pd.isna(x):
                 value = decay * value + (1 - decay) * x
             last = int(step)
         state.update((float(value), int(last)))
-        yield pd.DataFrame(out, columns=["run_id", "step", "ema"])
+        yield pd.DataFrame(out, columns=["run_id", "step", "ema", "late"])
 
     rows = stream.where("run_id is not null and step is not null").select("run_id", "step", "mean_reward_raw")
-    return rows.groupBy("run_id").applyInPandasWithState(fold, "run_id string, step int, ema double", "ema double, last int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("run_id").applyInPandasWithState(fold, "run_id string, step int, ema double, late boolean", "ema double, last int", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
