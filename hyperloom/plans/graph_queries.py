@@ -136,10 +136,34 @@ def trace_sample(spark, d):
     return traverse.trace_sample(_targets(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(7)))), _edges(spark, d))
 
 
-@query("trace_enum")
+#: All traces in SQL: a state is what is still to be settled (quantities, and formulas whose inputs are), what is made and given.
+_TRACES = f"""
+WITH RECURSIVE g AS (SELECT map_from_entries(list({{'k': output, 'v': fs}})) AS m FROM (SELECT output, list({{'id': id, 'inputs': inputs}} ORDER BY id) AS fs FROM hyperedges GROUP BY output)),
+s AS (
+  SELECT DISTINCT output AS target, [{{'v': output, 'f': CAST(NULL AS VARCHAR), 'd': 0, 'up': CAST([] AS VARCHAR[])}}] AS todo, CAST([] AS VARCHAR[]) AS path, CAST([] AS VARCHAR[]) AS made, CAST([] AS VARCHAR[]) AS leafs, CAST([] AS BIGINT[]) AS place FROM hyperedges
+  UNION ALL
+  SELECT target,
+    CASE WHEN way.kind = 'use' THEN list_concat(list_concat(list_transform(way.inputs, lambda x: {{'v': x, 'f': CAST(NULL AS VARCHAR), 'd': top.d + 1, 'up': list_append(top.up, top.v)}}), [{{'v': top.v, 'f': way.id, 'd': top.d, 'up': top.up}}]), rest) ELSE rest END,
+    CASE WHEN way.kind = 'done' THEN list_append(path, top.f) ELSE path END,
+    CASE WHEN way.kind = 'done' THEN list_append(made, top.v) ELSE made END,
+    CASE WHEN way.kind = 'give' THEN list_append(leafs, top.v) ELSE leafs END,
+    list_append(place, k)
+  FROM (SELECT *, unnest(range(1, len(ways) + 1)) AS k, ways[k] AS way FROM (SELECT *, CASE
+      WHEN top.f IS NOT NULL THEN [{{'kind': 'done', 'id': '', 'inputs': CAST([] AS VARCHAR[])}}]
+      WHEN list_contains(made, top.v) OR list_contains(leafs, top.v) THEN [{{'kind': 'there', 'id': '', 'inputs': CAST([] AS VARCHAR[])}}]
+      WHEN list_contains(top.up, top.v) THEN []
+      ELSE list_concat(
+        CASE WHEN top.d < {TRACE_DEPTH} THEN list_transform(list_filter(coalesce(map_extract(m, top.v)[1], []), lambda f: NOT list_contains(f.inputs, target)), lambda f: {{'kind': 'use', 'id': f.id, 'inputs': f.inputs}}) ELSE [] END,
+        CASE WHEN top.v <> target THEN [{{'kind': 'give', 'id': '', 'inputs': CAST([] AS VARCHAR[])}}] ELSE [] END) END AS ways
+    FROM (SELECT *, todo[1] AS top, todo[2:] AS rest FROM s WHERE len(todo) > 0) CROSS JOIN g)))
+"""
+
+
+@query("trace_enum", f"{_TRACES} SELECT DISTINCT target, array_to_string(path, ' ') AS path, array_to_string(list_sort(leafs), ' ') AS leafs FROM s WHERE len(todo) = 0 AND len(path) > 0")
 def trace_enum(spark, d):
-    """All traces of every target."""
-    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH)
+    """All traces of every target: formulas in order of execution, and givens."""
+    t = traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH)
+    return t.select("target", F.array_join("path.id", " ").alias("path"), F.array_join("leafs", " ").alias("leafs"))
 
 
 @query("trace_enum_chain")
@@ -148,10 +172,13 @@ def trace_enum_chain(spark, d):
     return traverse.trace_chains(_targets(spark, d), _edges(spark, d))
 
 
-@query("limit_traces")
+@query("limit_traces", f"""{_TRACES},
+t AS (SELECT target, array_to_string(path, ' ') AS path, array_to_string(list_sort(leafs), ' ') AS leafs, min(place) AS place FROM s WHERE len(todo) = 0 AND len(path) > 0 GROUP BY ALL)
+SELECT target, trace_no, path, leafs FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY place) - 1 AS INT) AS trace_no FROM t) WHERE trace_no < 10""")
 def limit_traces(spark, d):
-    """The first ten traces of every target."""
-    return traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH, most=10)
+    """The first ten traces of every target, in the order of their choices."""
+    t = traverse.trace_enum(_targets(spark, d), _edges(spark, d), TRACE_DEPTH, most=10)
+    return t.select("target", "trace_no", F.array_join("path.id", " ").alias("path"), F.array_join("leafs", " ").alias("leafs"))
 
 
 @query("traces_formatted")
