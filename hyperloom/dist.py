@@ -29,6 +29,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A source that comes in fewer pieces than there are cores, cut anew by ``by``; one of many files stays as it is.
+
+    For maps that cost far more than moving their rows. ``df`` must be a scan without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *by) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     app = spark.sparkContext.applicationId

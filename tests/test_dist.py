@@ -25,6 +25,17 @@ def test_sized_join_both_ways(spark):
         assert dist.sized_join(spark.range(100), right, "id", "left", limit).where("x is not null").count() == 50
 
 
+def test_small_sources_are_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = dist.spread(spark.read.parquet(f"{tmp_path}/t"), "id")
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 1000
+    many = spark.range(1000).repartition(9)
+    many.write.parquet(f"{tmp_path}/u")
+    own = spark.read.option("maxPartitionBytes", "1").parquet(f"{tmp_path}/u")
+    n = own.rdd.getNumPartitions()
+    assert dist.spread(own, "id").rdd.getNumPartitions() == max(n, 4)
+
+
 def test_sizes_are_those_in_memory(spark):
     """A column of one value packs to nothing on disk, but not in memory."""
     t = dist.shared_table(spark.range(200_000).select(F.lit(1).cast("long").alias("x"), F.lit(2).cast("long").alias("y")).coalesce(1))
