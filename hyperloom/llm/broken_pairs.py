@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hyperloom.dist import SharedTable, read_table, shared_table, sized_join, uniform_hash
+from hyperloom.dist import SharedTable, read_table, shared_table, sized_join, spread, uniform_hash
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
@@ -262,7 +262,8 @@ def refusal_counts(pairs: DataFrame, vocabulary: list[str], rows: int = REFUSAL_
     some = pairs.where("second is not null").select("kind", "id", "names", "second")
     total = max(1, some.count())
     some = some.where(uniform_hash("kind", "id", seed=5) <= F.lit(0x7FFFFFFFFFFFFFFF * min(rows, total) // total))
-    few = some.groupBy(F.xxhash64("second")).agg(F.min(F.struct("second", "names")).alias("r"))
+    spread_out = some.withColumn("h", F.xxhash64("second")).repartition(pairs.sparkSession.sparkContext.defaultParallelism, "h")
+    few = spread_out.groupBy("h").agg(F.min(F.struct("second", "names")).alias("r"))
     counted = few.select("r.names", "r.second").mapInArrow(lambda it: _count_grams(it, vocabulary), "gram string, yes long, no long")
     sums = counted.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     return {r["gram"]: (r["yes"], r["no"]) for r in sums.collect()}  # the grams of a bounded sample
@@ -589,7 +590,7 @@ def broken_pairs(pairs: DataFrame, pages: DataFrame, formulas: DataFrame) -> Dat
     spark = pairs.sparkSession
     named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
     vocabulary = sorted(r["v"] for r in named.where("v is not null").distinct().collect())  # a fixed table
-    own = pairs.select("kind", "id", "names", "first", "second")
+    own = spread(pairs.select("kind", "id", "names", "first", "second"), "id")
     held = spark.sparkContext.broadcast((vocabulary, {k: dict(v) for k, v in language_tables(pages, vocabulary).items()}, refusal_counts(own, vocabulary)))
     features = shared_table(once_counted(own).mapInArrow(lambda it: _features(it, *held.value), FEATURES), "features")
     rows = features.df.where("run is null").drop("run", "n")

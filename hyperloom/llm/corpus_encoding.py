@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.dist import read_table
+from hyperloom.dist import read_table, spread
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("HYPERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -211,13 +211,13 @@ def _held(spark, name: str, folder: str | None):
 def encode(texts: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, ids) of every row of ``texts`` (id bigint, text)."""
     held = _held(texts.sparkSession, name, folder)
-    return texts.select("id", pretokens(F.col("text")).alias("w")).mapInArrow(lambda it: _encode(it, held.value), "id long, ids array<int>")
+    return spread(texts.select("id", "text"), "id").select("id", pretokens(F.col("text")).alias("w")).mapInArrow(lambda it: _encode(it, held.value), "id long, ids array<int>")
 
 
 def token_counts(texts: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, n) of every row of ``texts`` (id bigint, text): the number of its tokens."""
     held = _held(texts.sparkSession, name, folder)
-    return texts.select("id", pretokens(F.col("text")).alias("w")).mapInArrow(lambda it: _measure(it, held.value), "id long, n long")
+    return spread(texts.select("id", "text"), "id").select("id", pretokens(F.col("text")).alias("w")).mapInArrow(lambda it: _measure(it, held.value), "id long, n long")
 
 
 def documents(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.dist import SharedTable, name_key, read_table, shared_table, sized_join
+from hyperloom.dist import SharedTable, name_key, read_table, shared_table, sized_join, spread
 from hyperloom.llm.splits import components
 
 #: Counters of the frequency sketch and of its pieces.
@@ -46,7 +46,7 @@ def word_sets(records: DataFrame) -> SharedTable:
     ``records`` has id, target and text; only those with a name key and a word have a row. Equal words have equal hashes
     under all targets, so the table packs well.
     """
-    texts = records.select("id", F.xxhash64(name_key("target"), F.lit(1)).alias("by"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"), name_key("target").alias("k"))
+    texts = spread(records.select("id", "target", "text"), "id").select("id", F.xxhash64(name_key("target"), F.lit(1)).alias("by"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"), name_key("target").alias("k"))
     texts = texts.where("k is not null and size(w) > 0").select("id", "by", F.array_sort(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("words"))
     return shared_table(texts.select("id", "by", "words", F.xxhash64("by", "words").alias("h1"), F.xxhash64("words", F.lit(7), "by").alias("h2")), "words")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.dist import SharedTable, read_table, shared_table
+from hyperloom.dist import SharedTable, read_table, shared_table, spread
 
 #: Least share of words in list runs, words of a run, hosts that must replicate a phrase in lists.
 SHARE, RUN, HOSTS = 0.75, 14, 3
@@ -356,7 +356,7 @@ def list_words(pages: DataFrame, formulas: DataFrame | None = None, limit: int =
     Words of the quantities of ``formulas`` (output, inputs: a fixed table) are no evidence by themselves.
     """
     spark = pages.sparkSession
-    own = pages.select("doc_id", "text", "url", "source").where("text is not null and text <> ''")
+    own = spread(pages.select("doc_id", "text", "url", "source").where("text is not null and text <> ''"), "doc_id")
     names: frozenset[str] = frozenset()
     if formulas is not None:
         named = formulas.select(F.explode(F.array_union(F.array("output"), F.coalesce("inputs", F.array().cast("array<string>")))).alias("v"))
