@@ -166,12 +166,6 @@ def trace_enum(spark, d):
     return t.select("target", F.array_join("path.id", " ").alias("path"), F.array_join("leafs", " ").alias("leafs"))
 
 
-@query("trace_enum_chain")
-def trace_enum_chain(spark, d):
-    """Completed chains of every target."""
-    return traverse.trace_chains(_targets(spark, d), _edges(spark, d))
-
-
 @query("limit_traces", f"""{_TRACES},
 t AS (SELECT target, array_to_string(path, ' ') AS path, array_to_string(list_sort(leafs), ' ') AS leafs, min(place) AS place FROM s WHERE len(todo) = 0 AND len(path) > 0 GROUP BY ALL)
 SELECT target, trace_no, path, leafs FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY place) - 1 AS INT) AS trace_no FROM t) WHERE trace_no < 10""")
@@ -181,13 +175,6 @@ def limit_traces(spark, d):
     return t.select("target", "trace_no", F.array_join("path.id", " ").alias("path"), F.array_join("leafs", " ").alias("leafs"))
 
 
-@query("traces_formatted")
-def traces_formatted(spark, d):
-    """Chains as text lines."""
-    t = traverse.trace_chains(_targets(spark, d), _edges(spark, d))
-    return t.select("target", "trace_no", F.size("path").alias("steps"), F.array_join("path.id", " > ").alias("line"), F.array_join("leafs", ", ").alias("given"))
-
-
 @query("trace_fallback", "SELECT v AS target, 0 AS steps FROM (SELECT DISTINCT unnest(inputs) AS v FROM hyperedges) WHERE v NOT IN (SELECT output FROM hyperedges)")
 def trace_fallback(spark, d):
     """Quantities without a formula stand for themselves: one empty trace."""
@@ -196,14 +183,17 @@ def trace_fallback(spark, d):
     return traverse.trace_chains(bare, e).select("target", F.size("path").alias("steps"))
 
 
-#: The order of execution by popping formulas that wait for nothing, in SQL; a formula waits for the last one of each output.
-_ORDER = """
-WITH RECURSIVE t AS (SELECT record_id, trace.target AS target, coalesce(trace.leafs, []) AS leafs, trace.path AS path, range(1, len(trace.path) + 1) AS ks FROM dataset WHERE len(trace.path) > 0),
+#: The order of execution by popping formulas that wait for nothing, in SQL, of the paths of a table t (record_id, path, ks); a
+#: formula waits for the last one of each output.
+_POPPED = """
 w AS (SELECT record_id, list_transform(ks, lambda i: list_filter(ks, lambda j: list_contains(path[i].inputs, path[j].output) AND NOT list_contains(list_transform(path[j + 1:], lambda e: e.output), path[j].output))) AS waits, ks FROM t),
 q AS (SELECT record_id, waits, list_filter(ks, lambda i: len(waits[i]) = 0) AS ready, CAST([] AS BIGINT[]) AS done FROM w
   UNION ALL SELECT record_id, waits, list_concat(ready[2:], list_filter(range(1, len(waits) + 1), lambda j: list_contains(waits[j], ready[1]) AND len(list_filter(waits[j], lambda x: NOT list_contains(list_append(done, ready[1]), x))) = 0)), list_append(done, ready[1]) FROM q WHERE len(ready) > 0),
 o AS (SELECT record_id, CASE WHEN len(done) = len(waits) THEN done END AS done FROM q WHERE len(ready) = 0)
 """
+_ORDER = f"""
+WITH RECURSIVE t AS (SELECT record_id, trace.target AS target, coalesce(trace.leafs, []) AS leafs, trace.path AS path, range(1, len(trace.path) + 1) AS ks FROM dataset WHERE len(trace.path) > 0),
+{_POPPED}"""
 
 
 @query("topo_sort", f"{_ORDER} SELECT record_id, array_to_string(list_transform(done, lambda k: path[k].id), ' ') AS steps FROM o JOIN t USING (record_id)")
@@ -213,6 +203,41 @@ def topo_sort(spark, d):
     return rows.select("record_id", F.array_join(F.transform(graph.execution_order(F.col("trace.path")), lambda e: e["id"]), " ").alias("steps"))
 
 
+#: Chains in SQL: each state follows one quantity; a way is a formula and the input to be followed next, or the end.
+_CHAINS = f"""
+WITH RECURSIVE g AS (SELECT map_from_entries(list({{'k': output, 'v': fs}})) AS m FROM (SELECT output, list({{'id': id, 'output': output, 'inputs': list_filter(coalesce(inputs, []), lambda x: x IS NOT NULL)}} ORDER BY {_N}, id) AS fs FROM hyperedges GROUP BY output)),
+s AS (
+  SELECT DISTINCT output AS target, output AS v, CAST([] AS STRUCT(id VARCHAR, output VARCHAR, inputs VARCHAR[])[]) AS path, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS loops, 0 AS level, CAST([] AS BIGINT[]) AS place FROM hyperedges
+  UNION ALL
+  SELECT target, way.x, CASE WHEN way.f IS NULL THEN path ELSE list_append(path, way.f) END, CASE WHEN way.f IS NULL THEN seen ELSE met END, CASE WHEN way.f IS NULL THEN loops ELSE list_concat(loops, list_filter(way.f.inputs, lambda x: list_contains(met, x) AND x <> v)) END, level + 1, list_concat(place, way.at)
+  FROM (SELECT *, unnest(CASE WHEN len(found) = 0 THEN [{{'f': NULL, 'x': NULL, 'at': [CAST(0 AS BIGINT)]}}] ELSE flatten(list_transform(range(1, len(found) + 1), lambda k: CASE WHEN list_contains(found[k].inputs, target) THEN [] ELSE list_concat(
+          CASE WHEN len(list_filter(found[k].inputs, lambda x: list_contains(met, x) AND x <> v)) > 0 AND len(list_filter(found[k].inputs, lambda x: NOT list_contains(met, x))) = 0 THEN [{{'f': found[k], 'x': CAST(NULL AS VARCHAR), 'at': [k, 0]}}] ELSE [] END,
+          list_transform(list_filter(range(1, len(found[k].inputs) + 1), lambda j: NOT list_contains(met, found[k].inputs[j])), lambda j: {{'f': found[k], 'x': found[k].inputs[j], 'at': [k, j]}})) END)) END) AS way
+    FROM (SELECT *, list_append(seen, v) AS met, CASE WHEN level < 10 THEN coalesce(map_extract(m, v)[1], []) ELSE [] END AS found FROM s CROSS JOIN g WHERE v IS NOT NULL))),
+c AS (SELECT target, path, list_concat(seen, flatten(list_transform(path, lambda f: f.inputs))) AS near, seen, loops, place, list_transform(path, lambda f: f.output) AS outs FROM s WHERE v IS NULL),
+d AS (SELECT *, row_number() OVER (PARTITION BY target, list_sort(list_transform(path, lambda f: f.id)) ORDER BY place) AS again FROM c),
+t AS (SELECT *, range(1, len(path) + 1) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY place) AS nth, row_number() OVER () AS record_id FROM d WHERE again = 1) WHERE nth <= 100),
+{_POPPED},
+r AS (SELECT target, place, list_transform(done, lambda k: path[k].id) AS ids, list_sort(list_distinct(list_filter(near, lambda x: NOT list_contains(outs, x) AND NOT list_contains(loops, x) AND x <> target))) AS leafs FROM t JOIN o USING (record_id) WHERE done IS NOT NULL),
+a AS (SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY place) - 1 AS INT) AS trace_no, ids, leafs FROM r
+  UNION ALL SELECT DISTINCT output, 0, CAST([] AS VARCHAR[]), [output] FROM hyperedges WHERE output NOT IN (SELECT target FROM r))
+"""
+
+
+@query("trace_enum_chain", f"{_CHAINS} SELECT target, trace_no, array_to_string(ids, ' ') AS path, array_to_string(leafs, ' ') AS leafs FROM a")
+def trace_enum_chain(spark, d):
+    """Completed chains of every target."""
+    t = traverse.trace_chains(_targets(spark, d), _edges(spark, d))
+    return t.select("target", "trace_no", F.array_join("path.id", " ").alias("path"), F.array_join("leafs", " ").alias("leafs"))
+
+
+@query("traces_formatted", f"{_CHAINS} SELECT target, trace_no, CAST(len(ids) AS INT) AS steps, array_to_string(ids, ' > ') AS line, array_to_string(leafs, ', ') AS given FROM a")
+def traces_formatted(spark, d):
+    """Chains as text lines."""
+    t = traverse.trace_chains(_targets(spark, d), _edges(spark, d))
+    return t.select("target", "trace_no", F.size("path").alias("steps"), F.array_join("path.id", " > ").alias("line"), F.array_join("leafs", ", ").alias("given"))
+
+
 #: A domain may feed another: (producer, consumer).
 FITS = [("pump_hydraulics", "belt_drives")]
 

@@ -201,12 +201,15 @@ def parse_score(spark, d):
     return read_table(spark, d, "eval_sft").select("eval_id", parse.parse_score(F.col("question")).alias("score"))
 
 
-@query("parse_faith_json")
+@query("parse_faith_json", """
+SELECT record_id, coalesce(claude_faithfulness.target_present, false) AS target_present, coalesce(len(list_filter(map_values(claude_faithfulness.leaf_hits), lambda h: coalesce(h, false))), 0) AS hits FROM dataset WHERE claude_faithfulness IS NOT NULL""")
 def parse_faith_json(spark, d):
-    """Verdicts written out as JSON with prose around them, read back."""
+    """Verdicts as judges write them, in a fence and with prose after it, true and false in other values' clothes, read back."""
     rows = read_table(spark, d, "dataset").where("claude_faithfulness is not null")
-    said = F.concat(F.lit("```json\n"), F.to_json("claude_faithfulness"), F.lit("\n``` that is all"))
-    return rows.select("record_id", parse.parse_verdict(said, F.map_keys("claude_faithfulness.leaf_hits")).alias("v")).select("record_id", F.col("v.target_present"), F.size(F.filter(F.map_values("v.leaf_hits"), lambda h: h)).alias("hits"))
+    hits = F.array_join(F.transform(F.map_entries("claude_faithfulness.leaf_hits"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), F.when(e["value"], '"no"').otherwise("0"))), ", ")
+    said = F.concat(F.lit('```json\n{"leaf_hits": {'), F.coalesce(hits, F.lit("")), F.lit('}, "target_present": '), F.when(F.col("claude_faithfulness.target_present"), '["x"]').otherwise("null"), F.lit("}\n``` that is {all}"))
+    read = rows.select("record_id", parse.parse_verdict(said, F.map_keys("claude_faithfulness.leaf_hits")).alias("v"))
+    return read.select("record_id", F.col("v.target_present"), F.size(F.filter(F.map_values("v.leaf_hits"), lambda h: h)).cast("long").alias("hits"))
 
 
 @query("judge_faithfulness_algebra", """
