@@ -126,5 +126,8 @@ def chat_text(system: Column, user: Column, assistant: Column) -> Column:
 def formula_names(formula: Column) -> Column:
     """Distinct identifiers of a formula that are neither functions, constants nor keywords."""
     # Functions, constants and words of the formula language.
-    known = "math abs sqrt sin cos tan exp log log10 pi e and or not if else for while def import from as in is None True False".split()
+    known = (
+        "math", "abs", "sqrt", "sin", "cos", "tan", "exp", "log", "log10", "pi", "e", "and", "or", "not", "if", "else", "for",
+        "while", "def", "import", "from", "as", "in", "is", "None", "True", "False",
+    )
     return F.array_except(F.array_distinct(F.regexp_extract_all(formula, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0))), F.array(*map(F.lit, known)))
